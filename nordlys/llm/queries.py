@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nordlys.llm import bpe, chunking, cutoffs
+from nordlys.llm import bpe, chunking, contamination, cutoffs, scan_repair, sentences
 from nordlys.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,40 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_cutoffs, p6_ids)}
+def p2_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.find_leaks(table(spark, sf, "silver_sentence"), table(spark, sf, "evaluation_item"), table(spark, sf, "evaluation_run"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.leaked_pairs(p2_passages(spark, sf))
+
+
+def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
+    sentences_ = table(spark, sf, "silver_sentence")
+    return contamination.clean_sentences(sentences_, p2_passages(spark, sf)).select("sentence_id", "document_id", "sentence_index")
+
+
+def _scans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf, "scan_page"), table(spark, sf, "silver_document"), table(spark, sf, "documents").select("text")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_repair.find_noise(*_scans(spark, sf))
+
+
+def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_repair.reflow(*_scans(spark, sf))
+
+
+def p4_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents"), table(spark, sf, "segmentation_policy"), table(spark, sf, "segmentation_contract"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_units(spark, sf).select("doc_id", "end_char")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_passages, p2_clean, p3_found, p3_paragraphs, p4_found, p4_units, p5_found, p5_cutoffs, p6_ids)}
 
 _P5 = """
 WITH r AS (

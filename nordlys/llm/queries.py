@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nordlys.llm import bpe, chunking, contamination, cutoffs, scan_repair, sentences
+from nordlys.llm import bpe, chunking, contamination, cutoffs, langid, mixing, scan_repair, sentences
 from nordlys.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,35 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_units(spark, sf).select("doc_id", "end_char")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_passages, p2_clean, p3_found, p3_paragraphs, p4_found, p4_units, p5_found, p5_cutoffs, p6_ids)}
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_target"))
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.selection(_mixture(spark, sf)[0])
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.mislabelled(langid.document_languages(table(spark, sf, "documents")))
+
+
+def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.document_languages(table(spark, sf, "documents"))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.document_segments(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_passages, p2_clean, p3_found, p3_paragraphs, p4_found, p4_units, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_spans, p7_shares, p8_found, p8_languages, p8_segments)}
 
 _P5 = """
 WITH r AS (

@@ -41,13 +41,13 @@ OPENING = "«“„\"'‘([「『‹【（»¿¡"
 CASELESS = r"֐-ࣿऀ-෿฀-໿က-႟ក-៿぀-ヿ㐀-鿿가-힯"
 
 _BREAK = re.compile(r"(?:\r\n|\r|\n| | )[^\S\r\n  ]*(?:\r\n|\r|\n| | )\s*")
-_MARK = re.compile(rf"(?:[{re.escape(TERMINALS)}]+(?:[^\S\r\n]?[!?…]+)?|(?<=[Ͱ-Ͽἀ-῿])[;;])(?P<close>[^\S\r\n][»](?=\s|$)|[{CLOSING}]*(?:[.!?](?=\s|$))?)(?P<gap>\s*)")
+_MARK = re.compile(rf"(?:[{re.escape(TERMINALS)}]+(?:[^\S\r\n]?[!?…]+)?|(?<=[Ͱ-Ͽἀ-῿])[;;])(?P<close>[^\S\r\n][»](?=\s|$)|(?:[{CLOSING}]|«(?=\s|$))*(?:[.!?](?=\s|$))?)(?P<gap>\s*)")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿\d”\"’)])(?P<gap>[^\S\r\n]+|[^\S\r\n]*(?:\r\n|\r|\n)[^\S\r\n]*)(?=\S)")
 _THAI = re.compile(r"[฀-๿]")
 _CASELESS = re.compile(rf"[{CASELESS}]")
 _TOKEN_BEFORE = re.compile(r"\S+$")
 _DIGIT = re.compile(r"\d+")
-_STRIP_LEFT = "«“„\"'‘([「『‹【（»”"
+_STRIP_LEFT = OPENING
 
 
 @dataclass(slots=True)
@@ -106,7 +106,11 @@ def left_token(text: str, a: int, end: int, close: str) -> tuple[str, str]:
     prev = m.group() if m else ("" if start > a else "^")
     if _CASELESS.search(token):
         token, prev = token[-5:], ""
-    return _DIGIT.sub("0", token.lstrip(_STRIP_LEFT)).casefold(), _DIGIT.sub("0", prev.lstrip(_STRIP_LEFT)).casefold()
+    token = _DIGIT.sub("0", token.lstrip(_STRIP_LEFT)).casefold()
+    prev = _DIGIT.sub("0", prev.lstrip(_STRIP_LEFT)).casefold()
+    if token[:1] != "0" and prev not in ("", "^"):  # beside other tokens only its kind counts
+        prev = "d" if prev[0] == "0" else "w"
+    return token, prev
 
 
 def right_token(text: str, begin: int, b: int) -> tuple[str, str]:
@@ -232,8 +236,12 @@ def label(c: Candidate, k: tuple, x: list[float], counts: Counts) -> int | None:
     if not c.close and c.mark == "." and "c" not in kind:
         if named["initial"] or named["number_opens"]:
             return 0
-        if counts.seen[left] >= 15 and counts.edge[left] == 0 and (named["abbreviation"] or named["short"] or named["dotted"]):
+        if counts.edge[left] == 0 and (counts.seen[left] >= 25 or counts.seen[left] >= 10 and (named["abbreviation"] or named["short"] or named["dotted"])):
             return 0
+        if named["abbreviation"] and counts.seen[pair] >= 20 and counts.edge[pair] == 0:
+            return 0
+        if named["abbreviation"] and ("u" in kind or "d" in kind) and c.gap and counts.edge[pair] >= 0.08 * counts.seen[pair] and counts.edge[pair] >= 4:
+            return 1
         if named["number"] and counts.seen[pair] >= 10 and counts.edge[pair] == 0:
             return 0
         if "u" in kind and not named["abbreviation"] and not named["number"] and len(token) > 4 and "." not in token[:-1] and token[:-1].isalpha():
@@ -329,7 +337,8 @@ class Segmenter:
                     for c in cs
                 ]
                 score = np.asarray(rows) @ self.weights
-                out += [c.end for c, s in zip(cs, score) if s > 0]
+                never = NAMES.index("lower"), NAMES.index("ellipsis_no_gap")
+                out += [c.end for c, s, r in zip(cs, score, rows) if s > 0 and not (r[never[0]] or r[never[1]])]
             out.append(b)
         return out
 

@@ -61,6 +61,12 @@ def spread(df: DataFrame, *keys: str, per_task: int = 16 << 20, floor: int = 3)
     return df.repartition(int(n), *[F.col(k) for k in keys])
 
 
+def enough_tasks(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partitions a scan that has fewer splits than the cluster has cores; else leaves it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, F.col(key)) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,10 +14,10 @@ def token_labels(labels: DataFrame) -> DataFrame:
 
     Tokens whose probabilities are null, empty or not numbers have null choices.
     """
-    rows = labels.select(
-        "document_id", "sentence_index",
-        F.posexplode_outer(F.arrays_zip(F.col("upos_probabilities").alias("u"), F.col("lemma_rule_ids").alias("li"), F.col("lemma_rule_probabilities").alias("lp"), F.col("agreement_upos_ids").alias("au"), F.col("agreement_lemma_rule_ids").alias("al"))).alias("tok_idx", "x"),
-    ).filter("tok_idx is not null")
+    # A null array is an empty one here: zipping with null would lose the others' tokens.
+    part = lambda c, name: F.coalesce(F.col(c), F.array().cast(labels.schema[c].dataType)).alias(name)
+    names = {"upos_probabilities": "u", "lemma_rule_ids": "li", "lemma_rule_probabilities": "lp", "agreement_upos_ids": "au", "agreement_lemma_rule_ids": "al"}
+    rows = labels.select("document_id", "sentence_index", F.posexplode(F.arrays_zip(*[part(c, n) for c, n in names.items()])).alias("tok_idx", "x"))
     sound = lambda a: (F.size(a) > 0) & ~F.exists(a, lambda p: p.isNull() | F.isnan(p))
     u, lp = F.col("x.u"), F.col("x.lp")
     return rows.select(

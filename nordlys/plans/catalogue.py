@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the core and their SQL twins."""
+
+from nordlys.plans import label_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **label_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **label_queries.ORACLES}

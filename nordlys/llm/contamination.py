@@ -27,6 +27,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ ITEMS_PER_ROUND = 20_000
 #: A word or pair in more than this share of a language's sentences (and more than a few) is phrasing.
 COMMON_SHARE, COMMON_LEAST = 0.02, 3
 GAP, MISMATCH = -1.1, -1.2
+#: Pairs a passage must hit (one of MIN_WORDS words keeps five with two damaged), and words its diagonal may drift by.
+HITS, DRIFT = 2, 4
 
 _WORD = re.compile(r"\w+")
 _DROP = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
@@ -75,6 +78,7 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
+@lru_cache(1 << 17)
 def misread(a: str, b: str) -> bool:
     """Whether ``b`` may be ``a`` misread: at most a third of its letters differ."""
     n = max(len(a), len(b))
@@ -143,28 +147,34 @@ class Index:
     def scan(self, words: list[str]) -> dict[int, Passage]:
         """The best verified passage of each held-out sentence within the words."""
         get = self.pairs.get
-        hits: dict[int, set[int]] = {}
+        hits: dict[int, list[int]] = {}
         for gap in (1, 2):
             for j in range(len(words) - gap):
                 for s, i in get((words[j], words[j + gap], gap), ()):
-                    hits.setdefault(s, set()).add(j - i)
+                    hits.setdefault(s, []).append(j - i)
         found: dict[int, Passage] = {}
         for s, diagonals in hits.items():
-            n, last = len(self.sentences[s]), None
-            for d in sorted(diagonals):
-                if last is not None and d - last <= 3:
+            if len(diagonals) < HITS:
+                continue
+            n = len(self.sentences[s])
+            diagonals.sort()
+            begin = 0
+            for k in range(1, len(diagonals) + 1):
+                if k < len(diagonals) and diagonals[k] - diagonals[k - 1] <= DRIFT:
                     continue
-                last = d
-                low = max(0, d - 4)
-                p = self.align(s, words[low : d + n + 8])
-                if p and (s not in found or p.same + p.near > found[s].same + found[s].near):
-                    p.at += low
-                    p.until += low
-                    found[s] = p
+                if k - begin >= HITS:
+                    first, last = diagonals[begin], diagonals[k - 1]
+                    low = max(0, first - DRIFT)
+                    p = self.align(s, words[low : last + n + DRIFT], first - low, last - low)
+                    if p and (s not in found or p.same + p.near > found[s].same + found[s].near):
+                        p.at += low
+                        p.until += low
+                        found[s] = p
+                begin = k
         return found
 
-    def align(self, s: int, words: list[str]) -> Passage | None:
-        """Local alignment of an item's words with a window of the document's."""
+    def align(self, s: int, words: list[str], first: int, last: int) -> Passage | None:
+        """Local alignment of an item's words with a window of the document's, near the diagonals hit."""
         item, mark = self.sentences[s], self.particular[s]
         n, m = len(item), len(words)
         score = [[0.0] * (m + 1) for _ in range(n + 1)]
@@ -173,7 +183,7 @@ class Index:
         for i in range(1, n + 1):
             a = item[i - 1]
             above, here, steps = score[i - 1], score[i], step[i]
-            for j in range(1, m + 1):
+            for j in range(max(1, i + first - DRIFT), min(m, i + last + DRIFT) + 1):
                 b = words[j - 1]
                 if a == b:
                     value, how = above[j - 1] + 1.0, (i - 1, j - 1, 2)
@@ -208,10 +218,13 @@ class Index:
         return p
 
 
-def is_held(p: Passage, item_words: int) -> bool:
+def is_held(p: Passage) -> bool:
     """The passage holds enough consecutive words of the item, and the item's own ones."""
     span = p.end - p.start
-    return span >= MIN_WORDS and p.same + p.near >= 0.7 * span and p.particular_same >= 2 and p.particular_same >= 0.6 * p.particular
+    if span < MIN_WORDS or p.particular_same < 2:
+        return False
+    agreeing, own = p.same / span, p.particular_same / p.particular
+    return agreeing >= 0.8 and own >= 0.6 or agreeing >= 0.7 and own >= 0.7
 
 
 def held_out(items: DataFrame, runs: DataFrame) -> DataFrame:
@@ -274,7 +287,7 @@ def _scanner(index, keep_all: bool):
         for (doc, _), words, owner in read(batches):
             for s, p in held.scan(words).items():
                 n = len(held.sentences[s])
-                if keep_all or is_held(p, n):
+                if keep_all or is_held(p):
                     base = (owner[min(p.at, len(owner) - 1)], owner[p.until - 1], n, p.end - p.start, p.same + p.near)
                     more = (p.same, p.near, p.particular, p.particular_same, p.start, " ".join(held.sentences[s]), " ".join(words[max(0, p.at - 3) : p.until + 3])) if keep_all else ()
                     rows += [(doc, item, *base, *more) for item in (held.ids[s][:1] if keep_all else held.ids[s])]

@@ -28,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from nordlys.session import spread
 
 #: Buckets of the count table; documents (of at most so many characters) the model is trained on.
 BUCKETS, TRAINING_DOCUMENTS, TRAINING_LENGTH = 1 << 18, 3000, 20_000
+#: Contexts a worker remembers the decision of before it starts afresh.
+MEMO = 300_000
 
 # Terminal marks, closing and opening marks.
 TERMINALS = ".!?…。！？｡।॥؟۔‽"
@@ -45,7 +48,7 @@ _MARK = re.compile(rf"(?:[{re.escape(TERMINALS)}]+(?:[^\S\r\n]?[!?…]+)?|(?<=[
 _THAI_SPACE = re.compile(r"(?<=[฀-๿\d”\"’)])(?P<gap>[^\S\r\n]+|[^\S\r\n]*(?:\r\n|\r|\n)[^\S\r\n]*)(?=\S)")
 _THAI = re.compile(r"[฀-๿]")
 _CASELESS = re.compile(rf"[{CASELESS}]")
-_TOKEN_BEFORE = re.compile(r"\S+$")
+_PAIRED = re.compile(r"[()\[\]「」『』（）«»„“”\"]")
 _DIGIT = re.compile(r"\d+")
 _STRIP_LEFT = OPENING
 
@@ -98,13 +101,12 @@ def candidates(text: str, a: int, b: int) -> list[Candidate]:
 
 def left_token(text: str, a: int, end: int, close: str) -> tuple[str, str]:
     """(token, the one before), normalised, of the words up to a candidate."""
-    m = _TOKEN_BEFORE.search(text, max(a, end - 60), end)
-    token = m.group() if m else ""
-    start = m.start() if m else end
-    before = text[max(a, start - 40) : start].rstrip()
-    m = _TOKEN_BEFORE.search(before)
-    prev = m.group() if m else ("" if start > a else "^")
-    if _CASELESS.search(token):
+    parts = text[max(a, end - 100) : end].rsplit(None, 2)
+    if not parts or text[end - 1].isspace():
+        token, prev = "", (parts[-1] if parts else "^")
+    else:
+        token, prev = parts[-1], (parts[-2] if len(parts) > 1 else "^")
+    if not token.isascii() and _CASELESS.search(token):
         token, prev = token[-5:], ""
     token = _DIGIT.sub("0", token.lstrip(_STRIP_LEFT)).casefold()
     prev = _DIGIT.sub("0", prev.lstrip(_STRIP_LEFT)).casefold()
@@ -142,8 +144,6 @@ def right_token(text: str, begin: int, b: int) -> tuple[str, str]:
 
 
 def bucket(*parts: str) -> int:
-    from xxhash import xxh64_intdigest
-
     return xxh64_intdigest("\0".join(parts)) % BUCKETS
 
 
@@ -155,10 +155,16 @@ def keys(text: str, a: int, b: int, end: int, begin: int, close: str, right_end:
 
 def depth_marks(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """(offset, depth from there on) of the brackets and unambiguous quotes of a paragraph."""
+    found = list(_PAIRED.finditer(text, a, b))
+    if not found:
+        return []
     out, depth = [(a, 0)], 0
     straight = False
-    chevrons = text.count("«", a, b) and text.find("«", a, b) < (text.find("»", a, b) if "»" in text[a:b] else b)
-    for i in range(a, b):
+    opening = text.find("«", a, b)
+    closing = text.find("»", a, b)
+    chevrons = opening >= 0 and (closing < 0 or opening < closing)
+    for mark in found:
+        i = mark.start()
         ch = text[i]
         if ch in "([「『（" or ch == "«" and chevrons or ch == "„":
             depth += 1
@@ -187,34 +193,40 @@ NAMES = (
 )
 
 
+_LOWER, _ELLIPSIS = NAMES.index("lower"), NAMES.index("ellipsis_no_gap")
+
+
 class Counts:
     """Per bucket how often it ended (opened) a paragraph, and how often it was seen."""
 
     def __init__(self, edge: np.ndarray, seen: np.ndarray) -> None:
-        self.edge, self.seen = edge, seen
+        self.edge, self.seen = edge.tolist(), seen.tolist()
+        p = (edge + 0.4) / (seen + 2.0)
+        self.logit = np.log(p / (1 - p)).tolist()
+        self.known = np.minimum(1.0, seen / 20).tolist()
+        never = np.log1p(seen) * (edge == 0)
+        self.never = (never * (seen >= 10)).tolist()
+        self.never_pair = (never * (seen >= 8)).tolist()
+
 
-    def rate(self, k: int, prior: float, weight: float) -> tuple[float, float]:
-        e, n = float(self.edge[k]), float(self.seen[k])
-        p = (e + prior * weight) / (n + weight)
-        return float(np.log(p / (1 - p))), min(1.0, n / 20)
+_STRONG = frozenset("!?。！？।؟॥｡;;")
+_CLOSERS = "".join(x for x in CLOSING if x != "\\")
 
 
 def features(c: Candidate, k: tuple, text: str, counts: Counts, abbreviations: frozenset[str], inside: bool, opens: bool) -> list[float]:
     left, pair, right, token, prev, _, kind = k
-    l, ln = counts.rate(left, 0.2, 2.0)
-    p, pn = counts.rate(pair, 0.2, 2.0)
-    r, rn = counts.rate(right, 0.2, 2.0)
-    bare = token.rstrip("".join(x for x in CLOSING if x != "\\"))
+    l, ln, p, pn, r, rn = counts.logit[left], counts.known[left], counts.logit[pair], counts.known[pair], counts.logit[right], counts.known[right]
+    bare = token.rstrip(_CLOSERS)
     word = bare.rstrip(TERMINALS)
-    strong = bool(re.search(r"[!?。！？।؟॥｡;]", c.mark))
+    strong = not _STRONG.isdisjoint(c.mark)
     caseless = "c" in kind
     cased_gapless = not c.gap and not caseless and c.kind == "mark"
     return [
         1.0, l, l * ln, p, p * pn, r, r * rn, float("l" in kind), float("u" in kind), float("d" in kind), float(caseless), float("p" in kind or "s" in kind), float("q" in kind), float(not c.gap), float("\n" in c.gap or "\r" in c.gap),
         float(bare in abbreviations or bare.lstrip("(") in abbreviations), float(len(word) == 1 and word.isalpha() and not caseless), float(word.isdigit()), float(word.isdigit() and opens), float(strong), float("…" in c.mark or ".." in c.mark), float(bool(c.close)),
         float(bool(c.close) and strong and caseless and "。" not in c.mark and "।" not in c.mark), float(inside), float(c.kind == "space"), float(c.kind == "space" and (text[c.end - 1].isdigit() or "d" in kind)), float(0 < len(word) <= 2), float("." in word), float(cased_gapless), float(c.mark[:1] in "。！？।؟॥｡" if c.mark else 0),
-        float(np.log1p(counts.seen[left]) if counts.edge[left] == 0 and counts.seen[left] >= 10 else 0) * (not strong and not c.close),
-        float(np.log1p(counts.seen[pair]) if counts.edge[pair] == 0 and counts.seen[pair] >= 8 else 0) * (not strong and not c.close),
+        counts.never[left] * (not strong and not c.close),
+        counts.never_pair[pair] * (not strong and not c.close),
         float(not c.gap and set(c.mark) <= {"…", "."} and len(c.mark) > 1 and not c.close),
     ]
 
@@ -265,11 +277,13 @@ def _inside(marks: list[tuple[int, int]], at: int) -> int:
 
 def count_edges(texts: Iterable[str | None], edge: np.ndarray, seen: np.ndarray) -> None:
     """Adds the paragraph ends, paragraph starts and candidates of texts to the tables."""
+    seen_here: dict[tuple, int] = {}
     for text in texts:
         if not text:
             continue
         for a, b in paragraphs(text):
-            closing = re.search(rf"[{CLOSING}]*$", text[max(a, b - 6) : b]).group()
+            tail = text[max(a, b - 6) : b]
+            closing = tail[len(tail.rstrip(_CLOSERS)) :]
             cs = candidates(text, a, b)
             if text[b - 1 - len(closing) : b - len(closing)] and (text[b - 1 - len(closing)] in TERMINALS + ";;" or _THAI.match(text[b - 1])):
                 token, prev = left_token(text, a, b, closing)
@@ -281,8 +295,24 @@ def count_edges(texts: Iterable[str | None], edge: np.ndarray, seen: np.ndarray)
                     edge[k] += 1
                     seen[k] += 1
             for c in cs:
-                for k in keys(text, a, b, c.end, c.begin, c.close)[:3]:
-                    seen[k] += 1
+                token, prev = left_token(text, a, c.end, c.close)
+                seen_here[0, token, prev] = seen_here.get((0, token, prev), 0) + 1
+                right = right_token(text, c.begin, b)[0]
+                seen_here[1, right, ""] = seen_here.get((1, right, ""), 0) + 1
+        if len(seen_here) > 100_000:
+            _pour(seen_here, seen)
+    _pour(seen_here, seen)
+
+
+def _pour(counted: dict[tuple, int], seen: np.ndarray) -> None:
+    """Adds counts by token to the hashed table and empties them."""
+    for (side, token, prev), n in counted.items():
+        if side:
+            seen[bucket("R", token)] += n
+        else:
+            seen[bucket("L", token)] += n
+            seen[bucket("P", prev, token)] += n
+    counted.clear()
 
 
 def examples(text: str, counts: Counts, abbreviations: frozenset[str]) -> Iterator[tuple[list[float], int]]:
@@ -323,25 +353,43 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 2e-5) ->
 
 class Segmenter:
     def __init__(self, counts: Counts, weights: np.ndarray, abbreviations: frozenset[str]) -> None:
-        self.counts, self.weights, self.abbreviations = counts, weights, abbreviations
+        self.counts, self.weights, self.abbreviations = counts, [float(w) for w in weights], abbreviations
+        self.memo: dict[tuple, bool] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
 
     def ends(self, text: str | None) -> list[int]:
         """The offsets behind the last character of each unit."""
         out: list[int] = []
+        memo = self.memo
         for a, b in paragraphs(text or ""):
             cs = candidates(text, a, b)
             if cs:
                 marks = depth_marks(text, a, b)
-                rows = [
-                    features(c, keys(text, a, b, c.end, c.begin, c.close), text, self.counts, self.abbreviations, _inside(marks, c.end) > 0, not text[a : c.end - 1].strip("0123456789"))
-                    for c in cs
-                ]
-                score = np.asarray(rows) @ self.weights
-                never = NAMES.index("lower"), NAMES.index("ellipsis_no_gap")
-                out += [c.end for c, s, r in zip(cs, score, rows) if s > 0 and not (r[never[0]] or r[never[1]])]
+                for c in cs:
+                    inside = bool(marks) and _inside(marks, c.end) > 0
+                    opens = c.end - a < 6 and not text[a : c.end - 1].strip("0123456789")
+                    token, prev = left_token(text, a, c.end, c.close)
+                    right, kind = right_token(text, c.begin, b)
+                    known = (token, prev, right, kind, c.mark, c.close, c.kind, inside, opens, "\n" in c.gap or "\r" in c.gap, not c.gap, c.kind == "space" and text[c.end - 1].isdigit())
+                    ends = memo.get(known)
+                    if ends is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        ends = memo[known] = self.is_end(c, token, prev, right, kind, text, inside, opens)
+                    if ends:
+                        out.append(c.end)
             out.append(b)
         return out
 
+    def is_end(self, c: Candidate, token: str, prev: str, right: str, kind: str, text: str, inside: bool, opens: bool) -> bool:
+        k = (bucket("L", token), bucket("P", prev, token), bucket("R", right), token, prev, right, kind)
+        x = features(c, k, text, self.counts, self.abbreviations, inside, opens)
+        if x[_LOWER] or x[_ELLIPSIS]:
+            return False
+        return sum(w * v for w, v in zip(self.weights, x)) > 0
+
 
 def abbreviation_set(policies: DataFrame, contracts: DataFrame) -> frozenset[str]:
     """Case-folded abbreviations of both tables, each with its final period."""

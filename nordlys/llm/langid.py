@@ -38,6 +38,8 @@ LATIN = LANGUAGES[:8]
 #: Hash buckets, embedding size, passes, and documents a language the model is fitted on.
 BUCKETS, WIDTH, EPOCHS, SAMPLE = 1 << 16, 16, 6, 500
 SAMPLE_LENGTH, SENTENCES_A_LANGUAGE = 20_000, 3000
+#: Distinct words a worker remembers the scores of before it starts afresh.
+WORDS = 300_000
 #: Letters a sentence needs to count, and letters from which its evidence counts in full.
 WHOLE, FULL = 24, 40
 #: Sentences that make a language count; cost of a change of language between sentences.
@@ -62,12 +64,13 @@ FUNCTION_WORDS = {
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
-_SPLIT = re.compile(
-    r"(?<=[^\W\d_]{3}[.!?…])[»”\"“’)]*\s+(?=[«„“\"'(¿¡»]?[^\W\d_a-zæøåäöüéèßа-яα-ω]|\d+ )|(?<=[^\W\d_]{3}[!?.])[»”\"“’)]+\s+(?=[^\W\d_a-zæøåäöü])"
-    r"|(?<=[。！？।])[」』”’）]*|(?<=[؟.])\s+(?=[؀-ۿ])|(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)\s*|(?<=[฀-๿])\s+(?=[^\d\s])"
-)
+_MARKS = re.compile(r"[.!?…؟]+[»”\"“’)]*\s+|[。！？।]+[」』”’）]*|(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)\s*")
+_THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[^\d\s])|(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)\s*")
+_THAI = re.compile(r"[฀-๿]")
+_NUMBER = re.compile(r"\d+ ")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[^\x00-\u036f\u2000-\u2bff\ufb00-\ufb06]")
 _SCRIPTS = (
     ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽἀ-῿]")),
     ("ru", re.compile(r"[Ѐ-ӿ]")), ("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[㐀-鿿]")),
@@ -83,7 +86,7 @@ def normal_label(name: str = "lang") -> Column:
 
 def script_language(text: str) -> str | None:
     """The language its script decides, for the majority of the letters; None for Latin letters or none."""
-    if text.isascii():
+    if text.isascii() or not _OTHER.search(text):
         return None
     letters = len(_LETTER.findall(text))
     found = [(len(r.findall(text)), k) for k, r in _SCRIPTS]
@@ -94,19 +97,33 @@ def script_language(text: str) -> str | None:
     return k if n * 2 > letters else None
 
 
+def ends_piece(text: str, m: re.Match) -> bool:
+    """Whether a mark ends a rough sentence: after a word of three letters, before a capital or a number."""
+    first = m.group()[0]
+    if first not in ".!?…":
+        return True
+    if not text[max(0, m.start() - 3) : m.start()].isalpha() or m.start() < 3:
+        return False
+    at = m.end()
+    following = text[at : at + 1]
+    if following and following in "«„“\"'(¿¡»":
+        following = text[at + 1 : at + 2]
+    return following.isalpha() and not following.islower() or bool(_NUMBER.match(text, at))
+
+
 def pieces(text: str) -> list[tuple[int, int]]:
-    """Rough sentences: spans that hold letters; short ones join the one before in the same paragraph."""
+    """Rough sentences: spans that hold letters; what has none joins the one before."""
+    cuts = [m.end() for m in _MARKS.finditer(text) if ends_piece(text, m)]
+    if not text.isascii() and _THAI.search(text):
+        cuts = sorted({*cuts, *(m.end() for m in _THAI_GAP.finditer(text))})
     out: list[tuple[int, int]] = []
-    at = 0
-    for m in [*_SPLIT.finditer(text), None]:
-        a, b = at, m.start() if m else len(text)
-        if m:
-            at = m.end()
-            b = m.end()
+    a = 0
+    for b in [*cuts, len(text)]:
         if _LETTER.search(text, a, b):
             out.append((a, b))
         elif out and a < b:
             out[-1] = (out[-1][0], b)
+        a = b
     return out
 
 
@@ -127,13 +144,17 @@ def word_features(word: str) -> np.ndarray:
     return known
 
 
+def counted_words(text: str) -> list[str]:
+    """Folded words; those with a capital (names, mostly) only if first, or where no others are left."""
+    words = _WORD.findall(text)
+    plain = [w for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or words
+    return [w[:40].casefold() for w in plain]
+
+
 def features(text: str) -> np.ndarray:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    words = _WORD.findall(text)
-    # Names say little of the language: words with a capital count only where no others are left.
-    plain = [w for i, w in enumerate(words) if not w[0].isupper() or i == 0] or words
-    parts = [word_features(w.casefold()[:40]) for w in plain]
+    parts = [word_features(w) for w in counted_words(text)]
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
@@ -143,6 +164,38 @@ class Model:
     def __init__(self, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0) -> None:
         self.e, self.w, self.b, self.t, self.threshold = embeddings, weights, bias, temperature, threshold
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "table", "used")}
+
+    def word_row(self, word: str) -> int:
+        """Row of ``table`` with a word's part of the scores (its embeddings' sum times the weights) and its features' number."""
+        rows = self.__dict__.get("rows")
+        if rows is None or len(rows) >= WORDS:
+            rows = self.rows = {}
+            self.table, self.used = np.zeros((4096, len(LATIN) + 1)), 0
+        row = rows.get(word)
+        if row is None:
+            if self.used == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            f = word_features(word)
+            row = rows[word] = self.used
+            self.table[row, :-1], self.table[row, -1] = self.e[f].sum(0) @ self.w, len(f)
+            self.used += 1
+        return row
+
+    def score_words(self, sentences: list[list[str]]) -> np.ndarray:
+        """Log probabilities like ``scores``, of the words of sentences."""
+        lengths = np.array([len(x) for x in sentences])
+        flat = [self.word_row(w) for x in sentences for w in x]
+        total = np.zeros((len(sentences), len(LATIN) + 1))
+        some = lengths > 0
+        if flat:
+            starts = np.concatenate(([0], np.cumsum(lengths[some])[:-1]))
+            total[some] = np.add.reduceat(self.table[flat], starts, axis=0)
+        z = (total[:, :-1] / np.maximum(total[:, -1:], 1) + self.b) / self.t
+        z = z - z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
         """Log probabilities of the Latin-script languages, one row a bag."""
         h = np.stack([self.e[b].mean(0) if len(b) else np.zeros(self.e.shape[1], np.float32) for b in bags])
@@ -266,48 +319,73 @@ def fit_rows(rows: list[tuple[str, str]]) -> Model:
 
 
 def segment(model: Model, text: str) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, language, confidence, sentences) of the runs of one language."""
-    spans = pieces(text)
+    """(start, end, language, confidence, whole sentences) of the runs of one language of a text."""
+    return segment_all(model, [text])[0]
+
+
+def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float, int]]]:
+    """The same for many texts, whose sentences are scored together."""
+    spans, letters, whole, fixed, owner, latin, rows = [], [], [], [], [], [], []
+    for n, text in enumerate(texts):
+        if not text.isascii():
+            composed = unicodedata.is_normalized("NFC", text)
+        for a, b in pieces(text):
+            part = text[a:b]
+            script = None if part.isascii() else script_language(part)
+            words = _WORD.findall(part)
+            size = sum(map(len, words))
+            if script is None:
+                rows.append(len(spans))
+                plain = [w for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or words
+                if not part.isascii() and not composed:
+                    plain = [unicodedata.normalize("NFC", w) for w in plain]
+                latin.append([w[:40].casefold() for w in plain])
+            spans.append((a, b))
+            letters.append(size)
+            whole.append(size >= (WHOLE if script is None else WHOLE // 4))
+            fixed.append(-1 if script is None else LANGUAGES.index(script))
+            owner.append(n)
+    out: list[list[tuple[int, int, str, float, int]]] = [[] for _ in texts]
     if not spans:
-        return []
-    size = len(LANGUAGES)
-    logp = np.full((len(spans), size), -20.0)
-    latin, where = [], []
-    letters = [len(_LETTER.findall(text, a, b)) for a, b in spans]
-    whole = [n >= (WHOLE if text[a:b].isascii() or not script_language(text[a:b]) else WHOLE // 4) for n, (a, b) in zip(letters, spans)]
-    for i, (a, b) in enumerate(spans):
-        fixed = script_language(text[a:b])
-        if fixed:
-            logp[i, LANGUAGES.index(fixed)] = 0.0
-        else:
-            latin.append(features(text[a:b]))
-            where.append(i)
-    if latin:
-        s = model.scores(latin)
-        logp[where, : len(LATIN)] = np.maximum(s, -12.0)
-        logp[where] *= np.minimum(1.0, np.asarray(letters)[where] / FULL)[:, None]
-    best, back = logp[0].copy(), np.zeros((len(spans), size), int)
-    for i in range(1, len(spans)):
+        return out
+    logp = np.full((len(spans), len(LANGUAGES)), -20.0)
+    if rows:
+        logp[rows, : len(LATIN)] = np.maximum(model.score_words(latin), -12.0)
+        logp[rows] *= np.minimum(1.0, np.asarray(letters)[rows] / FULL)[:, None]
+    known = np.asarray(fixed)
+    logp[np.flatnonzero(known >= 0), known[known >= 0]] = 0.0
+    best = logp.argmax(1)
+    bounds = np.flatnonzero(np.diff(owner, prepend=-1))
+    for begin, end in zip(bounds, [*bounds[1:], len(spans)]):
+        own = logp[begin:end]
+        path = best[begin:end].tolist() if (best[begin:end] == best[begin]).all() else best_path(own)
+        start = 0
+        for i in range(1, len(path) + 1):
+            if i == len(path) or path[i] != path[start]:
+                k = path[start]
+                total = own[start:i].sum(0)
+                p = np.exp(np.maximum((total - total.max()) / (i - start) ** 0.5, -50))
+                confidence = float(p[k] / p.sum())
+                name = LANGUAGES[k] if k >= len(LATIN) or confidence >= model.threshold else "und"
+                out[owner[begin]].append((spans[begin + start][0], spans[begin + i - 1][1], name, confidence, sum(whole[begin + start : begin + i])))
+                start = i
+    return out
+
+
+def best_path(logp: np.ndarray) -> list[int]:
+    """The likeliest language of each sentence when every change costs CHANGE."""
+    n, size = logp.shape
+    best, back = logp[0].copy(), np.zeros((n, size), int)
+    for i in range(1, n):
         top = int(best.argmax())
         change = best[top] - CHANGE
         stay = best >= change
         back[i] = np.where(stay, np.arange(size), top)
         best = np.where(stay, best, change) + logp[i]
     path = [int(best.argmax())]
-    for i in range(len(spans) - 1, 0, -1):
+    for i in range(n - 1, 0, -1):
         path.append(int(back[i, path[-1]]))
-    path.reverse()
-    out, begin = [], 0
-    for i in range(1, len(spans) + 1):
-        if i == len(spans) or path[i] != path[begin]:
-            k = path[begin]
-            own = logp[begin:i].sum(0)
-            own = np.exp(np.maximum((own - own.max()) / max(1, i - begin) ** 0.5, -50))
-            confidence = float(own[k] / own.sum())
-            name = LANGUAGES[k] if k >= len(LATIN) or confidence >= model.threshold else "und"
-            out.append((spans[begin][0], spans[i - 1][1], name, confidence, sum(whole[begin:i])))
-            begin = i
-    return out
+    return path[::-1]
 
 
 def summary(found: list[tuple[int, int, str, float, int]]) -> list[tuple[str, int, int, float]]:
@@ -330,7 +408,8 @@ def _classify(docs: DataFrame, emit, schema: str, kinds: list[pa.DataType]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:
-            rows = [r for doc, text, label in zip(*(c.to_pylist() for c in batch.columns)) for r in emit(doc, label, segment(fitted, text))]
+            docs_, texts, given = (c.to_pylist() for c in batch.columns)
+            rows = [r for doc, label, found in zip(docs_, given, segment_all(fitted, texts)) for r in emit(doc, label, found)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 

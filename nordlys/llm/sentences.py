@@ -368,7 +368,7 @@ class Segmenter:
             if cs:
                 marks = depth_marks(text, a, b)
                 for c in cs:
-                    inside = bool(marks) and _inside(marks, c.end) > 0
+                    inside = bool(marks) and marks[-1][1] == 0 and _inside(marks, c.end) > 0
                     opens = c.end - a < 6 and not text[a : c.end - 1].strip("0123456789")
                     token, prev = left_token(text, a, c.end, c.close)
                     right, kind = right_token(text, c.begin, b)
@@ -386,7 +386,7 @@ class Segmenter:
     def is_end(self, c: Candidate, token: str, prev: str, right: str, kind: str, text: str, inside: bool, opens: bool) -> bool:
         k = (bucket("L", token), bucket("P", prev, token), bucket("R", right), token, prev, right, kind)
         x = features(c, k, text, self.counts, self.abbreviations, inside, opens)
-        if x[_LOWER] or x[_ELLIPSIS]:
+        if x[_LOWER] or x[_ELLIPSIS] or inside:  # a quotation with its brackets closed later on is one unit
             return False
         return sum(w * v for w, v in zip(self.weights, x)) > 0
 

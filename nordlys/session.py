@@ -46,8 +46,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def plan_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's scans; leaves of unknown size count as nothing (estimates of joins are left out)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def spread(df: DataFrame, *keys: str, per_task: int = 16 << 20, floor: int = 3) -> DataFrame:
@@ -57,7 +60,7 @@ def spread(df: DataFrame, *keys: str, per_task: int = 16 << 20, floor: int = 3)
     ``floor`` times the cluster's cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    n = max(floor * cores, min(200_000, plan_bytes(df) // per_task))
+    n = max(floor * cores, min(200_000, input_bytes(df) // per_task))
     return df.repartition(int(n), *[F.col(k) for k in keys])
 
 

@@ -259,7 +259,7 @@ def calibrate(model: Model, bags: list[np.ndarray], labels: np.ndarray) -> None:
     right, top = s.argmax(1) == labels, np.exp(s.max(1))
     grid = np.linspace(0.2, 0.95, 31)
     low = [t for t in grid if (top < t).any() and right[top < t].mean() < 0.5]
-    model.threshold = float(max(low)) if low else 0.25
+    model.threshold = min(0.6, float(max(low))) if low else 0.25
 
 
 def function_vote(words: list[str]) -> dict[str, int]:
@@ -318,12 +318,12 @@ def fit_rows(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def segment(model: Model, text: str) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, language, confidence, whole sentences) of the runs of one language of a text."""
+def segment(model: Model, text: str) -> list[tuple[int, int, str, float, int, str]]:
+    """(start, end, language or und, confidence, whole sentences, best guess) of the runs of one language of a text."""
     return segment_all(model, [text])[0]
 
 
-def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float, int]]]:
+def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float, int, str]]]:
     """The same for many texts, whose sentences are scored together."""
     spans, letters, whole, fixed, owner, latin, rows = [], [], [], [], [], [], []
     for n, text in enumerate(texts):
@@ -345,7 +345,7 @@ def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
             whole.append(size >= (WHOLE if script is None else WHOLE // 4))
             fixed.append(-1 if script is None else LANGUAGES.index(script))
             owner.append(n)
-    out: list[list[tuple[int, int, str, float, int]]] = [[] for _ in texts]
+    out: list[list[tuple[int, int, str, float, int, str]]] = [[] for _ in texts]
     if not spans:
         return out
     logp = np.full((len(spans), len(LANGUAGES)), -20.0)
@@ -367,7 +367,7 @@ def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
                 p = np.exp(np.maximum((total - total.max()) / (i - start) ** 0.5, -50))
                 confidence = float(p[k] / p.sum())
                 name = LANGUAGES[k] if k >= len(LATIN) or confidence >= model.threshold else "und"
-                out[owner[begin]].append((spans[begin + start][0], spans[begin + i - 1][1], name, confidence, sum(whole[begin + start : begin + i])))
+                out[owner[begin]].append((spans[begin + start][0], spans[begin + i - 1][1], name, confidence, sum(whole[begin + start : begin + i]), LANGUAGES[k]))
                 start = i
     return out
 
@@ -388,10 +388,15 @@ def best_path(logp: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def summary(found: list[tuple[int, int, str, float, int]]) -> list[tuple[str, int, int, float]]:
-    """(language, sentences, characters, confidence) of the languages that count, most text first."""
+def summary(found: list[tuple[int, int, str, float, int, str]]) -> list[tuple[str, int, int, float]]:
+    """(language, sentences, characters, confidence) of the languages that count, most text first.
+
+    Rejected segments count for none, but if all are, the best guess stands with its low confidence.
+    """
     total: dict[str, list[float]] = {}
-    for a, b, name, confidence, n in found:
+    rejected = all(f[2] == "und" for f in found)
+    for a, b, name, confidence, n, guess in found:
+        name = guess if rejected else name
         x = total.setdefault(name, [0, 0, 0.0])
         x[0] += n
         x[1] += b - a
@@ -431,7 +436,7 @@ def document_segments(docs: DataFrame) -> DataFrame:
     """(doc_id, segment, start_char, end_char, lang, confidence) of every document."""
 
     def emit(doc, label, found):
-        return [(doc, i, a, b, k, conf) for i, (a, b, k, conf, _) in enumerate(found)]
+        return [(doc, i, a, b, k, conf) for i, (a, b, k, conf, _, _) in enumerate(found)]
 
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
     return _classify(docs, emit, "doc_id bigint, segment int, start_char int, end_char int, lang string, confidence double", kinds)

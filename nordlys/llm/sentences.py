@@ -386,7 +386,7 @@ class Segmenter:
     def is_end(self, c: Candidate, token: str, prev: str, right: str, kind: str, text: str, inside: bool, opens: bool) -> bool:
         k = (bucket("L", token), bucket("P", prev, token), bucket("R", right), token, prev, right, kind)
         x = features(c, k, text, self.counts, self.abbreviations, inside, opens)
-        if x[_LOWER] or x[_ELLIPSIS] or inside:  # a quotation with its brackets closed later on is one unit
+        if x[_LOWER] or x[_ELLIPSIS] or inside or not c.gap and "d" in kind and text[c.end - 1 - len(c.mark) : c.end - len(c.mark)].isdigit():  # a quotation with its brackets closed later on is one unit
             return False
         return sum(w * v for w, v in zip(self.weights, x)) > 0
 

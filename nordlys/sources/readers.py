@@ -72,8 +72,11 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dump_articles(raw: DataFrame) -> DataFrame:
-    checked = raw.withColumn("id", F.when(F.col("ns").isNull() | F.col("id").isNull(), F.raise_error(F.lit("a page has no namespace or id")).cast("bigint")).otherwise(F.col("id")))
-    return checked.filter("ns = 0 and redirect is null and trim(revision.text) <> ''").select(F.col("id").alias("page_id"), F.col("revision.text").alias("text"))
+    # The error is part of the one condition, so no pushed filter can hide it.
+    bad = F.col("ns").isNull() | F.col("id").isNull()
+    wanted = (F.col("ns") == 0) & F.col("redirect").isNull() & (F.trim("revision.text") != "")
+    checked = F.when(bad, F.raise_error(F.lit("a page has no namespace or id")).cast("boolean")).otherwise(wanted)
+    return raw.filter(checked).select(F.col("id").alias("page_id"), F.col("revision.text").alias("text"))
 
 
 def book_name(name: Column) -> Column:

@@ -41,5 +41,5 @@ def report_json(rows: DataFrame) -> DataFrame:
 
 def report_text(rows: DataFrame, name: str, *values: str, width: int = 24) -> DataFrame:
     """Aligned text lines of a metrics table, sorted by name."""
-    cells = [F.lpad(F.coalesce(F.format_string("%.4f", F.col(v).cast("double")), F.lit("-")), 12, " ") for v in values]
+    cells = [F.lpad(F.when(F.col(v).isNull(), F.lit("-")).otherwise(F.format_string("%.4f", F.col(v).cast("double"))), 12, " ") for v in values]
     return rows.orderBy(name).select(F.concat(F.rpad(F.col(name).cast("string"), width, " "), *cells).alias("line"))

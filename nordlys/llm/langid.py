@@ -36,7 +36,7 @@ from nordlys.session import spread
 LANGUAGES = ("nb", "nn", "en", "da", "sv", "de", "fr", "es", "ru", "el", "zh", "ja", "th", "hi", "ar")
 LATIN = LANGUAGES[:8]
 #: Hash buckets, embedding size, passes, and documents a language the model is fitted on.
-BUCKETS, WIDTH, EPOCHS, SAMPLE = 1 << 16, 16, 6, 500
+BUCKETS, WIDTH, EPOCHS, SAMPLE = 1 << 16, 16, 4, 500
 SAMPLE_LENGTH, SENTENCES_A_LANGUAGE = 20_000, 3000
 #: Distinct words a worker remembers the scores of before it starts afresh.
 WORDS = 300_000

@@ -37,8 +37,15 @@ def overlap(a: DataFrame, b: DataFrame, key: str = "fingerprint") -> DataFrame:
 
 
 def reindexed(sentences: DataFrame, document: str, *order: str, name: str = "sentence_index") -> DataFrame:
-    """Numbers the surviving sentences of each document anew, from 0."""
-    return sentences.withColumn(name, F.row_number().over(Window.partitionBy(document).orderBy(*order)) - 1)
+    """Numbers the surviving sentences of each document anew, from 0.
+
+    The place in the whole order is taken less that of the document's first
+    sentence, so a document that holds a third of all rows is no single task.
+    """
+    placed = running_total(sentences, F.lit(1), document, *order, name="_place")
+    first = placed.groupBy(F.col(document).alias("_document")).agg(F.min("_place").alias("_first"))
+    joined = placed.join(small(first), F.col(document).eqNullSafe(F.col("_document")))
+    return joined.withColumn(name, (F.col("_place") - F.col("_first")).cast("int")).drop("_place", "_first", "_document")
 
 
 def manifest(sentences: DataFrame, *by: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the single-pass generators (extensions; batch semantics stay the reference).
+"""Structured Streaming forms of the single-pass generators (extensions of the batch operators).
 
 Each takes a streaming DataFrame and gives one; the caller chooses sink, trigger
 and checkpoint location.

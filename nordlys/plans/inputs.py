@@ -58,6 +58,12 @@ SQL_TOKENS = (
     "gold AS (SELECT " + _PARTS.format(m="regexp_matches", r="") + " FROM u), "
     "system AS (SELECT " + _SYSTEM + " FROM gold)"
 )
+#: The evaluation items' tokens and annotations: itok, igold.
+SQL_ITEMS = (
+    "itok AS (SELECT * FROM (SELECT item_id AS sent_id, unnest(tokens) AS form, generate_subscripts(tokens, 1) - 1 AS tok_idx FROM evaluation_item) WHERE form <> ''), "
+    "iu AS (SELECT *, " + _UPOS.format(m="regexp_matches", r="") + " AS upos FROM itok), "
+    "igold AS (SELECT " + _PARTS.format(m="regexp_matches", r="") + " FROM iu)"
+)
 #: A feature bundle of the columns number, definite, gender in SQL.
 SQL_BUNDLE = "coalesce(nullif(concat_ws('|', 'Definite=' || {p}definite, 'Gender=' || {p}gender, 'Number=' || {p}number), ''), '_')"
 
@@ -73,8 +79,22 @@ def _features() -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
+def item_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(sent_id, tok_idx, form) of the evaluation items."""
+    items = enough_tasks(table(spark, sf, "evaluation_item").select("item_id", "tokens"), "item_id")
+    return items.select(F.col("item_id").alias("sent_id"), F.posexplode("tokens").alias("tok_idx", "form")).filter("form <> ''")
+
+
+def item_gold(spark: SparkSession, sf: str) -> DataFrame:
+    return annotated(item_tokens(spark, sf))
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    with_upos = tokens(spark, sf).select("*", F.expr(_UPOS.format(m="regexp_like", r="r")).alias("upos"))
+    return annotated(tokens(spark, sf))
+
+
+def annotated(rows: DataFrame) -> DataFrame:
+    with_upos = rows.select("*", F.expr(_UPOS.format(m="regexp_like", r="r")).alias("upos"))
     return _select(with_upos, _PARTS.format(m="regexp_like", r="r")).withColumn("features", _features())
 
 

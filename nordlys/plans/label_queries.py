@@ -10,7 +10,7 @@ from nordlys.functions import vectors as V
 from nordlys.operators import annotate, bundles, evaluation, probability, ranges, schema, subword
 from nordlys.operators import segmentation as seg
 from nordlys.plans import inputs
-from nordlys.plans.inputs import SQL_BUNDLE, SQL_TOKENS
+from nordlys.plans.inputs import SQL_BUNDLE, SQL_ITEMS, SQL_TOKENS
 from nordlys.session import enough_tasks, table
 from nordlys.sources import markup
 
@@ -182,11 +182,11 @@ def parity_max_diff(spark: SparkSession, sf: str) -> DataFrame:
 # --- bundles and audits
 
 
-_INV = _T + f", inv AS (SELECT upos, b AS bundle, count(*) AS cnt, row_number() OVER (PARTITION BY upos ORDER BY count(*) DESC, b) AS rank FROM (SELECT upos, {SQL_BUNDLE.format(p='')} AS b FROM gold WHERE sent_id % 5 <> 0) GROUP BY 1, 2)"
+_INV = _T + f", inv AS (SELECT upos, b AS bundle, count(*) AS cnt, row_number() OVER (PARTITION BY upos ORDER BY count(*) DESC, b) AS rank FROM (SELECT upos, {SQL_BUNDLE.format(p='')} AS b FROM gold) GROUP BY 1, 2)"
 
 
 def _inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return bundles.bundle_inventory(inputs.gold(spark, sf).filter("sent_id % 5 <> 0"))
+    return bundles.bundle_inventory(inputs.gold(spark, sf))
 
 
 @query(_INV + " SELECT upos, bundle, cnt, rank::INT AS rank FROM inv")
@@ -199,11 +199,11 @@ def bundle_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.bundle_candidates(_inventory(spark, sf), 4)
 
 
-@query(_INV + f""", d AS (SELECT upos, {SQL_BUNDLE.format(p='')} AS bundle FROM gold WHERE sent_id % 5 = 0), j AS (SELECT d.*, inv.rank, d.bundle IN (SELECT bundle FROM inv) AS known FROM d LEFT JOIN inv USING (upos, bundle)),
+@query(_INV + f""", {SQL_ITEMS}, d AS (SELECT upos, {SQL_BUNDLE.format(p='')} AS bundle FROM igold), j AS (SELECT d.*, inv.rank, d.bundle IN (SELECT bundle FROM inv) AS known FROM d LEFT JOIN inv USING (upos, bundle)),
 s AS (SELECT *, unnest(CASE WHEN bundle <> '_' THEN ['all', 'annotated'] ELSE ['all'] END) AS slice FROM j)
 SELECT slice, count(*) AS tokens, count(*) FILTER (known) AS seen, count(*) FILTER (rank IS NOT NULL) AS seen_with_upos, count(*) FILTER (rank <= 1) AS top_1, count(*) FILTER (rank <= 2) AS top_2, count(*) FILTER (rank <= 4) AS top_4, count(*) FILTER (rank <= 8) AS top_8, count(*) FILTER (rank <= 16) AS top_16, count(*) FILTER (rank <= 32) AS top_32 FROM s GROUP BY 1""")
 def bundle_oracle(spark: SparkSession, sf: str) -> DataFrame:
-    return bundles.bundle_oracle(inputs.gold(spark, sf).filter("sent_id % 5 = 0"), _inventory(spark, sf))
+    return bundles.bundle_oracle(inputs.item_gold(spark, sf), _inventory(spark, sf))
 
 
 @query(_INV + " SELECT sum(cnt)::BIGINT AS examples, sum(n)::BIGINT AS pairs, max(n) AS max_per_upos, (SELECT count(DISTINCT bundle) FROM inv) AS bundles FROM (SELECT upos, count(*) AS n, sum(cnt) AS cnt FROM inv GROUP BY 1)")
@@ -211,7 +211,7 @@ def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.inventory_summary(_inventory(spark, sf))
 
 
-_ERR = _PAIRS + """, pc AS (SELECT replace(replace(lower(nfc_normalize(form)), 'ß', 'ss'), 'ς', 'σ') AS f, count(*) AS cnt FROM tok WHERE sent_id % 5 <> 0 GROUP BY 1),
+_ERR = _PAIRS + f", {SQL_ITEMS}" + """, pc AS (SELECT replace(replace(lower(nfc_normalize(form)), 'ß', 'ss'), 'ς', 'σ') AS f, count(*) AS cnt FROM itok GROUP BY 1),
 ctx AS (SELECT pr.*, coalesce(lag(gu) OVER w, '<BOS>') AS pu, coalesce(lead(gu) OVER w, '<EOS>') AS nu, CASE WHEN coalesce(cnt, 0) = 0 THEN 'oov' WHEN cnt <= 5 THEN 'rare' ELSE 'frequent' END AS fc
   FROM pr LEFT JOIN pc ON replace(replace(lower(nfc_normalize(pr.form)), 'ß', 'ss'), 'ς', 'σ') = pc.f WINDOW w AS (PARTITION BY sent_id ORDER BY tok_idx)),
 er AS (SELECT *, coalesce(gn, '<NONE>') AS gv, coalesce(sn, '<NONE>') AS sv FROM ctx WHERE coalesce(gn, '<NONE>') <> coalesce(sn, '<NONE>'))"""
@@ -219,7 +219,7 @@ er AS (SELECT *, coalesce(gn, '<NONE>') AS gv, coalesce(sn, '<NONE>') AS sv FROM
 
 def _classed(spark: SparkSession, sf: str) -> DataFrame:
     p = inputs.pairs(spark, sf)
-    profile = evaluation.frequency_profile(inputs.tokens(spark, sf).filter("sent_id % 5 <> 0"))
+    profile = evaluation.frequency_profile(inputs.item_tokens(spark, sf))
     return evaluation.with_frequency_class(p.withColumn("form", F.col("g.form")), profile)
 
 
@@ -336,9 +336,9 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return probability.class_weights(table(spark, sf, "events").select(F.col("event_type").alias("label")), "label").select("label", "pos", r6(F.col("weight")).alias("weight"))
 
 
-@query("SELECT event_id, round(CASE WHEN event_id % 100 < 10 THEN (event_id % 100) / 10 ELSE greatest(0, (100 - event_id % 100) / 90) END, 6) AS factor FROM events WHERE event_id < 1000")
+@query("SELECT event_id, round(CASE WHEN event_id % 100 < 10 THEN (event_id % 100) / 10 ELSE greatest(0, (100 - event_id % 100) / 90) END, 6) AS factor FROM events")
 def learning_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter("event_id < 1000").select("event_id", r6(V.learning_rate(F.col("event_id") % 100, 10, 100)).alias("factor"))
+    return table(spark, sf, "events").select("event_id", r6(V.learning_rate(F.col("event_id") % 100, 10, 100)).alias("factor"))
 
 
 # --- silver labels

@@ -10,7 +10,7 @@ from nordlys.functions.text import SPACE, TOKEN
 from nordlys.operators import corpus, evaluation, sampling, schema
 from nordlys.operators import segmentation as seg
 from nordlys.plans import inputs
-from nordlys.plans.inputs import SQL_TOKENS
+from nordlys.plans.inputs import SQL_ITEMS, SQL_TOKENS
 from nordlys.session import enough_tasks, table
 from nordlys.sources import markup, readers
 
@@ -161,14 +161,13 @@ def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.shards(inputs.sentences(spark, sf), 500, "document_id", "sentence_index", "sentence_id").select("sentence_id", "shard")
 
 
-_PROFILE = f"prof AS (SELECT {_FOLD.format(x='nfc_normalize(form)')} AS form, count(*) AS cnt FROM tok WHERE sent_id % 5 <> 0 GROUP BY 1)"
+_PROFILE = f"prof AS (SELECT {_FOLD.format(x='nfc_normalize(form)')} AS form, count(*) AS cnt FROM tok GROUP BY 1)"
 
 
-@query(f"WITH {SQL_TOKENS}, {_PROFILE} SELECT CASE WHEN coalesce(cnt, 0) = 0 THEN 'oov' WHEN cnt <= 5 THEN 'rare' ELSE 'frequent' END AS freq_class, count(*) AS tokens, count(DISTINCT t.form) AS forms FROM tok t LEFT JOIN prof p ON {_FOLD.format(x='nfc_normalize(t.form)')} = p.form WHERE sent_id % 5 = 0 GROUP BY 1")
+@query(f"WITH {SQL_TOKENS}, {SQL_ITEMS}, {_PROFILE} SELECT CASE WHEN coalesce(cnt, 0) = 0 THEN 'oov' WHEN cnt <= 5 THEN 'rare' ELSE 'frequent' END AS freq_class, count(*) AS tokens, count(DISTINCT t.form) AS forms FROM itok t LEFT JOIN prof p ON {_FOLD.format(x='nfc_normalize(t.form)')} = p.form GROUP BY 1")
 def freq_class_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """Frequency classes of held-out tokens against the others' profile."""
-    t = inputs.tokens(spark, sf)
-    classed = evaluation.with_frequency_class(t.filter("sent_id % 5 = 0"), evaluation.frequency_profile(t.filter("sent_id % 5 <> 0")))
+    """Frequency classes of the evaluation items' tokens against the silver corpus's profile."""
+    classed = evaluation.with_frequency_class(inputs.item_tokens(spark, sf), evaluation.frequency_profile(inputs.tokens(spark, sf)))
     return classed.groupBy("freq_class").agg(F.count("*").alias("tokens"), F.countDistinct("form").alias("forms"))
 
 
@@ -238,7 +237,7 @@ def conllu_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.parse_blocks(blocks, "item_id").select("item_id", "tok_idx", "form", "lemma", X.feature_bundle(F.col("features")).alias("features"), "space_after")
 
 
-_RULE_SQL = f"""WITH {SQL_TOKENS}, p AS (SELECT DISTINCT form AS token, lemma FROM gold WHERE upos <> 'PUNCT'),
+_RULES_OF = f"""p AS (SELECT DISTINCT form AS token, lemma FROM {{gold}} WHERE upos <> 'PUNCT'),
 st AS (SELECT token, lemma, unnest(range(1, length(token) + 1)) AS a FROM p), s2 AS (SELECT *, unnest(range(1, length(token) - a + 2)) AS n FROM st),
 m AS (SELECT token, lemma, a, n, instr(lemma, substr(token, a, n)) AS b FROM s2 WHERE contains(lemma, substr(token, a, n))),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token, lemma ORDER BY n DESC, a, b) AS r FROM m) WHERE r = 1),
@@ -246,8 +245,11 @@ rules AS (SELECT p.token, p.lemma, coalesce(a - 1, 0)::INT AS pr, (CASE WHEN n I
   CASE WHEN n IS NULL THEN '' ELSE substr(p.lemma, 1, b - 1) END AS pa, CASE WHEN n IS NULL THEN p.lemma ELSE substr(p.lemma, b + n) END AS sa FROM p LEFT JOIN best USING (token, lemma))"""
 
 
-def _rules(spark: SparkSession, sf: str) -> DataFrame:
-    p = inputs.gold(spark, sf).filter("upos <> 'PUNCT'").select(F.col("form").alias("token"), "lemma").distinct()
+_RULE_SQL = f"WITH {SQL_TOKENS}, " + _RULES_OF.format(gold="gold")
+
+
+def _rules(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+    p = (inputs.item_gold if items else inputs.gold)(spark, sf).filter("upos <> 'PUNCT'").select(F.col("form").alias("token"), "lemma").distinct()
     return p.withColumn("_r", X.derive_rule(F.col("token"), F.col("lemma"))).select("token", "lemma", "_r.*")
 
 
@@ -274,10 +276,9 @@ def lemma_apply(spark: SparkSession, sf: str) -> DataFrame:
     return _rules(spark, sf).select("token", "lemma", X.apply_rule(F.col("token"), F.struct("pr", "sr", "pa", "sa")).alias("restored"))
 
 
-@query(_RULE_SQL + """, known AS (SELECT DISTINCT pr, sr, pa, sa FROM rules WHERE length(token) % 2 = 0), r AS (SELECT rules.*, known.pr IS NULL AS unknown FROM rules LEFT JOIN known USING (pr, sr, pa, sa))
-SELECT count(*) AS tokens, count(*) FILTER (unknown) AS unknown_rules FROM r""")
+@query(f"WITH {SQL_ITEMS}, itr AS MATERIALIZED (WITH " + _RULES_OF.format(gold="igold") + f" SELECT DISTINCT pr, sr, pa, sa FROM rules), {SQL_TOKENS}, " + _RULES_OF.format(gold="gold") + """
+SELECT count(*) AS tokens, count(*) FILTER (itr.pr IS NULL) AS unknown_rules FROM rules LEFT JOIN itr USING (pr, sr, pa, sa)""")
 def lemma_unknown(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules of a held-out half looked up in the schema of the other."""
-    r = _rules(spark, sf)
-    known = schema.lemma_rule_schema(r.filter(F.length("token") % 2 == 0))
-    return schema.with_rule_id(r, known).agg(F.count("*").alias("tokens"), F.count_if(F.col("rule_id").isNull()).alias("unknown_rules"))
+    """The silver forms' rules looked up in the schema of the evaluation items."""
+    known = schema.lemma_rule_schema(_rules(spark, sf, items=True))
+    return schema.with_rule_id(_rules(spark, sf), known).agg(F.count("*").alias("tokens"), F.count_if(F.col("rule_id").isNull()).alias("unknown_rules"))

@@ -96,3 +96,12 @@ def test_range_checks(spark):
     assert all(r[0] == r[1] for r in d.select(ranges.ranges_valid(F.col("t"), F.col("r")), "fine").collect())
     c = d.limit(1).select(ranges.clip(F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end")), F.struct(F.lit(6).alias("start"), F.lit(9).alias("end"))), F.lit(2), F.lit(6))).first()[0]
     assert [tuple(x) for x in c] == [(2, 4)]
+
+
+def test_profiles():
+    from nordlys.profiles import profile_of
+
+    assert "f.eks." in profile_of("nb", "nn").policy().abbreviations and "e.g." in profile_of("en").policy().abbreviations
+    assert (len(profile_of("nn").abbreviations), len(profile_of("en").abbreviations)) == (42, 71)
+    with pytest.raises(ValueError):
+        profile_of("nb", "en")

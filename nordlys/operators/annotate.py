@@ -72,13 +72,15 @@ def decode_tokens(scored: DataFrame, keys: list[str], labels: Labels) -> DataFra
     rows = scored.select(*keys, F.posexplode(F.arrays_zip(F.col("tokens").alias("form"), F.col("has_space_before").alias("space"), F.col("scores").alias("s"))).alias("tok_idx", "x"))
     found = {name: V.tagged_values(F.element_at(x["s"]["m"], name), F.array(*[F.lit(v) for v in values]), multi) for name, (values, multi) in sorted(labels.features.items())}
     rule = F.get(rules, F.get(x["s"]["li"], V.argmax(x["s"]["lp"])))
-    named = F.array(*[F.struct(F.lit(n).alias("key"), c.alias("v")) for n, c in found.items()])
-    return rows.select(
-        *keys, "tok_idx", x["form"].alias("form"), x["space"].alias("has_space_before"), F.get(upos, V.argmax(x["s"]["u"])).alias("upos"), F.array_max(x["s"]["u"]).alias("upos_confidence"),
-        F.transform(V.top_k(upos, x["s"]["u"], len(labels.upos)), lambda e: F.struct(e["id"].alias("upos"), e["p"].alias("probability"))).alias("upos_distribution"),
-        F.map_from_entries(F.transform(F.filter(named, lambda e: F.size(e["v"]["values"]) > 0), lambda e: F.struct(e["key"], e["v"]["values"]))).alias("features"),
-        F.map_from_entries(F.transform(F.filter(named, lambda e: F.size(e["v"]["values"]) > 0), lambda e: F.struct(e["key"], e["v"]["confidence"]))).alias("feature_confidences"),
-        F.coalesce(apply_rule(x["form"], rule), x["form"]).alias("lemma"), F.array_max(x["s"]["lp"]).alias("lemma_confidence"),
+    named = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), c.alias("v")) for n, c in found.items()]), lambda e: F.size(e["v"]["values"]) > 0)
+    # Staged, since later columns read each of these more than once.
+    staged = rows.select(*keys, "tok_idx", x["form"].alias("form"), x["space"].alias("has_space_before"), x["s"]["u"].alias("_u"), x["s"]["lp"].alias("_lp"), named.alias("_f"), rule.alias("_rule"))
+    return staged.select(
+        *keys, "tok_idx", "form", "has_space_before", F.get(upos, V.argmax(F.col("_u"))).alias("upos"), F.array_max("_u").alias("upos_confidence"),
+        F.transform(V.top_k(upos, F.col("_u"), len(labels.upos)), lambda e: F.struct(e["id"].alias("upos"), e["p"].alias("probability"))).alias("upos_distribution"),
+        F.map_from_entries(F.transform("_f", lambda e: F.struct(e["key"], e["v"]["values"]))).alias("features"),
+        F.map_from_entries(F.transform("_f", lambda e: F.struct(e["key"], e["v"]["confidence"]))).alias("feature_confidences"),
+        F.coalesce(apply_rule(F.col("form"), F.col("_rule")), F.col("form")).alias("lemma"), F.array_max("_lp").alias("lemma_confidence"),
     )
 
 

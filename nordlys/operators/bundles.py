@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nordlys.functions.text import feature_bundle
-from nordlys.session import small
+from nordlys.session import materialize, small
 
 
 def bundle_inventory(tokens: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def bundle_candidates(inventory: DataFrame, most: int) -> DataFrame:
 
 def bundle_oracle(tokens: DataFrame, inventory: DataFrame, ks: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
     """How many tokens' bundles were seen at all, with their UPOS, and within its first k; all and annotated tokens."""
+    inventory = materialize(inventory)  # read for two joins
     rows = tokens.select("upos", feature_bundle(F.col("features")).alias("bundle"))
     # Counted before the join, so that a bundle which most tokens have is one row.
     rows = rows.groupBy("upos", "bundle").agg(F.count("*").alias("n"))

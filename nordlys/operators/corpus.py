@@ -44,7 +44,7 @@ def reindexed(sentences: DataFrame, document: str, *order: str, name: str = "sen
     """
     placed = running_total(sentences, F.lit(1), document, *order, name="_place")
     first = placed.groupBy(F.col(document).alias("_document")).agg(F.min("_place").alias("_first"))
-    joined = placed.join(small(first), F.col(document).eqNullSafe(F.col("_document")))
+    joined = placed.join(small(first, derived=True), F.col(document).eqNullSafe(F.col("_document")))
     return joined.withColumn(name, (F.col("_place") - F.col("_first")).cast("int")).drop("_place", "_first", "_document")
 
 

@@ -22,7 +22,7 @@ def frequency_class(count: Column, rare: int = 5) -> Column:
 
 def with_frequency_class(tokens: DataFrame, profile: DataFrame, rare: int = 5, column: str = "form") -> DataFrame:
     """Left lookup of the training count; the profile is broadcast only if it is small."""
-    side = small(profile.select(F.col("form").alias("_form"), "cnt"))
+    side = small(profile.select(F.col("form").alias("_form"), "cnt"), derived=True)
     return tokens.join(side, nfc_key(F.col(column)) == F.col("_form"), "left").withColumn("freq_class", frequency_class(F.coalesce("cnt", F.lit(0)), rare)).drop("_form", "cnt")
 
 

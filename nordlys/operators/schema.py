@@ -47,7 +47,7 @@ def lemma_rule_schema(rules: DataFrame) -> DataFrame:
 
 def with_rule_id(rules: DataFrame, schema: DataFrame) -> DataFrame:
     """Left lookup: a rule the schema lacks has a null id."""
-    return rules.join(small(schema), ["pr", "sr", "pa", "sa"], "left")
+    return rules.join(small(schema, derived=True), ["pr", "sr", "pa", "sa"], "left")
 
 
 def character_vocabulary(forms: DataFrame, least: int = 1, column: str = "form") -> DataFrame:
@@ -58,7 +58,7 @@ def character_vocabulary(forms: DataFrame, least: int = 1, column: str = "form")
 
 def assert_known(tokens: DataFrame, schema: DataFrame, column: str) -> DataFrame:
     """The tokens, but an unknown label ends the query with an error that names it."""
-    known = small(schema.select(F.col(column).alias("_known")).distinct())
+    known = small(schema.select(F.col(column).alias("_known")).distinct(), derived=True)
     joined = tokens.join(known, F.col(column) == F.col("_known"), "left")
     checked = F.when(F.col(column).isNull() | F.col("_known").isNotNull(), F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.col(column))))
     return joined.withColumn(column, checked.cast("string")).drop("_known")

@@ -37,12 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, derived: bool = False) -> DataFrame:
     """Broadcast hint for a dimension, given only after its size was counted.
 
     Beyond ``rows`` the frame is returned without the hint, so the join is a
-    shuffled one that adaptive execution may still split on skew.
+    shuffled one that adaptive execution may still split on skew.  A dimension
+    ``derived`` from a corpus is written first, so that counting it and joining
+    it don't compute it twice.
     """
+    df = materialize(df) if derived else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -1,6 +1,9 @@
-"""A Python data source for tar archives of text members: ``spark.read.format("tartext").load(path)``.
+"""Python data sources for inputs Spark can't split: tar archives and giant JSON objects.
 
-One partition an archive (a compressed archive can't be split); members come in
+``spark.read.format("tartext").load(path)`` reads the text members of archives,
+``spark.read.format("pagesjson").load(path)`` the pages of objects of documents.
+
+One partition a file (a compressed archive can't be split); members come in
 sorted order and are read one at a time.  ``suffix`` and ``contains`` filter on
 the member's name before its bytes are read.
 """
@@ -8,8 +11,10 @@ the member's name before its bytes are read.
 from __future__ import annotations
 
 import glob
+import json
 import tarfile
 from collections.abc import Iterator
+from typing import IO
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -47,5 +52,94 @@ class TarReader(DataSourceReader):
                     yield partition.value, member.name, text
 
 
+class PagesJson(DataSource):
+    """(document_id, page, language, text) of files that hold one object of documents with page triples.
+
+    The object is never held whole: one document's entry is decoded at a time.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "pagesjson"
+
+    def schema(self) -> str:
+        return "document_id string, page int, language string, text string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PagesReader(self.options)
+
+
+class PagesReader(TarReader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with open(partition.value, encoding="utf-8") as file:
+            for document, entries in object_items(file, int(self.chunk)):
+                for e in entries:
+                    if not (isinstance(e, list) and len(e) == 3 and all(isinstance(x, str) for x in e)):
+                        raise ValueError(f"a page entry of {document} is not three strings")
+                    yield document, int(e[0]), e[1], e[2]
+
+    def __init__(self, options) -> None:
+        super().__init__(options)
+        self.chunk = options.get("chunk", str(1 << 20))
+
+
+class _Window:
+    """What has been read of a text file and not yet used up."""
+
+    def __init__(self, file: IO[str], size: int) -> None:
+        self.file, self.size, self.text = file, size, ""
+
+    def more(self) -> None:
+        part = self.file.read(self.size)
+        if not part:
+            raise ValueError("the object ends too early")
+        self.text += part
+
+    def sign(self) -> str:
+        """The next character that is no white space, which stays."""
+        while not (rest := self.text.lstrip()):
+            self.more()
+        self.text = rest
+        return rest[0]
+
+    def take(self, sign: str) -> None:
+        if self.sign() != sign:
+            raise ValueError(f"expected {sign}, found {self.text[0]}")
+        self.text = self.text[1:]
+
+    def value(self):
+        """The next JSON string, array or object; read on until it is whole."""
+        if self.sign() not in '"[{':
+            raise ValueError("expected a string, array or object")
+        while True:
+            try:
+                found, end = _DECODER.raw_decode(self.text)
+            except json.JSONDecodeError:
+                self.more()
+            else:
+                self.text = self.text[end:]
+                return found
+
+
+_DECODER = json.JSONDecoder()
+
+
+def object_items(file: IO[str], size: int = 1 << 20) -> Iterator[tuple[str, list]]:
+    """Key and value of each entry of the one object a file holds."""
+    w = _Window(file, size)
+    w.take("{")
+    while w.sign() != "}":
+        key = w.value()
+        if not isinstance(key, str):
+            raise ValueError("a key is not a string")
+        w.take(":")
+        yield key, w.value()
+        if w.sign() == ",":
+            w.take(",")
+        elif w.sign() != "}":
+            raise ValueError("expected , or }")
+
+
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(TarText)
+    for source in (TarText, PagesJson):
+        spark.dataSource.register(source)

@@ -61,6 +61,24 @@ def test_pages(spark, tmp_path):
             readers.pages_of(spark.createDataFrame([(bad,)], "value string")).collect()
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1024])
+def test_giant_object_in_chunks(size):
+    import io
+
+    data = {"a": [["2", "nno", "tekst \"æøå\" 🙂"], ["1", "nob", "}{"]], "b": [], "ø": [["3", "nno", ""]]}
+    assert dict(archive.object_items(io.StringIO(json.dumps(data, indent=1, ensure_ascii=False)), size)) == data
+    for bad in ("[]", '{"a": [', '{"a" [1]}', '{1: []}', '{"a": [] "b": []}', ""):
+        with pytest.raises(ValueError):
+            list(archive.object_items(io.StringIO(bad), size))
+
+
+def test_pages_source(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"1": [["2", "nno", "b"], ["1", "nno", "a"]]}))
+    archive.register(spark)
+    rows = spark.read.format("pagesjson").option("chunk", "5").load(str(tmp_path / "p.json")).orderBy("page").collect()
+    assert [tuple(r) for r in rows] == [("1", 1, "nno", "a"), ("1", 2, "nno", "b")]
+
+
 def test_plain_library_and_book(spark, tmp_path):
     head = "Title\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\nCHAPTER I\n\nIt was\nlate. ___\n\n* * *\n\nEnd.\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nfooter"
     (tmp_path / "pg1.txt").write_bytes(b"\xef\xbb\xbf" + head.encode())

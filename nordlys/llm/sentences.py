@@ -44,8 +44,9 @@ OPENING = "«“„\"'‘([「『‹【（»¿¡"
 CASELESS = r"֐-ࣿऀ-෿฀-໿က-႟ក-៿぀-ヿ㐀-鿿가-힯"
 
 _BREAK = re.compile(r"(?:\r\n|\r|\n| | )[^\S\r\n  ]*(?:\r\n|\r|\n| | )\s*")
-_MARK = re.compile(rf"(?:[{re.escape(TERMINALS)}]+(?:[^\S\r\n]?[!?…]+)?|(?<=[Ͱ-Ͽἀ-῿])[;;])(?P<close>[^\S\r\n][»](?=\s|$)|(?:[{CLOSING}]|«(?=\s|$))*(?:[.!?](?=\s|$))?)(?P<gap>\s*)")
+_MARK = re.compile(rf"[{re.escape(TERMINALS)};\u037e]+(?:[^\S\r\n]?[!?…]+)?(?P<close>[^\S\r\n][»](?=\s|$)|(?:[{CLOSING}]|«(?=\s|$))*(?:[.!?](?=\s|$))?)(?P<gap>\s*)")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿\d”\"’)])(?P<gap>[^\S\r\n]+|[^\S\r\n]*(?:\r\n|\r|\n)[^\S\r\n]*)(?=\S)")
+_GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _THAI = re.compile(r"[฀-๿]")
 _CASELESS = re.compile(rf"[{CASELESS}]")
 _PAIRED = re.compile(r"[()\[\]「」『』（）«»„“”\"]")
@@ -81,6 +82,8 @@ def candidates(text: str, a: int, b: int) -> list[Candidate]:
     """The places within a paragraph where a unit may end, its own end left out."""
     out = []
     for m in _MARK.finditer(text, a, b):
+        if text[m.start()] in ";\u037e" and not (m.start() > a and _GREEK.match(text[m.start() - 1])):
+            continue  # a question mark in Greek only
         close = m["close"]
         end = m.start("gap")
         if end >= b:
@@ -278,6 +281,7 @@ def _inside(marks: list[tuple[int, int]], at: int) -> int:
 def count_edges(texts: Iterable[str | None], edge: np.ndarray, seen: np.ndarray) -> None:
     """Adds the paragraph ends, paragraph starts and candidates of texts to the tables."""
     seen_here: dict[tuple, int] = {}
+    edges_here: dict[tuple, int] = {}
     for text in texts:
         if not text:
             continue
@@ -287,31 +291,31 @@ def count_edges(texts: Iterable[str | None], edge: np.ndarray, seen: np.ndarray)
             cs = candidates(text, a, b)
             if text[b - 1 - len(closing) : b - len(closing)] and (text[b - 1 - len(closing)] in TERMINALS + ";;" or _THAI.match(text[b - 1])):
                 token, prev = left_token(text, a, b, closing)
-                for k in (bucket("L", token), bucket("P", prev, token)):
-                    edge[k] += 1
-                    seen[k] += 1
+                edges_here[0, token, prev] = edges_here.get((0, token, prev), 0) + 1
                 if cs or b - a > 30:
-                    k = bucket("R", right_token(text, a, b)[0])
-                    edge[k] += 1
-                    seen[k] += 1
+                    right = right_token(text, a, b)[0]
+                    edges_here[1, right, ""] = edges_here.get((1, right, ""), 0) + 1
             for c in cs:
                 token, prev = left_token(text, a, c.end, c.close)
                 seen_here[0, token, prev] = seen_here.get((0, token, prev), 0) + 1
                 right = right_token(text, c.begin, b)[0]
                 seen_here[1, right, ""] = seen_here.get((1, right, ""), 0) + 1
-        if len(seen_here) > 100_000:
+        if len(seen_here) + len(edges_here) > 100_000:
             _pour(seen_here, seen)
+            _pour(edges_here, seen, edge)
     _pour(seen_here, seen)
+    _pour(edges_here, seen, edge)
 
 
-def _pour(counted: dict[tuple, int], seen: np.ndarray) -> None:
-    """Adds counts by token to the hashed table and empties them."""
+def _pour(counted: dict[tuple, int], *tables: np.ndarray) -> None:
+    """Adds counts by token to the hashed tables and empties them."""
     for (side, token, prev), n in counted.items():
-        if side:
-            seen[bucket("R", token)] += n
-        else:
-            seen[bucket("L", token)] += n
-            seen[bucket("P", prev, token)] += n
+        for table in tables:
+            if side:
+                table[bucket("R", token)] += n
+            else:
+                table[bucket("L", token)] += n
+                table[bucket("P", prev, token)] += n
     counted.clear()
 
 

@@ -424,7 +424,11 @@ def corpus_counts(docs: DataFrame) -> Counts:
 def train(docs: DataFrame, abbreviations: frozenset[str]) -> Segmenter:
     spread_docs = spread(docs.select("doc_id", "text").filter("trim(text) <> ''"), "doc_id")
     counts = corpus_counts(spread_docs.select("text"))
-    sample = docs.filter(F.length("text").between(1, TRAINING_LENGTH)).orderBy(F.xxhash64("doc_id", "text")).limit(TRAINING_DOCUMENTS).select("text").collect()
+    # A hash threshold first, so that what each task offers for the sample is its share and no more.
+    usable = docs.filter(F.length("text").between(1, TRAINING_LENGTH))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(10**9))
+    near = int(10**9 * min(1.0, 1.5 * TRAINING_DOCUMENTS / max(1, usable.count())))
+    sample = usable.filter(place <= near).orderBy(place, "doc_id").limit(TRAINING_DOCUMENTS).select("text").collect()
     pairs = [e for (text,) in sample for e in examples(text, counts, abbreviations)]
     if not pairs:
         weights = np.zeros(len(NAMES))

@@ -259,20 +259,21 @@ def _text6(a: Column) -> Column:
     return F.transform(a, lambda x: F.round(x, 6))
 
 
-@query(_Z + " SELECT vec_id, (list_position(z, list_max(z)) - 1)::INT AS best, round(list_max(p), 6) AS confidence, list_transform(p, lambda x: round(x, 6)) AS scores FROM p")
+@query(_Z + " SELECT vec_id, (list_position(z, list_max(z)) - 1)::INT AS best, round(list_max(p), 6) AS confidence, unnest(range(0, 8))::INT AS label_no, round(unnest(p), 6) AS score FROM p")
 def softmax_decode(spark: SparkSession, sf: str) -> DataFrame:
-    return _logits(spark, sf).select("vec_id", V.argmax(F.col("z")).alias("best"), r6(F.array_max(V.softmax(F.col("z")))).alias("confidence"), _text6(V.softmax(F.col("z"))).alias("scores"))
+    return _logits(spark, sf).select("vec_id", V.argmax(F.col("z")).alias("best"), r6(F.array_max(V.softmax(F.col("z")))).alias("confidence"), F.posexplode(_text6(V.softmax(F.col("z")))).alias("label_no", "score"))
 
 
-@query(_Z + ", s AS (SELECT vec_id, z, list_transform(z, lambda x: 1 / (1 + exp(-x))) AS s FROM z) SELECT vec_id, list_transform(list_concat([list_product(list_transform(s, lambda x: 1 - x))], s), lambda x: round(x, 6)) AS scores, list_concat([len(list_filter(z, lambda x: x > 0)) = 0], list_transform(z, lambda x: x > 0)) AS active FROM s")
+@query(_Z + ", s AS (SELECT vec_id, z, list_transform(z, lambda x: 1 / (1 + exp(-x))) AS s FROM z) SELECT vec_id, unnest(range(0, 9))::INT AS label_no, round(unnest(list_concat([list_product(list_transform(s, lambda x: 1 - x))], s)), 6) AS score, unnest(list_concat([len(list_filter(z, lambda x: x > 0)) = 0], list_transform(z, lambda x: x > 0))) AS active FROM s")
 def sigmoid_multi(spark: SparkSession, sf: str) -> DataFrame:
-    return _logits(spark, sf).select("vec_id", _text6(V.label_scores(F.col("z"), True)).alias("scores"), V.hard_decode(F.col("z"), True).alias("active"))
+    both = F.arrays_zip(_text6(V.label_scores(F.col("z"), True)).alias("score"), V.hard_decode(F.col("z"), True).alias("active"))
+    return _logits(spark, sf).select("vec_id", F.posexplode(both).alias("label_no", "x")).select("vec_id", "label_no", "x.score", "x.active")
 
 
-@query(_Z + " SELECT vec_id, list_transform(z, lambda x, i: round(x - 0.25 * ln(i + 1), 6)) AS corrected FROM z")
+@query(_Z + " SELECT vec_id, unnest(range(0, 8))::INT AS label_no, round(unnest(list_transform(z, lambda x, i: x - 0.25 * ln(i + 1))), 6) AS corrected FROM z")
 def logit_correction(spark: SparkSession, sf: str) -> DataFrame:
     weights = F.array(*[F.lit(float(i + 2)) for i in range(8)])
-    return _logits(spark, sf).select("vec_id", _text6(V.logit_correction(F.col("z"), weights, 0.25)).alias("corrected"))
+    return _logits(spark, sf).select("vec_id", F.posexplode(_text6(V.logit_correction(F.col("z"), weights, 0.25))).alias("label_no", "corrected"))
 
 
 @query("""WITH z AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE * 10 / 1.7) AS z FROM embeddings), e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z), p AS (SELECT vec_id, unnest(list_transform(e, lambda x: x / list_sum(e))) AS p, unnest(range(0, 8)) AS id FROM e),
@@ -326,9 +327,9 @@ def candidate_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("vec_id", V.argmax(F.col("s")).alias("best"), r6(F.array_max("s")).alias("evidence"))
 
 
-@query(_Z + " SELECT vec_id, list_transform(z, lambda x, i: round(x + 1 / (1 + exp(-0.5)) * ln(least(greatest(q[i], 1e-6), 1 - 1e-6)), 6)) AS refined FROM p")
+@query(_Z + " SELECT vec_id, unnest(range(0, 8))::INT AS label_no, round(unnest(list_transform(z, lambda x, i: x + 1 / (1 + exp(-0.5)) * ln(least(greatest(q[i], 1e-6), 1 - 1e-6)))), 6) AS refined FROM p")
 def bundle_refinement(spark: SparkSession, sf: str) -> DataFrame:
-    return _logits(spark, sf).select("vec_id", _text6(V.gated_refinement(F.col("z"), V.softmax(F.col("t")), 0.5, False)).alias("refined"))
+    return _logits(spark, sf).select("vec_id", F.posexplode(_text6(V.gated_refinement(F.col("z"), V.softmax(F.col("t")), 0.5, False))).alias("label_no", "refined"))
 
 
 @query("WITH c AS (SELECT event_type AS label, count(*) AS pos FROM events GROUP BY 1) SELECT label, pos, round(least(10, sqrt(greatest(1, (sum(pos) OVER () - pos) / pos))), 6) AS weight FROM c")

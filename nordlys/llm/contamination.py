@@ -6,7 +6,8 @@ local alignment of words, which allows misread, replaced and broken words.  The
 n-grams are word pairs, adjacent or with one word between, because a passage
 with every fourth word damaged keeps no longer run for certain; pairs that many
 different items share (phrasing, not content) are left out of the set, and the
-verification demands that the words particular to the item agree.
+verification demands that the words particular to the item agree.  Every
+alignment is verified for itself, so shared phrasing hides no passage beside it.
 
 Documents are read in blocks of sentences with an overlap, so that no task ever
 holds a whole document and passages across sentences and blocks are found.
@@ -18,6 +19,8 @@ Defined results
 * rows without document_id or sentence_index are skipped; of rows that repeat
   the pair one counts (the longest list of tokens); null or empty tokens read as no words.
 * an empty corpus or no held-out items give no rows.
+* every passage of an item is reported; a long one whose broken words shift it
+  by more than the band may come as two that overlap.
 """
 
 from __future__ import annotations
@@ -100,6 +103,8 @@ class Passage:
     particular_same: int
     at: int = 0
     until: int = 0
+    #: Within the words aligned, from the last step to the first: (item word, begin, end, kind: 2 same, 1 near, 0 other; whether particular).
+    steps: list[tuple[int, int, int, int, bool]] = field(default_factory=list, repr=False)
 
 
 @dataclass
@@ -145,33 +150,44 @@ class Index:
         return self
 
     def scan(self, words: list[str]) -> dict[int, Passage]:
-        """The best verified passage of each held-out sentence within the words."""
+        """Of each held-out sentence the best verified passage within the words, else its best alignment."""
+        found: dict[int, Passage] = {}
+        for s, p in self.passages(words):
+            if s not in found or (is_held(p), p.same + p.near) > (is_held(found[s]), found[s].same + found[s].near):
+                found[s] = p
+        return found
+
+    def passages(self, words: list[str]) -> Iterator[tuple[int, Passage]]:
+        """Every alignment of a held-out sentence with the words: all that lie beside each other, near every group of diagonals hit."""
         get = self.pairs.get
-        hits: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for gap in (1, 2):
             for j in range(len(words) - gap):
                 for s, i in get((words[j], words[j + gap], gap), ()):
-                    hits.setdefault(s, []).append(j - i)
-        found: dict[int, Passage] = {}
-        for s, diagonals in hits.items():
-            if len(diagonals) < HITS:
+                    hits.setdefault(s, []).append((j - i, j))
+        for s, places in hits.items():
+            if len(places) < HITS:
                 continue
             n = len(self.sentences[s])
-            diagonals.sort()
+            places.sort()
             begin = 0
-            for k in range(1, len(diagonals) + 1):
-                if k < len(diagonals) and diagonals[k] - diagonals[k - 1] <= DRIFT:
+            for k in range(1, len(places) + 1):
+                if k < len(places) and places[k][0] - places[k - 1][0] <= DRIFT:
                     continue
-                if k - begin >= HITS:
-                    first, last = diagonals[begin], diagonals[k - 1]
-                    low = max(0, first - DRIFT)
-                    p = self.align(s, words[low : last + n + DRIFT], first - low, last - low)
-                    if p and (s not in found or p.same + p.near > found[s].same + found[s].near):
+                first, last = places[begin][0], places[k - 1][0]
+                left = [(max(0, first - DRIFT), min(len(words), last + n + DRIFT))]
+                while left:
+                    low, high = left.pop()
+                    if sum(low <= j < high for _, j in places[begin:k]) < HITS:
+                        continue
+                    p = self.align(s, words[low:high], first - low, last - low)
+                    if p:
+                        p = held_part(p) or p
                         p.at += low
                         p.until += low
-                        found[s] = p
+                        yield s, p
+                        left += [(low, p.at), (p.until, high)]
                 begin = k
-        return found
 
     def align(self, s: int, words: list[str], first: int, last: int) -> Passage | None:
         """Local alignment of an item's words with a window of the document's, near the diagonals hit."""
@@ -208,6 +224,7 @@ class Index:
         while i and j and step[i][j] is not None and score[i][j] > 0:
             pi, pj, kind = step[i][j]
             if kind != 3:
+                p.steps.append((pi, pj, j, kind, mark[pi]))
                 p.particular += mark[i - 1]
                 if kind:
                     p.same += kind == 2
@@ -227,6 +244,22 @@ def is_held(p: Passage) -> bool:
     return agreeing >= 0.8 and own >= 0.6 or agreeing >= 0.7 and own >= 0.7
 
 
+def held_part(p: Passage) -> Passage | None:
+    """The passage if it is held, else its longest part that is (a true passage joined to shared phrasing), else None."""
+    if is_held(p):
+        return p
+    steps = p.steps[::-1]
+    for span in range(len(steps) - 1, MIN_WORDS - 1, -1):
+        for a in range(len(steps) - span + 1):
+            part = steps[a : a + span]
+            if part[0][3] and part[-1][3]:
+                own = [kind for *_, kind, particular in part if particular]
+                q = Passage(part[0][0], part[-1][0] + 1, sum(x[3] == 2 for x in part), sum(x[3] == 1 for x in part), len(own), sum(k > 0 for k in own), part[0][1], part[-1][2], part[::-1])
+                if is_held(q):
+                    return q
+    return None
+
+
 def held_out(items: DataFrame, runs: DataFrame) -> DataFrame:
     tags = runs.filter("language_tag is not null and evaluation_split is not null").select("language_tag", "evaluation_split").distinct()
     return items.select("item_id", "language_tag", "evaluation_split", "tokens").filter("item_id is not null").join(small(tags), ["language_tag", "evaluation_split"], "left_semi")
@@ -285,7 +318,7 @@ def _scanner(index, keep_all: bool):
         held = index.value
         rows: list[tuple] = []
         for (doc, _), words, owner in read(batches):
-            for s, p in held.scan(words).items():
+            for s, p in held.passages(words):
                 n = len(held.sentences[s])
                 if keep_all or is_held(p):
                     base = (owner[min(p.at, len(owner) - 1)], owner[p.until - 1], n, p.end - p.start, p.same + p.near)

@@ -37,6 +37,36 @@ def test_phrasing_and_snatches_are_no_cases():
     assert found([]) == set()
 
 
+DECOY = "Ved Holknes lå det en kiste som Odd Selvik byttet mot 19 hatter etter at Gulmyr hadde klaget .".split()
+
+
+def test_decoy_hides_no_passage():
+    assert found(FILL + DECOY + FILL) == set()
+    assert found(FILL + DECOY + FILL + ITEM[4:13] + FILL) == {1, 2}
+    assert found(FILL + ITEM[4:13] + FILL + DECOY) == {1, 2}
+    assert found(FILL + ITEM[4:13] + DECOY[13:] + FILL) == {1, 2}
+    joined = FILL + ITEM[:9] + "solgte mens 7 hatter".split() + ITEM[13:] + FILL  # one alignment over both, which fails as a whole
+    assert found(joined) == {1, 2}
+
+
+def test_every_passage_of_an_item():
+    words = C.words_of(FILL + ITEM[4:13] + FILL + ITEM + FILL + ITEM[:9] + FILL)
+    spans = sorted((p.at, p.until) for s, p in index().passages(words) if C.is_held(p))
+    assert [" ".join(words[a:b]) for a, b in spans] == [" ".join(C.words_of(x)) for x in (ITEM[4:13], ITEM, ITEM[:9])]
+    same_diagonal = C.words_of(FILL + ITEM[:9] + ITEM[:9] + ITEM[9:] + FILL)
+    assert len([p for s, p in index().passages(same_diagonal) if C.is_held(p)]) == 2
+
+
+def test_every_passage_is_cleaned(spark):
+    rows = [("d", i, FILL) for i in range(20)]
+    rows[3], rows[9], rows[15] = ("d", 3, ITEM[4:13]), ("d", 9, DECOY), ("d", 15, ITEM)
+    s = spark.createDataFrame(rows, "document_id string, sentence_index int, tokens array<string>")
+    items = spark.createDataFrame([(1, "nb", "test", ITEM)] + [(10 + i, "nb", "test", [w if w.islower() or w == "." else f"{w}{i}" for w in COMMON]) for i in range(4)], "item_id bigint, language_tag string, evaluation_split string, tokens array<string>")
+    runs = spark.createDataFrame([("nb", "test")], "language_tag string, evaluation_split string")
+    left = {r["sentence_index"] for r in C.clean_sentences(s, C.find_leaks(s, items, runs)).collect()}
+    assert left == set(range(20)) - {3, 15}
+
+
 def test_find_leaks_across_sentences_and_blocks(spark):
     rng = random.Random(4)
     rows = []

@@ -6,8 +6,8 @@ terminal marks) and each is classified by a maximum-entropy model over its
 neighbouring tokens, their case, length, digits and script.  What a token says
 is learned from the corpus: how often it ends a paragraph against how often it
 stands at a candidate, and how often the next one opens a paragraph; those
-counts cover all documents and sit in a hashed table of fixed size.  The model
-is trained on reliable boundaries (paragraph breaks, clear cases of case and
+counts cover all documents, each key (63 bits of a hash of the token and its
+kind) by itself.  The model is trained on reliable boundaries (paragraph breaks, clear cases of case and
 digits) of at most ``TRAINING_DOCUMENTS`` documents.
 
 Defined results
@@ -21,8 +21,12 @@ Defined results
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,12 @@ from xxhash import xxh64_intdigest
 
 from nordlys.session import spread
 
-#: Buckets of the count table; documents (of at most so many characters) the model is trained on.
+#: Length of a count table without keys (small texts); documents (of at most so many characters) the model is trained on.
 BUCKETS, TRAINING_DOCUMENTS, TRAINING_LENGTH = 1 << 18, 3000, 20_000
 #: Contexts a worker remembers the decision of before it starts afresh.
 MEMO = 300_000
+#: A token that ends no larger share of paragraphs than this never ends one; keys a task counts before it passes them on.
+RARE, POUR = 0.005, 200_000
 
 # Terminal marks, closing and opening marks.
 TERMINALS = ".!?…。！？｡।॥؟۔‽"
@@ -146,14 +152,15 @@ def right_token(text: str, begin: int, b: int) -> tuple[str, str]:
     return token[:3], quoted + ("s" if symbol else "p")
 
 
-def bucket(*parts: str) -> int:
-    return xxh64_intdigest("\0".join(parts)) % BUCKETS
+def count_key(*parts: str) -> int:
+    """63 bits: among ten million keys two are the same with a chance of one in 180,000."""
+    return xxh64_intdigest("\0".join(parts)) >> 1
 
 
 def keys(text: str, a: int, b: int, end: int, begin: int, close: str, right_end: int | None = None) -> tuple[int, int, int, str, str, str, str]:
     token, prev = left_token(text, a, end, close)
     right, kind = right_token(text, begin, right_end or b)
-    return bucket("L", token), bucket("P", prev, token), bucket("R", right), token, prev, right, kind
+    return count_key("L", token), count_key("P", prev, token), count_key("R", right), token, prev, right, kind
 
 
 def depth_marks(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -200,16 +207,37 @@ _LOWER, _ELLIPSIS = NAMES.index("lower"), NAMES.index("ellipsis_no_gap")
 
 
 class Counts:
-    """Per bucket how often it ended (opened) a paragraph, and how often it was seen."""
+    """Of each key how often it ended (opened) a paragraph, and how often it was seen.
 
-    def __init__(self, edge: np.ndarray, seen: np.ndarray) -> None:
-        self.edge, self.seen = edge.tolist(), seen.tolist()
-        p = (edge + 0.4) / (seen + 2.0)
-        self.logit = np.log(p / (1 - p)).tolist()
-        self.known = np.minimum(1.0, seen / 20).tolist()
-        never = np.log1p(seen) * (edge == 0)
-        self.never = (never * (seen >= 10)).tolist()
-        self.never_pair = (never * (seen >= 8)).tolist()
+    ``keys`` are sorted; without them edge and seen are tables that a key's remainder points into.
+    """
+
+    def __init__(self, edge: np.ndarray, seen: np.ndarray, keys: np.ndarray | None = None) -> None:
+        self.edge, self.seen = array("d", np.asarray(edge, np.float64).tobytes()), array("d", np.asarray(seen, np.float64).tobytes())
+        self.keys = None if keys is None else array("q", np.asarray(keys, np.int64).tobytes())
+
+    def of(self, key: int) -> tuple[float, float]:
+        """(edge, seen)"""
+        if self.keys is None:
+            at = key % len(self.seen)
+        else:
+            at = bisect_left(self.keys, key)
+            if at == len(self.keys) or self.keys[at] != key:
+                return 0.0, 0.0
+        return self.edge[at], self.seen[at]
+
+
+def _logit(edge: float, seen: float) -> float:
+    return log((edge + 0.4) / (seen + 1.6 - edge))
+
+
+def rare(edge: float, seen: float) -> bool:
+    """Whether paragraphs end (open) with the token never or as good as never, whatever the corpus's size."""
+    return edge <= RARE * seen
+
+
+def _never(edge: float, seen: float, least: int) -> float:
+    return log1p(seen) if seen >= least and rare(edge, seen) else 0.0
 
 
 _STRONG = frozenset("!?。！？।؟॥｡;;")
@@ -218,7 +246,9 @@ _CLOSERS = "".join(x for x in CLOSING if x != "\\")
 
 def features(c: Candidate, k: tuple, text: str, counts: Counts, abbreviations: frozenset[str], inside: bool, opens: bool) -> list[float]:
     left, pair, right, token, prev, _, kind = k
-    l, ln, p, pn, r, rn = counts.logit[left], counts.known[left], counts.logit[pair], counts.known[pair], counts.logit[right], counts.known[right]
+    of_left, of_pair, of_right = counts.of(left), counts.of(pair), counts.of(right)
+    l, p, r = _logit(*of_left), _logit(*of_pair), _logit(*of_right)
+    ln, pn, rn = (min(1.0, seen / 20) for _, seen in (of_left, of_pair, of_right))
     bare = token.rstrip(_CLOSERS)
     word = bare.rstrip(TERMINALS)
     strong = not _STRONG.isdisjoint(c.mark)
@@ -228,8 +258,8 @@ def features(c: Candidate, k: tuple, text: str, counts: Counts, abbreviations: f
         1.0, l, l * ln, p, p * pn, r, r * rn, float("l" in kind), float("u" in kind), float("d" in kind), float(caseless), float("p" in kind or "s" in kind), float("q" in kind), float(not c.gap), float("\n" in c.gap or "\r" in c.gap),
         float(bare in abbreviations or bare.lstrip("(") in abbreviations), float(len(word) == 1 and word.isalpha() and not caseless), float(word.isdigit()), float(word.isdigit() and opens), float(strong), float("…" in c.mark or ".." in c.mark), float(bool(c.close)),
         float(bool(c.close) and strong and caseless and "。" not in c.mark and "।" not in c.mark), float(inside), float(c.kind == "space"), float(c.kind == "space" and (text[c.end - 1].isdigit() or "d" in kind)), float(0 < len(word) <= 2), float("." in word), float(cased_gapless), float(c.mark[:1] in "。！？।؟॥｡" if c.mark else 0),
-        counts.never[left] * (not strong and not c.close),
-        counts.never_pair[pair] * (not strong and not c.close),
+        _never(*of_left, 10) * (not strong and not c.close),
+        _never(*of_pair, 8) * (not strong and not c.close),
         float(not c.gap and set(c.mark) <= {"…", "."} and len(c.mark) > 1 and not c.close),
     ]
 
@@ -239,7 +269,7 @@ def label(c: Candidate, k: tuple, x: list[float], counts: Counts) -> int | None:
     left, pair, right, token, prev, _, kind = k
     named = dict(zip(NAMES, x))
     if c.kind == "space":
-        return 0 if named["digit_by_space"] and counts.edge[right] == 0 else None
+        return 0 if named["digit_by_space"] and rare(*counts.of(right)) else None
     if "l" in kind or "p" in kind and "q" not in kind:
         return 0
     if named["inside"]:
@@ -249,15 +279,16 @@ def label(c: Candidate, k: tuple, x: list[float], counts: Counts) -> int | None:
     if named["closed_strong_caseless"]:
         return 0
     if not c.close and c.mark == "." and "c" not in kind:
+        (left_edge, left_seen), (pair_edge, pair_seen) = counts.of(left), counts.of(pair)
         if named["initial"] or named["number_opens"]:
             return 0
-        if counts.edge[left] == 0 and (counts.seen[left] >= 25 or counts.seen[left] >= 10 and (named["abbreviation"] or named["short"] or named["dotted"])):
+        if rare(left_edge, left_seen) and (left_seen >= 25 or left_seen >= 10 and (named["abbreviation"] or named["short"] or named["dotted"])):
             return 0
-        if named["abbreviation"] and counts.seen[pair] >= 20 and counts.edge[pair] == 0:
+        if named["abbreviation"] and pair_seen >= 20 and rare(pair_edge, pair_seen):
             return 0
-        if named["abbreviation"] and ("u" in kind or "d" in kind) and c.gap and counts.edge[pair] >= 0.08 * counts.seen[pair] and counts.edge[pair] >= 4:
+        if named["abbreviation"] and ("u" in kind or "d" in kind) and c.gap and pair_edge >= 0.08 * pair_seen and pair_edge >= 4:
             return 1
-        if named["number"] and counts.seen[pair] >= 10 and counts.edge[pair] == 0:
+        if named["number"] and pair_seen >= 10 and rare(pair_edge, pair_seen):
             return 0
         if "u" in kind and not named["abbreviation"] and not named["number"] and len(token) > 4 and "." not in token[:-1] and token[:-1].isalpha():
             return 1
@@ -278,8 +309,8 @@ def _inside(marks: list[tuple[int, int]], at: int) -> int:
     return marks[lo - 1][1] if lo else 0
 
 
-def count_edges(texts: Iterable[str | None], edge: np.ndarray, seen: np.ndarray) -> None:
-    """Adds the paragraph ends, paragraph starts and candidates of texts to the tables."""
+def count_edges(texts: Iterable[str | None], edge: np.ndarray | Counter, seen: np.ndarray | Counter) -> None:
+    """Adds the paragraph ends, paragraph starts and candidates of texts to the counters (or tables)."""
     seen_here: dict[tuple, int] = {}
     edges_here: dict[tuple, int] = {}
     for text in texts:
@@ -307,15 +338,12 @@ def count_edges(texts: Iterable[str | None], edge: np.ndarray, seen: np.ndarray)
     _pour(edges_here, seen, edge)
 
 
-def _pour(counted: dict[tuple, int], *tables: np.ndarray) -> None:
-    """Adds counts by token to the hashed tables and empties them."""
+def _pour(counted: dict[tuple, int], *tables: np.ndarray | Counter) -> None:
+    """Adds counts by token to the counters (or tables) and empties them."""
     for (side, token, prev), n in counted.items():
-        for table in tables:
-            if side:
-                table[bucket("R", token)] += n
-            else:
-                table[bucket("L", token)] += n
-                table[bucket("P", prev, token)] += n
+        for k in (count_key("R", token),) if side else (count_key("L", token), count_key("P", prev, token)):
+            for table in tables:
+                table[k if isinstance(table, Counter) else k % len(table)] += n
     counted.clear()
 
 
@@ -388,7 +416,7 @@ class Segmenter:
         return out
 
     def is_end(self, c: Candidate, token: str, prev: str, right: str, kind: str, text: str, inside: bool, opens: bool) -> bool:
-        k = (bucket("L", token), bucket("P", prev, token), bucket("R", right), token, prev, right, kind)
+        k = (count_key("L", token), count_key("P", prev, token), count_key("R", right), token, prev, right, kind)
         x = features(c, k, text, self.counts, self.abbreviations, inside, opens)
         if x[_LOWER] or x[_ELLIPSIS] or inside or not c.gap and "d" in kind and text[c.end - 1 - len(c.mark) : c.end - len(c.mark)].isdigit():  # a quotation with its brackets closed later on is one unit
             return False
@@ -404,21 +432,28 @@ def abbreviation_set(policies: DataFrame, contracts: DataFrame) -> frozenset[str
 
 
 def corpus_counts(docs: DataFrame) -> Counts:
-    """Hashed counts over all documents; what reaches the driver is at most BUCKETS rows."""
+    """Counts of every key over all documents; 24 bytes a distinct key reach the driver and are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        edge: Counter[int] = Counter()
+        seen: Counter[int] = Counter()
+
+        def poured() -> Iterator[pa.RecordBatch]:
+            k = list(seen)
+            for i in range(0, len(k), 50_000):
+                part = k[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, [edge[j] for j in part], [seen[j] for j in part])], ["k", "edge", "seen"])
+            edge.clear()
+            seen.clear()
+
         for batch in batches:
             count_edges(batch.column(0).to_pylist(), edge, seen)
-        k = np.flatnonzero(seen)
-        for i in range(0, len(k), 50_000):
-            part = k[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(edge[part]), pa.array(seen[part])], ["k", "edge", "seen"])
-
-    rows = docs.mapInArrow(run, "k bigint, edge bigint, seen bigint").groupBy("k").agg(F.sum("edge").alias("edge"), F.sum("seen").alias("seen")).toPandas()
-    edge, seen = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-    edge[rows["k"]], seen[rows["k"]] = rows["edge"], rows["seen"]
-    return Counts(edge, seen)
+            if len(seen) > POUR:
+                yield from poured()
+        yield from poured()
+
+    rows = docs.mapInArrow(run, "k bigint, edge bigint, seen bigint").groupBy("k").agg(F.sum("edge").alias("edge"), F.sum("seen").alias("seen")).toPandas().sort_values("k")
+    return Counts(rows["edge"].to_numpy(), rows["seen"].to_numpy(), rows["k"].to_numpy())
 
 
 def train(docs: DataFrame, abbreviations: frozenset[str]) -> Segmenter:

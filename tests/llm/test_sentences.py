@@ -46,3 +46,36 @@ def test_operator_end_to_end(spark):
     assert {r["doc_id"] for r in rows} == {*range(60), 902}
     assert all(r["end_char"] - r["start_char"] == len(r["text"]) for r in rows)
     assert S.sentence_units(docs.limit(0), policies, contracts).count() == 0
+
+
+def test_every_key_is_counted_by_itself(spark):
+    """Two tokens that shared one of the 2^18 buckets: one that ends paragraphs, one that never does."""
+    from itertools import product
+
+    from xxhash import xxh64_intdigest
+
+    shared = xxh64_intdigest("L\0dr.") % (1 << 18)
+    other = next(w for w in ("q" + "".join(x) + "." for x in product("abcdefghijklmnopqrstuvwxyz", repeat=4)) if xxh64_intdigest(f"L\0{w}") % (1 << 18) == shared)
+    docs = spark.createDataFrame([(f"Han så dr. Lund i går kveld der nede. Alle var med til {other}",)] * 40, "text string")
+    counts = S.corpus_counts(docs)
+    assert counts.of(S.count_key("L", "dr.")) == (0, 40) and counts.of(S.count_key("L", other)) == (40, 40)
+    assert counts.of(S.count_key("L", "ukjent.")) == (0, 0)
+    assert len(counts.keys) == len({*counts.keys}) and list(counts.keys) == sorted(counts.keys)
+
+
+def test_decisions_do_not_change_with_the_size_of_the_corpus():
+    """A stray paragraph that ends with an abbreviation takes away nothing, in a large corpus as in a small one."""
+    text = "Prisen steg ca. 3 kroner."
+    a, b = next(S.paragraphs(text))
+    c = S.candidates(text, a, b)[0]
+    k = S.keys(text, a, b, c.end, c.begin, c.close)
+    order = np.argsort(k[:3])
+
+    def never(edge, seen):
+        counts = S.Counts(np.full(3, edge), np.full(3, seen), np.array(k[:3])[order])
+        x = S.features(c, k, text, counts, frozenset(), False, False)
+        return x[S.NAMES.index("never")], S.label(c, k, x, counts)
+
+    assert never(0, 100)[0] > 0 and never(0, 100)[1] == 0
+    assert never(10, 10_000)[0] > 0 and never(10, 10_000)[1] == 0
+    assert never(1_000, 10_000)[0] == 0 and never(1_000, 10_000)[1] is None

@@ -9,8 +9,9 @@ headers are found by their recurrence on near pages of the work or by its
 title, page numbers by the page's own number; what is left is joined over line
 and page breaks and reflowed.
 
-The vocabulary holds the words that occur at least t times, t being the least
-power of two that leaves at most 120,000; rarer ones are left to the n-grams.
+The vocabulary holds all words that occur at least twice in the clean corpus and
+those of the scans, at least five times, that are no reading of others.  It grows
+with the corpus's words and is broadcast; its trie keeps only the branchings.
 Pages are handled in blocks of a work's page numbers with a margin, so no task
 holds a whole work.
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from nordlys.session import materialize
 
-#: Words kept of a corpus at most: its most frequent ones (bounds the broadcast and the trie).
-VOCABULARY = 120_000
+#: Occurrences a word of the clean corpus (of the scans) needs to be in the vocabulary.
+LEAST, LEAST_SCANNED = 2, 5
 #: Page numbers a block, pages of margin on either side.
 BLOCK, MARGIN = 32, 6
 
@@ -73,7 +74,10 @@ def trim(token: str) -> str:
 
 
 class Vocabulary:
-    """Frequencies, trie and character n-grams of the clean words."""
+    """Frequencies, trie and character n-grams of the clean words.
+
+    In the trie a word stands by itself (a string for a node) from where no other shares its letters.
+    """
 
     def __init__(self, counts: dict[str, int], n: int = 4) -> None:
         self.counts, self.n = counts, n
@@ -89,9 +93,15 @@ class Vocabulary:
     def add(self, word: str, count: int) -> None:
         self.counts[word] = count
         node = self.trie
-        for ch in word:
-            node = node.setdefault(ch, {})
-        node[""] = count
+        for depth in range(len(word) + 1):
+            ch = word[depth : depth + 1]
+            following = node.get(ch)
+            if following is None or following == word:
+                node[ch] = word
+                break
+            if isinstance(following, str):  # a word alone so far: one level deeper
+                node[ch] = following = {following[depth + 1 : depth + 2]: following}
+            node = following
         padded = f"^^{word}$$"
         for i in range(len(padded) - self.n + 1):
             self.grams[padded[i : i + self.n]] += count
@@ -100,13 +110,16 @@ class Vocabulary:
         """(edits, -count, word): all vocabulary words the reading may stand for, by intersecting
         the confusion automaton of the word with the trie."""
         out: list[tuple[int, int, str]] = []
-        stack = [(0, self.trie, 0, "")]
+        stack: list[tuple[int, dict | str, int, str]] = [(0, self.trie, 0, "")]
         size = len(word)
         while stack:
             i, node, edits, sofar = stack.pop()
+            if isinstance(node, str):  # what may follow is the one word's next letter
+                at = len(sofar)
+                node = {node[at : at + 1]: node}
             if i == size:
                 if "" in node and edits:
-                    out.append((edits, -node[""], sofar))
+                    out.append((edits, -self.counts[sofar], sofar))
                 continue
             ch = word[i]
             if ch in node:
@@ -179,26 +192,23 @@ def vocabulary_counts(texts: DataFrame) -> DataFrame:
 
 
 def load_vocabulary(texts: DataFrame, scanned: DataFrame) -> dict[str, int]:
-    """The clean corpus's words, and the scanned pages' own words that are no reading of others.
-
-    Of either corpus at most VOCABULARY words are taken, the most frequent ones.
-    """
+    """All of the clean corpus's words, and the scanned pages' own words that are no reading of others."""
     out: Counter[str] = Counter()
-    for w, n in _frequent(texts, 2):
+    for w, n in _frequent(texts, LEAST):
         out[unicodedata.normalize("NFC", w).casefold()] += n
     known = Vocabulary(out)
-    for w, n in sorted(_frequent(scanned, 5), key=lambda x: (-x[1], x[0])):
+    for w, n in sorted(_frequent(scanned, LEAST_SCANNED), key=lambda x: (-x[1], x[0])):
         w = trim(w).casefold()
         if len(w) > 1 and w not in known.counts and w[-1] not in HYPHENS and not any(c in "!0156789" for c in w) and known._judge(w) is None:
             known.add(w, n)
     return dict(known.counts)
 
 
-def _frequent(texts: DataFrame, least: int) -> list:
-    counts = materialize(vocabulary_counts(texts).filter(F.col("n") >= least))
-    while counts.filter(F.col("n") >= least).count() > VOCABULARY:
-        least *= 2
-    return counts.filter(F.col("n") >= least).collect()
+def _frequent(texts: DataFrame, least: int) -> Iterator[tuple[str, int]]:
+    """(word, n) of all words that occur so often."""
+    found = vocabulary_counts(texts).filter(F.col("n") >= least).toArrow()
+    for batch in found.to_batches(20_000):
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
 def similar(a: str, b: str) -> float:

@@ -51,3 +51,37 @@ def test_empty_tables(spark):
     pages, works, texts = tables(spark)
     assert S.find_noise(pages.limit(0), works.limit(0), texts.limit(0)).count() == 0
     assert S.reflow(pages.limit(0), works, texts).count() == 0
+
+
+def test_trie_of_branchings_is_complete():
+    import random
+
+    rng = random.Random(2)
+    counts = {"".join(rng.choice("cdkmnrul") for _ in range(rng.randint(1, 5))): rng.randint(1, 9) for _ in range(400)}
+    v = S.Vocabulary(dict(counts))
+
+    def undone(word, most):
+        out = {word}
+        if most:
+            for i, ch in enumerate(word):
+                for reading, truth in S.CONFUSIONS:
+                    if word.startswith(reading, i):
+                        out |= {word[:i] + truth + rest for rest in undone(word[i + len(reading) :], most - 1)}
+        return out
+
+    assert all(n == v.counts[w] and v.candidates(w) == sorted(v.candidates(w)) for w, n in counts.items())
+    for word in ("lcrn", "clernc", "iifn", "lcclrn", "ulii", "rnrn"):
+        known = {w for w in undone(word, 4) if w in counts and w != word}
+        assert {w for _, _, w in v.candidates(word)} >= known
+        assert all(w in counts and -n == counts[w] for _, n, w in v.candidates(word))
+
+
+def test_no_word_is_left_out_whatever_the_size(spark):
+    """More words than the former bound of 120,000, all seen twice, and many seen more often."""
+    from pyspark.sql import functions as F
+
+    letters = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abdeghkmpr")
+    words = spark.range(125_000).select(F.concat(F.lit("sild"), letters).alias("w"))
+    texts = words.select(F.concat_ws(" ", "w", "w").alias("text")).union(words.filter("id < 500").select(F.repeat(F.concat("w", F.lit(" ")), 3).alias("text")))
+    got = S.load_vocabulary(texts, texts.limit(0))
+    assert len(got) == 125_000 and got["sildaaaaaa"] == 5 and got["sildadgmpr"] == 2

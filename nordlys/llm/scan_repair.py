@@ -134,25 +134,40 @@ class Vocabulary:
         padded, n, grams = f"^^{word}$$", self.n, self.grams
         return min(grams.get(padded[i : i + n], 0) for i in range(len(padded) - n + 1))
 
-    def _variants(self, word: str, most: int = 3) -> Iterator[tuple[str, int]]:
-        """Words with up to ``most`` readings undone, only where that mends a rare n-gram."""
-        frontier, seen = {word}, {word}
+    def _mended(self, word: str, least: int, most: int = 3) -> tuple[int, str | None]:
+        """(weakest n-gram, word): the best of all words with up to ``most`` readings undone.
+
+        Each further reading undone must make it four times better.  Branch and
+        bound: every n-gram seen less often than what is wanted must be mended, so
+        the search goes on only with readings that touch the first of them, or
+        that a later one touching it may need (two letters a reading).
+        """
+        best, name = 0, None
+        frontier, seen = [word], {word}
         for depth in range(1, most + 1):
-            following = set()
+            following = []
             for w in frontier:
-                for i, ch in enumerate(w):
-                    for reading, truth in self.by_reading.get(ch, ()):
+                low, high = self._reach(w, max(least, 4 * best + 1), 2 * (most - depth))
+                for i in range(len(w)) if depth == 1 else range(max(0, low - 1), min(high, len(w))):
+                    for reading, truth in self.by_reading.get(w[i], ()):
                         if w.startswith(reading, i):
                             v = w[:i] + truth + w[i + len(reading) :]
-                            if v not in seen:
+                            s = self.weakest(v)
+                            if s > best * (4 if depth > 1 else 1):
+                                best, name = s, v
+                            if v not in seen and low < i + len(reading) and i < high:
                                 seen.add(v)
-                                following.add(v)
-                                yield v, depth
-            frontier = set(sorted(following, key=lambda v: -self.spread(v))[:12])
+                                following.append(v)
+            frontier = following
+        return best, name
 
-    def spread(self, word: str) -> float:
+    def _reach(self, word: str, least: int, slack: int) -> tuple[int, int]:
+        """The letters of the first n-gram seen less often than ``least``, and as many more on either side."""
         padded, n, grams = f"^^{word}$$", self.n, self.grams
-        return -sum(1.0 / (1 + grams.get(padded[i : i + n], 0)) for i in range(len(padded) - n + 1))
+        for i in range(len(padded) - n + 1):
+            if grams.get(padded[i : i + n], 0) < least:
+                return i - 2 - slack, i - 2 + n + slack
+        return 0, len(word)
 
     def _judge(self, word: str) -> str | None:
         """The word a reading stands for, or None where it is no misreading."""
@@ -175,11 +190,7 @@ class Vocabulary:
             digits = w.translate(str.maketrans("lio", "110"))
             return digits if digits.isdigit() and w[0] in "l1io0" and len(w) > 1 and not w.isdigit() else None
         own = self.weakest(w)
-        best, name = 0, None
-        for v, depth in self._variants(w):
-            s = self.weakest(v)
-            if s > best * (4 if depth > 1 else 1):
-                best, name = s, v
+        best, name = self._mended(w, 1 if odd else 12 * (own + 1))
         if name and (best >= 12 * (own + 1) or odd and best > own):
             return name
         return name if odd and name and letters >= 3 else None

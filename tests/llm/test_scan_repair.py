@@ -85,3 +85,10 @@ def test_no_word_is_left_out_whatever_the_size(spark):
     texts = words.select(F.concat_ws(" ", "w", "w").alias("text")).union(words.filter("id < 500").select(F.repeat(F.concat("w", F.lit(" ")), 3).alias("text")))
     got = S.load_vocabulary(texts, texts.limit(0))
     assert len(got) == 125_000 and got["sildaaaaaa"] == 5 and got["sildadgmpr"] == 2
+
+
+def test_variants_are_searched_completely():
+    """Three readings that only together mend a word, beside thirteen single ones that look better."""
+    v = S.Vocabulary({"pam" + "cpdg" * 14: 20, "kcpdgcpdg": 20, "kepdgepdg": 10_000})
+    assert v.judge("pafu" + "cpdg" * 13) == "pam" + "cpdg" * 13  # fu, fn, rn, m
+    assert v.judge("pam" + "cpdg" * 13) is None

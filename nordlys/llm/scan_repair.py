@@ -19,7 +19,8 @@ Defined results
 ---------------
 * exact repeats of a page_id count once (the longest text); rows without
   page_id are skipped; null or empty texts have no lines.
-* a page without a readable number has no page-number lines and no neighbours.
+* a page without a readable number has no page-number lines and no neighbours;
+  its paragraphs are its own, page and last_page null, counted from 0 on each page.
 * each page_id counts for itself; a page scanned twice is read once in the
   paragraphs (its lowest page_id).
 """
@@ -459,12 +460,10 @@ class Repairer:
             true = true[0].upper() + true[1:]
         return word.replace(core, true, 1)
 
-    def paragraphs(self, pages: list[Page]) -> list[tuple[int, int, str, bool, bool]]:
+    def paragraphs(self, pages: list[Page]) -> list[tuple[int | None, int, str, bool, bool]]:
         """(page number, order, text, opens, runs on): the pieces of paragraphs of each page."""
         out = []
         for p in pages:
-            if p.number is None:
-                continue
             body, parts, order = p.body(), [], 0
             for k, i in enumerate(body):
                 fresh = k > 0 and (body[k] - body[k - 1] > 1 and any(not p.lines[x].strip() for x in range(body[k - 1] + 1, i)) or p.lines[i].startswith("  "))
@@ -560,11 +559,15 @@ def reflow(pages: DataFrame, works: DataFrame, texts: DataFrame) -> DataFrame:
     place there, joined over lines and pages, words mended.
 
     A paragraph is finished in the block it begins in, with the pages of the
-    margin behind; one of more than MARGIN whole pages is cut where they end.
+    margin behind.  What goes on beyond them is a further row of the next block,
+    by its first page there, and so on (a word broken just there stays in two).
     """
 
     def emit(r: Repairer, doc: str, block: list[Page]) -> list[tuple]:
-        own = {p.number for p in block if p.own}
+        own = {p.number for p in block if p.own and p.number is not None}
+        alone = [[doc, None, order, None, text] for p in block if p.number is None for _, order, text, _, _ in r.paragraphs([p])]
+        #: The first page that the block before does not see.
+        beyond = min(own) // BLOCK * BLOCK + MARGIN if own else 0
         seen, once = set(), []
         for p in block:
             if p.number is not None and p.number not in seen:
@@ -574,11 +577,13 @@ def reflow(pages: DataFrame, works: DataFrame, texts: DataFrame) -> DataFrame:
         before = None  # page and running-on of the piece before
         for page, order, text, opens, runs_on in r.paragraphs(once):
             goes_on = order == 0 and not opens and before is not None and before[1] and before[0] in (page, page - 1)
-            if goes_on and out:
+            if goes_on and page >= beyond and before[0] < beyond and (not out or out[-1][1] < beyond - MARGIN):
+                out.append([doc, page, order, page, text])
+            elif goes_on and out:
                 out[-1][3], out[-1][4] = page, out[-1][4] + text
             elif not (order == 0 and not opens and before is None and page not in own):  # its beginning lies before the margin
                 out.append([doc, page, order, page, text])
             before = (page, runs_on)
-        return [(d, a, o, b, t.strip()) for d, a, o, b, t in out if a in own and t.strip()]
+        return [(d, a, o, b, t.strip()) for d, a, o, b, t in [*(x for x in out if x[1] in own), *alone] if t.strip()]
 
     return _run(pages.filter("document_id is not null"), works, texts, emit, ["document_id", "page", "paragraph", "last_page", "text"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()], "document_id string, page int, paragraph int, last_page int, text string")

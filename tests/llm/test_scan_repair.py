@@ -92,3 +92,38 @@ def test_variants_are_searched_completely():
     v = S.Vocabulary({"pam" + "cpdg" * 14: 20, "kcpdgcpdg": 20, "kepdgepdg": 10_000})
     assert v.judge("pafu" + "cpdg" * 13) == "pam" + "cpdg" * 13  # fu, fn, rn, m
     assert v.judge("pam" + "cpdg" * 13) is None
+
+
+def long_paragraph(spark, pages):
+    """A paragraph over so many pages, each with a word of its own, and the texts that know the words."""
+    words = {n: "sp" + "".join("abdeghkmpr"[int(x)] for x in f"{n:03}") + "ord" for n in range(1, pages + 1)}
+    rows = [(n, "lang", str(n), f"{words[n]} og så\nvidere herfra") for n in words]
+    texts = spark.createDataFrame([(" ".join([*words.values(), "og så videre herfra"]),)] * 9, "text string")
+    works = spark.createDataFrame([("lang", "Strandboken")], "document_id string, title string")
+    return words, rows, works, texts
+
+
+def test_paragraphs_go_on_beyond_the_margin(spark):
+    for pages in (S.BLOCK + S.MARGIN - 1, S.BLOCK + S.MARGIN, 110):
+        words, rows, works, texts = long_paragraph(spark, pages)
+        got = S.reflow(spark.createDataFrame(rows, "page_id bigint, document_id string, page string, text string"), works, texts).collect()
+        got.sort(key=lambda r: r["page"])
+        assert " ".join(r["text"] for r in got) == " ".join(f"{w} og så videre herfra" for w in words.values())
+        starts = [1, *range(S.BLOCK + S.MARGIN, pages + 1, S.BLOCK)]
+        assert [(r["page"], r["last_page"]) for r in got] == list(zip(starts, [*(s - 1 for s in starts[1:]), pages]))
+
+
+def test_short_paragraphs_come_once_at_every_place(spark):
+    words, rows, works, texts = long_paragraph(spark, 80)
+    rows = [(n, d, p, t + ("." if n % 3 == 0 else "")) for n, d, p, t in rows]
+    got = S.reflow(spark.createDataFrame(rows, "page_id bigint, document_id string, page string, text string"), works, texts).collect()
+    assert sorted((r["page"], r["last_page"]) for r in got) == [(n, min(n + 2, 80)) for n in range(1, 81, 3)]
+
+
+def test_pages_without_a_number_are_paragraphs_of_their_own(spark):
+    rows = [(1, "d", "ix", "Han ventet på den garnle losen\nved fyret.\n\nKommunestyret godkjente."), (2, "d", None, "neste år"), (3, "d", "4", "Det var en dør."), (4, None, "x", "alene")]
+    _, works, texts = tables(spark)
+    got = S.reflow(spark.createDataFrame(rows, "page_id bigint, document_id string, page string, text string"), works, texts).collect()
+    assert sorted((r["page"] or -1, r["paragraph"], r["last_page"] or -1, r["text"]) for r in got) == [
+        (-1, 0, -1, "Han ventet på den gamle losen ved fyret."), (-1, 0, -1, "neste år"), (-1, 1, -1, "Kommunestyret godkjente."), (4, 0, 4, "Det var en dør."),
+    ]

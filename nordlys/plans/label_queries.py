@@ -421,11 +421,11 @@ def wikitext_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def subword_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Sub-word spans of the evaluation items' words by a public byte-level tokenizer."""
-    items = table(spark, sf, "evaluation_item").filter("size(tokens) > 0")
-    words = items.select("item_id", X.spaced_words(F.col("tokens"), F.transform("tokens", lambda _, i: i > 0)).alias("words"))
-    e = subword.encode_words(words, ["item_id"], "/opt/tokenizers/byte_bpe_50k.json").join(words.select("item_id", F.size("words").alias("n")), "item_id")
-    return e.select("item_id", F.size("ids").alias("n_ids"), subword.word_spans(F.col("word_ids"), F.col("n")).alias("spans"))
+    """Sub-word spans of all silver sentences' words by a public byte-level tokenizer."""
+    s = inputs.sentences(spark, sf).filter("size(tokens) > 0")
+    words = s.select("sentence_id", F.size("tokens").alias("n"), X.spaced_words(F.col("tokens"), F.transform("tokens", lambda _, i: i > 0)).alias("words"))
+    e = subword.encode_words(words, ["sentence_id", "n"], "/opt/tokenizers/byte_bpe_50k.json")
+    return e.select("sentence_id", F.size("ids").alias("n_ids"), subword.word_spans(F.col("word_ids"), F.col("n")).alias("spans"))
 
 
 @query()

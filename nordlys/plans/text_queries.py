@@ -231,10 +231,19 @@ def interleaved(spark: SparkSession, sf: str) -> DataFrame:
 SELECT item_id, (i - 1)::INT AS tok_idx, form, lower(form) AS lemma, CASE WHEN length(form) > 4 THEN 'Number=Sing' ELSE '_' END AS features, true AS space_after FROM t""")
 def conllu_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Items rendered as CoNLL-U blocks and parsed again."""
-    items = table(spark, sf, "evaluation_item").filter("tokens is not null")
+    return _conllu(table(spark, sf, "evaluation_item"), "item_id")
+
+
+@query()
+def conllu_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """All silver sentences rendered as CoNLL-U blocks and parsed again."""
+    return _conllu(inputs.sentences(spark, sf), "sentence_id")
+
+
+def _conllu(rows: DataFrame, key: str) -> DataFrame:
     line = F.transform("tokens", lambda t, i: F.concat_ws("\t", (i + 1).cast("string"), t, F.lower(t), F.lit("X"), F.lit("_"), F.when(F.length(t) > 4, F.lit("Number=Sing")).otherwise(F.lit("_")), F.lit("0"), F.lit("_"), F.lit("_"), F.lit("_")))
-    blocks = items.select("item_id", F.concat(F.lit("# text\n"), F.array_join(line, "\n")).alias("value"))
-    return readers.parse_blocks(blocks, "item_id").select("item_id", "tok_idx", "form", "lemma", X.feature_bundle(F.col("features")).alias("features"), "space_after")
+    blocks = rows.filter("tokens is not null").select(key, F.concat(F.lit("# text\n"), F.array_join(line, "\n")).alias("value"))
+    return readers.parse_blocks(blocks, key).select(key, "tok_idx", "form", "lemma", X.feature_bundle(F.col("features")).alias("features"), "space_after")
 
 
 _RULES_OF = f"""p AS (SELECT DISTINCT form AS token, lemma FROM {{gold}} WHERE upos <> 'PUNCT'),

@@ -1,15 +1,15 @@
 """Scalar text functions: Unicode forms, fingerprints, lemma edit rules, character ids, pre-tokenizers.
 
-All are column expressions on the JVM side but for :func:`nfc` beyond U+02FF and
-:func:`casefold_full`, which Spark has no built-in for (Arrow UDFs).
+All are column expressions on the JVM side but for composition and folding of
+characters beyond U+02FF, which Spark has no built-in for (Arrow UDFs).
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,43 +35,61 @@ UNIVERSAL_FEATURES = (
 )
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+#: Characters from U+0300 on may change under composition; those and four more fold in a way ``lower`` doesn't know.
+_COMPOSES, _FOLDS = r"[^\x{0}-\x{2FF}]", r"[^\x{0}-\x{2FF}]|[\x{B5}\x{149}\x{17F}\x{1F0}]"
 
 
-@F.pandas_udf(StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
+def _mapped(change: Callable[[str], str]) -> Callable[[pa.Array], pa.Array]:
+    def run(values: pa.Array) -> pa.Array:
+        if values.null_count == len(values):
+            return values
+        return pa.array([None if x is None else change(x) for x in values.to_pylist()], pa.string())
+
+    return run
+
+
+def _compose(x: str) -> str:
+    return unicodedata.normalize("NFC", x)
+
+
+_nfc = F.arrow_udf(_mapped(_compose), StringType())
+_folded = F.arrow_udf(_mapped(str.casefold), StringType())
+_key = F.arrow_udf(_mapped(lambda x: _compose(x).casefold()), StringType())
+
+
+def _where(c: Column, pattern: str, python: Callable[[Column], Column], here: Column) -> Column:
+    """``python`` for the values the pattern is found in, ``here`` for all others; only the former cross to Python
+    (an Arrow function is called for every row, whatever the CASE around it says, so the others go as nulls)."""
+    return F.coalesce(python(F.when(c.rlike(pattern), c)), here)
+
+
+def _lower(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
 def nfc(c: Column) -> Column:
     """Canonical composition; text below U+0300 already is in that form and stays in the JVM."""
-    return F.when(c.rlike(r"^[\x{0}-\x{2FF}]*$"), c).otherwise(_nfc(c))
+    return _where(c, _COMPOSES, _nfc, c)
 
 
 def casefold(c: Column) -> Column:
-    """Case folding for the Latin, Greek and Cyrillic repertoire: lower case, sharp s and final sigma."""
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-
-
-def casefold_full(c: Column) -> Column:
-    """Full Unicode case folding (Arrow UDF)."""
-    return _casefold(c)
+    """Full Unicode case folding; Latin text stays in the JVM."""
+    return _where(c, _FOLDS, _folded, _lower(c))
 
 
 def nfc_key(c: Column) -> Column:
     """The key under which forms are counted: composed, then case folded."""
-    return casefold(nfc(c))
+    return _where(c, _FOLDS, _key, _lower(c))
 
 
 def fingerprint(tokens: Column) -> Column:
-    """SHA-256 over the folded tokens, each followed by NUL; spacing and case do not matter.
+    """SHA-256 over the composed and folded tokens, each followed by NUL; spacing, case and Unicode form do not matter.
 
-    Null for a null list; null tokens are skipped.
+    Null for a null list; null tokens are skipped.  NUL composes with nothing,
+    so the tokens are normalised joined.
     """
-    folded = F.transform(tokens, lambda t: F.concat(casefold(t), F.lit("\0")))
-    return F.when(tokens.isNotNull(), F.sha2(F.array_join(folded, ""), 256))
+    joined = F.array_join(F.transform(tokens, lambda t: F.concat(t, F.lit("\0"))), "")
+    return F.when(tokens.isNotNull(), F.sha2(nfc_key(joined), 256))
 
 
 def token_list(text: Column) -> Column:
@@ -82,6 +100,12 @@ def token_list(text: Column) -> Column:
 # --- lemma edit rules: (prefix removed, suffix removed, prefix added, suffix added), in code points
 
 
+def apply_rule_strict(token: Column, rule: Column) -> Column:
+    """The lemma a rule gives; an error where the rule removes more than the token has."""
+    fault = F.raise_error(F.concat(F.lit("the rule removes more than the token has: "), token)).cast("string")
+    return F.when(token.isNull() | rule.isNull(), None).otherwise(F.coalesce(apply_rule(token, rule), fault))
+
+
 def apply_rule(token: Column, rule: Column) -> Column:
     """The lemma a rule gives; null where the rule removes more than the token has."""
     keep = F.length(token) - rule["pr"] - rule["sr"]
@@ -126,9 +150,9 @@ def strip_marker(lemma: Column) -> Column:
     return F.regexp_replace(lemma, r"^\$", "")
 
 
-def restore_marker(form: Column, lemma: Column, marked: Column) -> Column:
-    """The ``$`` comes back for forms that carried it in training."""
-    return F.when(marked, F.concat(F.lit("$"), lemma)).otherwise(lemma)
+def restore_marker(lemma: Column, marked: Column) -> Column:
+    """The ``$`` comes back for forms that carried it in training (``marked``), unless the lemma has one."""
+    return F.when(F.coalesce(marked, F.lit(False)) & ~lemma.startswith("$"), F.concat(F.lit("$"), lemma)).otherwise(lemma)
 
 
 # --- feature maps
@@ -207,21 +231,28 @@ def compatibility_fold(text: Column) -> Column:
 
 
 def utf8_to_utf16(text: Column, at: Column) -> Column:
-    """A UTF-8 byte offset as UTF-16 code units; null inside a character or beyond the text."""
+    """A UTF-8 byte offset as UTF-16 code units; an error inside a character or beyond the text, null for nulls."""
     raw = F.encode(text, "UTF-8")
     head = F.substring(raw, F.lit(1), at)
-    whole = F.decode(head, "UTF-8")
-    fits = (at >= 0) & (at <= F.octet_length(text)) & F.is_valid_utf8(head.cast("string"))
-    return F.when(fits, (F.octet_length(F.encode(whole, "UTF-16BE")) / 2).cast("int"))
+    units = (F.octet_length(F.encode(F.decode(head, "UTF-8"), "UTF-16BE")) / 2).cast("int")
+    fits = (at >= 0) & (at <= F.octet_length(raw)) & F.is_valid_utf8(head.cast("string"))
+    return F.when(text.isNull() | at.isNull(), None).when(fits, units).otherwise(_no_boundary(at))
 
 
 def utf16_to_utf8(text: Column, at: Column) -> Column:
-    """UTF-16 code units as a UTF-8 byte offset; null inside a surrogate pair or beyond the text."""
-    prefix = F.filter(
-        F.transform(F.sequence(F.lit(0), F.length(text)), lambda k: F.struct((F.octet_length(F.encode(F.substring(text, F.lit(1), k), "UTF-16BE")) / 2).cast("int").alias("u"), F.octet_length(F.substring(text, F.lit(1), k)).alias("b"))),
-        lambda x: x["u"] == at,
-    )
-    return F.try_element_at(prefix, F.lit(1))["b"]
+    """UTF-16 code units as a UTF-8 byte offset; an error inside a surrogate pair or beyond the text, null for nulls.
+
+    The first ``at`` units are cut out as bytes and read as text: half a pair at their end is no text.
+    """
+    raw = F.encode(text, "UTF-16BE")
+    last = F.conv(F.hex(F.substring(raw, 2 * at - 1, F.lit(2))), 16, 10).cast("int")
+    fits = (at >= 0) & (2 * at <= F.octet_length(raw)) & ~F.coalesce((at > 0) & last.between(0xD800, 0xDBFF), F.lit(False))
+    head = F.decode(F.substring(raw, F.lit(1), 2 * at), "UTF-16BE")
+    return F.when(text.isNull() | at.isNull(), None).when(fits, F.octet_length(head)).otherwise(_no_boundary(at))
+
+
+def _no_boundary(at: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("no character boundary: "), at.cast("string"))).cast("int")
 
 
 def any_word(words: Iterable[str]) -> str:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from nordlys.functions.text import fingerprint
-from nordlys.session import materialize, small
+from nordlys.session import input_bytes, materialize, small
+
+#: Bytes of the scans behind a range of a total order.
+RANGE_BYTES = 32 << 20
 
 
 def with_fingerprint(sentences: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -14,21 +22,29 @@ def with_fingerprint(sentences: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def first_seen(sentences: DataFrame, *order: str, key: str = "fingerprint") -> DataFrame:
-    """Keeps of each key the row that comes first in the given order, with all its columns.
+    """Keeps of each key the row that comes first in the given order (nulls first), with all its columns.
 
-    The survivors are found by an aggregation with partial results (so a key that
-    a third of the rows share does not become one task) and joined back on the
-    order columns, which must name a row.  Rows without a key are kept.
+    One aggregation with partial results carries the row along, so the input is
+    read once, its survivors alone are shuffled, and a key that a third of the
+    rows share is no single task.  Of rows equal in key and order one counts.
+    Rows without a key are kept.
     """
-    place = F.struct(*order)
-    first = sentences.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("_first")).select(*[F.col(f"_first.{c}").alias(c) for c in order])
-    seen = sentences.filter(F.col(key).isNotNull()).join(first, list(order), "left_semi")
-    return seen.unionByName(sentences.filter(F.col(key).isNull()))
+    columns = sentences.columns
+    # Rows without a key stand each for itself: their key is their whole order and a number of their own.
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    firsts = sentences.groupBy(F.col(key).alias("_key"), alone.alias("_alone")).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
+    return firsts.select(*[F.col("_row")[c].alias(c) for c in columns])
+
+
+def gold_fingerprints(*splits: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Distinct fingerprints of all gold splits together (train, dev and test of every profile)."""
+    keys = [with_fingerprint(s.filter(F.col(tokens).isNotNull()), tokens).select("fingerprint") for s in splits]
+    return reduce(DataFrame.unionByName, keys).distinct()
 
 
 def decontaminate(sentences: DataFrame, gold: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Without the rows whose key the gold data has; its keys are broadcast if few."""
-    return sentences.join(small(gold.select(key).filter(F.col(key).isNotNull()).distinct()), key, "left_anti")
+    return sentences.join(small(gold.select(key).filter(F.col(key).isNotNull()).distinct(), derived=True), key, "left_anti")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -63,19 +79,33 @@ def validate(sentences: DataFrame, expected: dict[str, int]) -> None:
         raise ValueError(f"manifest and corpus differ: {wrong}")
 
 
+@F.pandas_udf(LongType())
+def _sum_before(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Running sum of the values before each row of a task, which is called once and carries it from batch to batch."""
+    total = 0
+    for v in parts:
+        run = v.fillna(0).astype("int64").cumsum()
+        yield run - v.fillna(0).astype("int64") + total
+        total += int(run.iloc[-1]) if len(run) else 0
+
+
+_sum_before = _sum_before.asNondeterministic()  # it reads the rows' order, so nothing may be moved past it
+
+
 def running_total(rows: DataFrame, value: Column, *order: str, name: str = "before") -> DataFrame:
-    """Sum of ``value`` over all rows before each one in the given total order.
+    """Sum of ``value`` (whole numbers, null as 0) over all rows before each one in the given total order.
 
-    Rows are range-partitioned once and written to the shared folder with their
-    partition's number; the running sum is made within partitions and moved on
-    by the totals of the partitions before (one row each).
+    Rows are range-partitioned and sorted once; the running sum is made in that
+    order within each range and written with the range's number, and the ranges'
+    totals, one row each, move the sums on: one shuffle of the rows.  The
+    number of ranges follows the input's bytes.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(rows.withColumn("_v", value).repartitionByRange(tasks, *order).withColumn("_p", F.spark_partition_id()))
+    tasks = int(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, input_bytes(rows) // RANGE_BYTES)))
+    sorted_ = rows.withColumn("_v", value.cast("bigint")).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ranged = materialize(sorted_.withColumn("_w", _sum_before("_v")).withColumn("_p", F.spark_partition_id()))
     before = Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_p").agg(F.sum("_v").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_offset")
-    within = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(small(offsets), "_p").withColumn(name, F.col("_offset") + F.coalesce(F.sum("_v").over(within), F.lit(0))).drop("_v", "_p", "_offset")
+    return ranged.join(small(offsets, derived=True), "_p").withColumn(name, F.col("_offset") + F.col("_w")).drop("_v", "_p", "_offset", "_w")
 
 
 def within_budget(sentences: DataFrame, budget: int, size: Column, *order: str) -> DataFrame:

@@ -50,6 +50,11 @@ _SYSTEM = """tok_idx, sent_id, form, CASE WHEN k = 0 THEN 'X' ELSE upos END AS u
   CASE WHEN k = 1 THEN CASE number WHEN 'Sing' THEN 'Plur' WHEN 'Plur' THEN 'Sing' END ELSE number END AS number, definite,
   CASE WHEN k = 2 AND gender IS NOT NULL THEN 'Neut' ELSE gender END AS gender"""
 
+#: Case folding of a composed string {x}, as far as DuckDB's ``lower`` leaves it undone in these tables.
+SQL_FOLD = "lower({x})"
+for _from, _to in (("ß", "ss"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ſ", "s")):
+    SQL_FOLD = f"replace({SQL_FOLD}, '{_from}', '{_to}')"
+
 #: The same inputs as DuckDB common table expressions: tok, gold, system.
 SQL_TOKENS = (
     "sent AS (SELECT sentence_id, min(document_id) AS document_id, min(sentence_index) AS sentence_index, first(tokens) AS tokens FROM silver_sentence WHERE sentence_id IS NOT NULL GROUP BY 1), "

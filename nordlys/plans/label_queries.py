@@ -10,7 +10,7 @@ from nordlys.functions import vectors as V
 from nordlys.operators import annotate, bundles, evaluation, probability, ranges, schema, subword
 from nordlys.operators import segmentation as seg
 from nordlys.plans import inputs
-from nordlys.plans.inputs import SQL_BUNDLE, SQL_ITEMS, SQL_TOKENS
+from nordlys.plans.inputs import SQL_BUNDLE, SQL_FOLD, SQL_ITEMS, SQL_TOKENS
 from nordlys.session import enough_tasks, table
 from nordlys.sources import markup
 
@@ -211,9 +211,9 @@ def bundle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.inventory_summary(_inventory(spark, sf))
 
 
-_ERR = _PAIRS + f", {SQL_ITEMS}" + """, pc AS (SELECT replace(replace(lower(nfc_normalize(form)), 'ß', 'ss'), 'ς', 'σ') AS f, count(*) AS cnt FROM itok GROUP BY 1),
+_ERR = _PAIRS + f", {SQL_ITEMS}, pc AS (SELECT {SQL_FOLD.format(x='nfc_normalize(form)')} AS f," + """ count(*) AS cnt FROM itok GROUP BY 1),
 ctx AS (SELECT pr.*, coalesce(lag(gu) OVER w, '<BOS>') AS pu, coalesce(lead(gu) OVER w, '<EOS>') AS nu, CASE WHEN coalesce(cnt, 0) = 0 THEN 'oov' WHEN cnt <= 5 THEN 'rare' ELSE 'frequent' END AS fc
-  FROM pr LEFT JOIN pc ON replace(replace(lower(nfc_normalize(pr.form)), 'ß', 'ss'), 'ς', 'σ') = pc.f WINDOW w AS (PARTITION BY sent_id ORDER BY tok_idx)),
+  FROM pr LEFT JOIN pc ON """ + SQL_FOLD.format(x="nfc_normalize(pr.form)") + """ = pc.f WINDOW w AS (PARTITION BY sent_id ORDER BY tok_idx)),
 er AS (SELECT *, coalesce(gn, '<NONE>') AS gv, coalesce(sn, '<NONE>') AS sv FROM ctx WHERE coalesce(gn, '<NONE>') <> coalesce(sn, '<NONE>'))"""
 
 

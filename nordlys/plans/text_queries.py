@@ -10,7 +10,7 @@ from nordlys.functions.text import SPACE, TOKEN
 from nordlys.operators import corpus, evaluation, sampling, schema
 from nordlys.operators import segmentation as seg
 from nordlys.plans import inputs
-from nordlys.plans.inputs import SQL_ITEMS, SQL_TOKENS
+from nordlys.plans.inputs import SQL_FOLD, SQL_ITEMS, SQL_TOKENS
 from nordlys.session import enough_tasks, table
 from nordlys.sources import markup, readers
 
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 _Q = TOKEN.replace("'", "''")
 _WS = SPACE.replace("'", "''")
-_FOLD = "replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+_FOLD = SQL_FOLD
 _OPEN = "«\"''(\\[„“"
 _SEG = r"""
 ab AS (SELECT list(DISTINCT rtrim(lower(trim(a)), '.') || '.') AS abbr FROM (SELECT unnest(abbreviation_tokens) AS a FROM segmentation_policy)),
@@ -116,7 +116,7 @@ def silver_extract(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("doc_id", "sentence", F.array_join("tokens", "\x01").alias("tokens"))
 
 
-_FP = "sha256(array_to_string(list_transform({t}, lambda t: " + _FOLD.format(x="t") + " || chr(0)), ''))"
+_FP = "sha256(array_to_string(list_transform({t}, lambda t: " + _FOLD.format(x="nfc_normalize(t)") + " || chr(0)), ''))"
 
 
 @query(f"WITH {SQL_TOKENS} SELECT sentence_id, CASE WHEN tokens IS NOT NULL THEN {_FP.format(t='list_filter(tokens, lambda x: x IS NOT NULL)')} END AS fingerprint FROM sent")

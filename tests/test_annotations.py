@@ -43,6 +43,13 @@ def test_scalars(spark):
     assert [r[0] for r in d.select(X.strip_marker(F.col("l"))).collect()] == [".", '"', "$"]
     prints = [r[0] for r in spark.createDataFrame([(["Å"],), (["å"],), (["a"],), (None,)], "t array<string>").select(X.fingerprint(F.transform("t", lambda x: x))).collect()]
     assert prints[2] != prints[0] and prints[3] is None
+    forms = [(["Ångström", "ﬁn", "ΟΔΟΣ"],), (["A\u030angstro\u0308m", "FIN", "οδος"],), (["ångström", "fin", "οδοσ"],)]
+    assert len({r[0] for r in spark.createDataFrame(forms, "t array<string>").select(X.fingerprint(F.col("t"))).collect()}) == 1
+    import hashlib
+    import unicodedata
+
+    for (tokens,), got in zip(forms, spark.createDataFrame(forms, "t array<string>").select(X.fingerprint(F.col("t"))).collect()):
+        assert got[0] == hashlib.sha256(b"".join(unicodedata.normalize("NFC", t).casefold().encode() + b"\0" for t in tokens)).hexdigest()
     f = spark.createDataFrame([({"Gender": "Fem,Masc", "Number": "Plur,Sing", "Odd": "x"},), ({},), (None,)], "f map<string,string>")
     assert [r[0] for r in f.select(X.feature_bundle(X.universal_subset(F.col("f")))).collect()] == ["Gender=Fem,Masc|Number=Plur,Sing", "_", "_"]
     assert f.select(X.common_gender(F.lit("ADJ"), F.col("f"))).first()[0]["Gender"] == "Com" and f.select(X.common_gender(F.lit("PRON"), F.col("f"))).first()[0]["Gender"] == "Fem,Masc"

@@ -3,14 +3,21 @@
 Method: a hash set of normalised n-grams of the held-out items is broadcast and
 the windows of every document are scanned against it; hits are verified by a
 local alignment of words, which allows misread, replaced and broken words.  The
-n-grams are word pairs, adjacent or with one word between, because a passage
-with every fourth word damaged keeps no longer run for certain; pairs that many
-different items share (phrasing, not content) are left out of the set, and the
-verification demands that the words particular to the item agree.  Every
-alignment is verified for itself, so shared phrasing hides no passage beside it.
-
-Documents are read in blocks of sentences with an overlap, so that no task ever
-holds a whole document and passages across sentences and blocks are found.
+n-grams have gaps, because a passage with every fourth word damaged keeps no
+longer run for certain: a word particular to the item together with another one
+up to REACH words from it.  The verification demands that the words particular
+to the item agree, one of them letter by letter.  Every alignment is verified
+for itself, so shared phrasing hides no passage beside it.
+
+What counts as phrasing is found over all held-out items at once, by language,
+before the set is built, so it does not depend on how many rounds the items are
+scanned in.  A particular word at any place of MIN_WORDS words has four others
+within REACH; with two words damaged (broken ones move the rest by one, which
+the scan allows for) two of the four are left, so HITS words agree.
+
+Documents are read in blocks of sentences with an overlap longer than the
+longest item, so that no task ever holds a whole document and passages across
+sentences and blocks are found.
 
 Defined results
 ---------------
@@ -27,7 +34,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -36,17 +43,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nordlys.session import small
+from nordlys.session import input_bytes, materialize, small
 
-#: Words of an item a passage must hold; sentences a block; sentences of the next block it also reads.
-MIN_WORDS, BLOCK, OVERLAP = 8, 128, 24
-#: Rows of items broadcast at most (a few hundred bytes each); more are scanned in rounds.
-ITEMS_PER_ROUND = 20_000
+#: Words of an item a passage must hold; sentences a block.
+MIN_WORDS, BLOCK = 8, 512
+#: Rows of items broadcast at once (a few hundred bytes each); more are scanned in rounds, one broadcast after the other.
+ITEMS_PER_ROUND = 10_000
 #: A word or pair in more than this share of a language's sentences (and more than a few) is phrasing.
 COMMON_SHARE, COMMON_LEAST = 0.02, 3
 GAP, MISMATCH = -1.1, -1.2
-#: Pairs a passage must hit (one of MIN_WORDS words keeps five with two damaged), and words its diagonal may drift by.
-HITS, DRIFT = 2, 4
+#: Bytes of the scans behind a task of the scan.
+TASK_BYTES = 16 << 20
+#: Words of an n-gram's reach, words of a passage that must be hit, and words its diagonal may drift by.
+REACH, HITS, DRIFT = 4, 3, 4
 
 _WORD = re.compile(r"\w+")
 _DROP = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
@@ -103,50 +112,49 @@ class Passage:
     particular_same: int
     at: int = 0
     until: int = 0
+    #: Of the words particular to the item those that agree letter by letter.
+    particular_exact: int = 0
     #: Within the words aligned, from the last step to the first: (item word, begin, end, kind: 2 same, 1 near, 0 other; whether particular).
     steps: list[tuple[int, int, int, int, bool]] = field(default_factory=list, repr=False)
 
 
 @dataclass
 class Index:
-    """The broadcast set: distinct held-out sentences, their ids and their pairs."""
+    """The broadcast set: distinct held-out sentences, their ids and their n-grams.
+
+    ``grams`` has for each particular word the words near it, and for each of those (sentence, place, distance).
+    """
 
     sentences: list[list[str]] = field(default_factory=list)
     ids: list[list[int]] = field(default_factory=list)
     particular: list[list[bool]] = field(default_factory=list)
-    pairs: dict[tuple[str, str, int], list[tuple[int, int]]] = field(default_factory=dict)
+    grams: dict[str, dict[str, list[tuple[int, int, int]]]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, items: Iterable[tuple[int, str, list[str | None]]]) -> Index:
+    def build(cls, items: Iterable[tuple[int, str, list[str | None]]], common: dict[str, frozenset[str]] | None = None) -> Index:
+        """The set of some of the items; ``common`` has the languages' phrasing (of these items alone, if not given)."""
+        items = list(items)
+        if common is None:
+            common = common_words((language, words_of(tokens)) for _, language, tokens in items)
         self, seen = cls(), {}
-        of_language: dict[str, list[int]] = defaultdict(list)
         for item, language, tokens in items:
             words = words_of(tokens)
             if len(words) < MIN_WORDS:
                 continue
-            key = tuple(words)
-            if key not in seen:
-                seen[key] = len(self.sentences)
+            s = seen.setdefault((language, *words), len(self.sentences))
+            if s == len(self.sentences):
+                phrasing = common.get(language, frozenset())
+                mark = [w not in phrasing and len(w) > 1 for w in words]
                 self.sentences.append(words)
                 self.ids.append([])
-                of_language[language].append(seen[key])
-            self.ids[seen[key]].append(item)
-        self.particular = [[] for _ in self.sentences]
-        pairs: dict[tuple[str, str, int], list[tuple[int, int]]] = defaultdict(list)
-        for members in of_language.values():
-            most = max(COMMON_LEAST, COMMON_SHARE * len(members))
-            held: dict[str, int] = defaultdict(int)
-            for s in members:
-                for w in set(self.sentences[s]):
-                    held[w] += 1
-            for s in members:
-                words = self.sentences[s]
-                mark = self.particular[s] = [held[w] <= most and len(w) > 1 for w in words]
-                for gap in (1, 2):
-                    for i in range(len(words) - gap):
-                        if mark[i] or mark[i + gap]:
-                            pairs[words[i], words[i + gap], gap].append((s, i))
-        self.pairs = dict(pairs)
+                self.particular.append(mark)
+                for i, own in enumerate(mark):
+                    if own:
+                        near = self.grams.setdefault(words[i], {})
+                        for k in range(max(0, i - REACH), min(len(words), i + REACH + 1)):
+                            if k != i:
+                                near.setdefault(words[k], []).append((s, i, k - i))
+            self.ids[s].append(item)
         return self
 
     def scan(self, words: list[str]) -> dict[int, Passage]:
@@ -159,26 +167,30 @@ class Index:
 
     def passages(self, words: list[str]) -> Iterator[tuple[int, Passage]]:
         """Every alignment of a held-out sentence with the words: all that lie beside each other, near every group of diagonals hit."""
-        get = self.pairs.get
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for gap in (1, 2):
-            for j in range(len(words) - gap):
-                for s, i in get((words[j], words[j + gap], gap), ()):
-                    hits.setdefault(s, []).append((j - i, j))
-        for s, places in hits.items():
-            if len(places) < HITS:
+        get, n = self.grams.get, len(words)
+        hits: dict[int, set[tuple[int, int]]] = {}
+        for j, word in enumerate(words):
+            near = get(word)
+            if near is None:
+                continue
+            for k in range(max(0, j - REACH - 1), min(n, j + REACH + 2)):
+                for s, i, distance in near.get(words[k], ()) if k != j else ():
+                    if -1 <= k - j - distance <= 1:
+                        hits.setdefault(s, set()).update(((j - i, j), (k - i - distance, k)))
+        for s, found in hits.items():
+            if len(found) < HITS:
                 continue
-            n = len(self.sentences[s])
-            places.sort()
+            size = len(self.sentences[s])
+            places = sorted(found)
             begin = 0
             for k in range(1, len(places) + 1):
                 if k < len(places) and places[k][0] - places[k - 1][0] <= DRIFT:
                     continue
                 first, last = places[begin][0], places[k - 1][0]
-                left = [(max(0, first - DRIFT), min(len(words), last + n + DRIFT))]
+                left = [(max(0, first - DRIFT), min(n, last + size + DRIFT))] if k - begin >= HITS else []
                 while left:
                     low, high = left.pop()
-                    if sum(low <= j < high for _, j in places[begin:k]) < HITS:
+                    if len({j - d for d, j in places[begin:k] if low <= j < high}) < HITS:
                         continue
                     p = self.align(s, words[low:high], first - low, last - low)
                     if p:
@@ -230,15 +242,30 @@ class Index:
                     p.same += kind == 2
                     p.near += kind == 1
                     p.particular_same += mark[i - 1]
+                    p.particular_exact += kind == 2 and mark[i - 1]
             i, j = pi, pj
         p.start, p.at = i, j
         return p
 
 
+def common_words(sentences: Iterable[tuple[str, list[str]]]) -> dict[str, frozenset[str]]:
+    """By language the words that stand in more than the common share of the distinct sentences."""
+    distinct: dict[str, set[tuple[str, ...]]] = defaultdict(set)
+    for language, words in sentences:
+        if len(words) >= MIN_WORDS:
+            distinct[language].add(tuple(words))
+    out = {}
+    for language, members in distinct.items():
+        held = Counter(w for words in members for w in set(words))
+        most = max(COMMON_LEAST, COMMON_SHARE * len(members))
+        out[language] = frozenset(w for w, n in held.items() if n > most)
+    return out
+
+
 def is_held(p: Passage) -> bool:
     """The passage holds enough consecutive words of the item, and the item's own ones."""
     span = p.end - p.start
-    if span < MIN_WORDS or p.particular_same < 2:
+    if span < MIN_WORDS or p.particular_same < 2 or not p.particular_exact:  # like names alone are other names
         return False
     agreeing, own = p.same / span, p.particular_same / p.particular
     return agreeing >= 0.8 and own >= 0.6 or agreeing >= 0.7 and own >= 0.7
@@ -254,7 +281,7 @@ def held_part(p: Passage) -> Passage | None:
             part = steps[a : a + span]
             if part[0][3] and part[-1][3]:
                 own = [kind for *_, kind, particular in part if particular]
-                q = Passage(part[0][0], part[-1][0] + 1, sum(x[3] == 2 for x in part), sum(x[3] == 1 for x in part), len(own), sum(k > 0 for k in own), part[0][1], part[-1][2], part[::-1])
+                q = Passage(part[0][0], part[-1][0] + 1, sum(x[3] == 2 for x in part), sum(x[3] == 1 for x in part), len(own), sum(k > 0 for k in own), part[0][1], part[-1][2], sum(k == 2 for k in own), part[::-1])
                 if is_held(q):
                     return q
     return None
@@ -265,12 +292,15 @@ def held_out(items: DataFrame, runs: DataFrame) -> DataFrame:
     return items.select("item_id", "language_tag", "evaluation_split", "tokens").filter("item_id is not null").join(small(tags), ["language_tag", "evaluation_split"], "left_semi")
 
 
-def blocks(sentences: DataFrame) -> DataFrame:
-    """(document_id, block, sentence_index, tokens), the first sentences of a block also in the one before."""
+def blocks(sentences: DataFrame, overlap: int) -> DataFrame:
+    """(document_id, block, sentence_index, tokens), the first sentences of a block also in the one before.
+
+    Sentences without a word are left out, so ``overlap`` words need no more sentences than that.
+    """
     block = F.floor(F.col("sentence_index") / BLOCK).cast("int")
-    early = F.col("sentence_index") - block * BLOCK < OVERLAP
+    early = F.col("sentence_index") - block * BLOCK < overlap
     return (
-        sentences.filter("document_id is not null and sentence_index is not null and size(tokens) > 0")
+        sentences.filter("document_id is not null and sentence_index is not null and exists(tokens, t -> t rlike '[\\\\p{L}\\\\p{N}]')")
         .select("document_id", "sentence_index", "tokens", F.explode(F.when(early & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
     )
 
@@ -278,48 +308,102 @@ def blocks(sentences: DataFrame) -> DataFrame:
 PASSAGES = "document_id string, item_id bigint, first_sentence int, last_sentence int, item_words int, passage_words int, agreeing_words int"
 
 
-def find_leaks(sentences: DataFrame, items: DataFrame, runs: DataFrame, keep_all: bool = False) -> DataFrame:
-    """Every verified passage: document, leaked item, the sentences it stands in and how much of it."""
+def phrasing(test: DataFrame) -> tuple[dict[str, frozenset[str]], int]:
+    """The common words of each language over all held-out items, and the words of the longest item.
+
+    Counted on the cluster; what reaches the driver is bounded, since a word in a
+    share s of the sentences is one of at most (words a sentence) / s.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(language, words) for language, tokens in zip(*(c.to_pylist() for c in batch.columns)) if len(words := words_of(tokens)) >= MIN_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["language", "words"])
+
+    distinct = materialize(test.select("language_tag", "tokens").mapInArrow(run, "language string, words array<string>").distinct())
+    totals = distinct.groupBy("language").agg(F.count("*").alias("n"), F.max(F.size("words")).alias("longest"))
+    held = distinct.select("language", F.explode(F.array_distinct("words")).alias("word")).groupBy("language", "word").agg(F.count("*").alias("held"))
+    common = held.join(small(totals, derived=True), "language").filter(F.col("held") > F.greatest(F.lit(COMMON_LEAST), COMMON_SHARE * F.col("n")))
+    out: dict[str, set[str]] = defaultdict(set)
+    for r in common.select("language", "word").collect():
+        out[r["language"]].add(r["word"])
+    return {k: frozenset(v) for k, v in out.items()}, totals.agg(F.max("longest")).first()[0] or 0
+
+
+def find_leaks(sentences: DataFrame, items: DataFrame, runs: DataFrame, keep_all: bool = False, per_round: int = ITEMS_PER_ROUND) -> DataFrame:
+    """Every verified passage: document, leaked item, the sentences it stands in and how much of it.
+
+    Up to ``per_round`` items are one broadcast and one lazy pass.  More are
+    taken in rounds over the corpus arranged once: each round's rows are written
+    and its broadcast is given up before the next, so neither driver nor
+    executors ever hold more than one round's items.
+    """
     spark = sentences.sparkSession
     test = held_out(items, runs)
-    total = test.count()
-    rounds = max(1, -(-total // ITEMS_PER_ROUND))
-    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scanned = blocks(sentences).repartition(tasks, "document_id", "block").sortWithinPartitions("document_id", "block", "sentence_index", F.desc(F.size("tokens")))
+    common, longest = phrasing(test)
+    rounds = max(1, -(-test.count() // per_round))
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(sentences) // TASK_BYTES)
+    # A passage may have broken words, a third more than the item's.
+    scanned = blocks(sentences, longest * 4 // 3 + MIN_WORDS).repartition(int(tasks), "document_id", "block").sortWithinPartitions("document_id", "block", "sentence_index", F.desc(F.size("tokens")))
+    schema = PASSAGES if not keep_all else PASSAGES + ", same int, near int, particular int, particular_same int, start int, item string, text string"
+    if rounds > 1:  # one row a block, so that the written table keeps each block in order and whole for every round
+        scanned = materialize(scanned.mapInArrow(_pack, PACKED))
     out = None
     for k in range(rounds):
         part = test.filter(F.pmod(F.xxhash64("language_tag", F.array_join("tokens", " ")), F.lit(rounds)) == k) if rounds > 1 else test
-        index = spark.sparkContext.broadcast(Index.build(tuple(r) for r in part.select("item_id", "language_tag", "tokens").collect()))
-        found = scanned.mapInArrow(_scanner(index, keep_all), PASSAGES if not keep_all else PASSAGES + ", same int, near int, particular int, particular_same int, start int, item string, text string")
+        index = spark.sparkContext.broadcast(Index.build((tuple(r) for r in part.select("item_id", "language_tag", "tokens").collect()), common))
+        found = scanned.mapInArrow(_scanner(index, keep_all, _unpack if rounds > 1 else _read), schema)
+        if rounds > 1:
+            found = materialize(found)
+            index.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scanner(index, keep_all: bool):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, words, owner = None, [], []
-        last = None
-        for batch in batches:
-            for doc, sentence, tokens, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if (doc, block) != key:
-                    if key:
-                        yield key, words, owner
-                    key, words, owner, last = (doc, block), [], [], None
-                if sentence == last:
-                    continue
-                last = sentence
-                own = words_of(tokens)
-                words += own
-                owner += [sentence] * len(own)
-        if key:
-            yield key, words, owner
+PACKED = "document_id string, block int, owner array<int>, words array<string>"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((document, block), words, the sentence of each word) of sentences that come in order."""
+    key, words, owner = None, [], []
+    last = None
+    for batch in batches:
+        for doc, sentence, tokens, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if (doc, block) != key:
+                if key:
+                    yield key, words, owner
+                key, words, owner, last = (doc, block), [], [], None
+            if sentence == last:
+                continue
+            last = sentence
+            own = words_of(tokens)
+            words += own
+            owner += [sentence] * len(own)
+    if key:
+        yield key, words, owner
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (doc, block), words, owner in _read(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([block], pa.int32()), pa.array([owner], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.string()))], ["document_id", "block", "owner", "words"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc, block, owner, words = (c[i].as_py() for c in batch.columns)
+            yield (doc, block), words, owner
+
 
+def _scanner(index, keep_all: bool, read):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = index.value
         rows: list[tuple] = []
-        for (doc, _), words, owner in read(batches):
+        for (doc, block), words, owner in read(batches):
             for s, p in held.passages(words):
                 n = len(held.sentences[s])
+                if owner[p.at] // BLOCK != block:
+                    continue  # it begins in the next block, which finds it whole
                 if keep_all or is_held(p):
                     base = (owner[min(p.at, len(owner) - 1)], owner[p.until - 1], n, p.end - p.start, p.same + p.near)
                     more = (p.same, p.near, p.particular, p.particular_same, p.start, " ".join(held.sentences[s]), " ".join(words[max(0, p.at - 3) : p.until + 3])) if keep_all else ()

@@ -71,7 +71,7 @@ def test_find_leaks_across_sentences_and_blocks(spark):
     rng = random.Random(4)
     rows = []
     for doc in ("hot", "plain"):
-        for i in range(300):
+        for i in range(C.BLOCK + 50):
             rows.append((doc, i, [rng.choice(FILL) for _ in range(5)]))
     rows[C.BLOCK - 1] = ("hot", C.BLOCK - 1, ITEM[:9])
     rows[C.BLOCK] = ("hot", C.BLOCK, ITEM[9:])
@@ -84,3 +84,32 @@ def test_find_leaks_across_sentences_and_blocks(spark):
     clean = C.clean_sentences(s, leaks)
     assert clean.filter(f"document_id = 'hot' and sentence_index in ({C.BLOCK - 1}, {C.BLOCK})").count() == 0
     assert C.find_leaks(s.limit(0), items, runs).count() == 0 and C.find_leaks(s, items.limit(0), runs).count() == 0
+
+
+def test_rounds_change_nothing(spark):
+    """The same passages from one round and from many, over items whose shared phrasing is common only taken together."""
+    rng = random.Random(9)
+    names = [f"{a}{b}" for a in ("Hol", "Vin", "Krok", "Fos", "Lam", "Gul") for b in ("nes", "dal", "vik", "mo", "vær", "myr")]
+    item = lambda i: f"Ved {names[i % 36]}{i} lå det en kiste som {names[(i * 7) % 36]} byttet mot {i} hatter etter at {names[(i * 5) % 36]}{i} hadde klaget .".split()
+    items = spark.createDataFrame([(i, "nb", "test", item(i)) for i in range(300)], "item_id bigint, language_tag string, evaluation_split string, tokens array<string>")
+    rows = []
+    for i in range(0, 300, 3):
+        rows += [("d", len(rows), FILL), ("d", len(rows) + 1, item(i)[rng.randint(0, 4) :])]
+    s = spark.createDataFrame(rows, "document_id string, sentence_index int, tokens array<string>")
+    runs = spark.createDataFrame([("nb", "test")], "language_tag string, evaluation_split string")
+    one = sorted(tuple(r) for r in C.find_leaks(s, items, runs).collect())
+    many = sorted(tuple(r) for r in C.find_leaks(s, items, runs, per_round=60).collect())
+    assert one == many and len({r[1] for r in one}) > 80
+
+
+def test_any_two_damaged_words_leave_a_passage_found():
+    """Eight words of an item with any two of them replaced or broken are still aligned, as long as an own word is whole."""
+    ix = index()
+    part = C.words_of(ITEM)[4:12]
+    own = {i for i, w in enumerate(part) if ix.particular[0][C.words_of(ITEM).index(w)]}
+    for a in range(8):
+        for b in range(a + 1, 8):
+            if own - {a, b}:
+                for damage in (lambda w: ["xqz"], lambda w: [w[:2], w[2:]] if len(w) > 3 else ["xqz"]):
+                    words = [x for i, w in enumerate(part) for x in (damage(w) if i in (a, b) else [w])]
+                    assert any(s == 0 for s, _ in ix.passages(C.words_of(FILL) + words + C.words_of(FILL))), (a, b)

@@ -221,3 +221,16 @@ def count_tokens(docs: DataFrame, *keep: str, path: str = VOCABULARY) -> DataFra
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return slim.mapInArrow(run, f"{kinds}, n_tokens bigint")
+
+
+def decode_ids(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of encoded documents: the labels of the arcs taken, one after the other."""
+    items = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = items.value
+        for batch in batches:
+            texts = [b"".join(labels[i] for i in ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

@@ -2,7 +2,8 @@
 
 Method: content-defined chunking.  A rolling hash over the last tokens marks
 landmarks; the first landmark between the minimum and the maximum size is
-snapped to the nearest natural boundary inside that window.  Cuts depend on
+snapped to the nearest natural boundary inside that window, where the end of a
+sentence or clause counts as nearer than it is (REACH).  Cuts depend on
 nearby content only, so an edit changes the pieces around it and later cuts
 fall back into step.
 
@@ -30,6 +31,8 @@ from nordlys.session import small
 DEFAULT_MAXIMUM = 128
 #: Tokens the rolling hash looks back over, and one landmark per so many tokens.
 HASH_WINDOW, LANDMARK_EVERY = 4, 16
+#: Tokens by which a boundary of each strength (comma, clause, sentence) may lie farther from the landmark than a bare one.
+REACH = (0, 0, 8, 32)
 _BASE, _MASK = 0x100000001B3, (1 << 61) - 1
 
 # Tokens that end a sentence, that may close one, and that end a clause.
@@ -95,22 +98,27 @@ def cut(tokens: Sequence[str | None], maximum: int, overlap: int) -> list[tuple[
             return pieces
         first = fresh + max(1, (last - fresh) // 2)
         aim = next((i for i in range(first, last + 1) if marks[i]), last)
-        best = max(strength[first : last + 1])
-        end = min((i for i in range(first, last + 1) if strength[i] == best), key=lambda i: (abs(i - aim), i)) if best else aim
+        natural = [i for i in range(first, last + 1) if strength[i]]
+        end = min(natural, key=lambda i: (abs(i - aim) - REACH[strength[i]], -strength[i], i)) if natural else aim
         pieces.append((begin, end))
         fresh = end
 
 
+def limits_of(policies: DataFrame) -> DataFrame:
+    """(_policy, _max, _overlap): one row a policy."""
+    return policies.filter("policy_id is not null").groupBy(F.col("policy_id").alias("_policy")).agg(
+        F.max(F.when(F.col("maximum_token_count") > 0, F.col("maximum_token_count"))).alias("_max"),
+        F.max("overlap_token_count").alias("_overlap"),
+    )
+
+
 def split_oversized(sentences: DataFrame, policies: DataFrame) -> DataFrame:
     """One row per piece of every sentence that exceeds its policy's maximum.
 
     The size test runs on the JVM side, so only oversized rows reach Python.
     ``policies`` is broadcast after its rows were counted.
     """
-    limits = policies.filter("policy_id is not null").groupBy(F.col("policy_id").alias("_policy")).agg(
-        F.max(F.when(F.col("maximum_token_count") > 0, F.col("maximum_token_count"))).alias("_max"),
-        F.max("overlap_token_count").alias("_overlap"),
-    )
+    limits = limits_of(policies)
     over = (
         sentences.select("sentence_id", "document_id", "sentence_index", "policy_id", "tokens", "loaded_at")
         .join(small(limits), F.col("policy_id") == F.col("_policy"), "left")

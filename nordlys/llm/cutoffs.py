@@ -34,8 +34,8 @@ from nordlys.session import materialize, small
 
 #: Entries of a sketch; its rank error is at most about n * log2(n / SKETCH) / SKETCH.
 SKETCH = 2048
-#: Parts a source's sketches are merged in before the last merge, and salts of hot documents.
-FAN, SALTS = 64, 16
+#: Least number of salts of hot documents, where their works are too many to broadcast.
+SALTS = 16
 
 
 def _least_peak(arrays: str) -> Column:
@@ -62,14 +62,14 @@ def latest_scores(labels: DataFrame) -> DataFrame:
 
 
 def with_source(scored: DataFrame, works: DataFrame) -> DataFrame:
-    """Adds the source; a document that holds many rows is spread over SALTS."""
-    side = (
-        works.filter("document_id is not null").groupBy("document_id").agg(F.max("corpus_id").alias("source"))
-        .filter("source is not null")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("sentence_index"), F.lit(SALTS)).cast("int"))
-    return salted.join(side, ["document_id", "_salt"]).drop("_salt")
+    """Adds the source.  The works are broadcast if they are few; else a document that holds many rows is spread over salts, as many as the cluster has cores."""
+    side = materialize(works.filter("document_id is not null").groupBy("document_id").agg(F.max("corpus_id").alias("source")).filter("source is not null"))
+    few = small(side)
+    if few is not side:
+        return scored.join(few, "document_id")
+    salts = max(SALTS, scored.sparkSession.sparkContext.defaultParallelism)
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("sentence_index"), F.lit(salts)).cast("int"))
+    return salted.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["document_id", "_salt"]).drop("_salt")
 
 
 class Sketch:
@@ -143,13 +143,14 @@ _SKETCHES = "source string, part int, sketch binary"
 
 def sketch_sources(scored: DataFrame, size: int = SKETCH) -> DataFrame:
     """(source, sketch): partial sketches in place, then two rounds of merging."""
+    fan = max(1, math.isqrt(scored.rdd.getNumPartitions()))
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine: dict[str, Sketch] = {}
         for frame in frames:
             for source, group in frame.groupby("source", sort=False):
                 mine.setdefault(source, Sketch(size)).add(group["score"].tolist())
-        part = TaskContext.get().partitionId() % FAN  # the same if the task runs again
+        part = TaskContext.get().partitionId() % fan  # the same if the task runs again
         yield pd.DataFrame([(s, part, k.dump()) for s, k in sorted(mine.items())], columns=["source", "part", "sketch"])
 
     def merged(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

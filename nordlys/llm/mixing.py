@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nordlys.llm import bpe
+from nordlys.operators.corpus import running_total
 from nordlys.session import materialize, small
 
-#: Tokens a block; output shards; parts a source's running sum is made in; slots a planning row holds at most.
-BLOCK, SHARDS, PARTS, SLOT_CHUNK = 128, 64, 256, 100_000
+#: Tokens a block; blocks an output shard holds, and the bounds of the shards' number; slots made from one row.
+BLOCK, SHARD_BLOCKS, SHARDS, MOST_SHARDS, SLOT_CHUNK = 128, 1 << 16, 64, 10_000, 100_000
 SEED = 20240601
 
 
@@ -43,17 +44,16 @@ def source_name() -> Column:
 def laid_out(docs: DataFrame, targets: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens, begin): each record's place in its source's token stream.
 
-    The running sum is made in PARTS hash parts of each source and put together
-    by their totals, so a source that holds a third of all rows is no single task.
+    The running sum goes over all sources in one range-partitioned order, so a
+    source that holds a third of all rows spans a third of the ranges; what lies
+    before a source's first record is taken off.
     """
     wanted = targets.select(source_name().alias("source")).filter("source is not null").distinct()
     sized = bpe.count_tokens(docs.select("doc_id", source_name().alias("source"), "text").join(small(wanted), "source").filter("text <> ''"), "doc_id", "source", path=path)
-    sized = materialize(sized.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(PARTS)).cast("int")))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sized.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("source", "part").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_b", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return materialize(placed.join(small(parts.select("source", "part", "base")), ["source", "part"]).select("doc_id", "source", "n_tokens", (F.col("base") + F.col("_b")).cast("bigint").alias("begin")))
+    sized = materialize(sized.withColumn("_h", F.xxhash64("doc_id", F.lit(SEED))))
+    placed = running_total(sized, F.col("n_tokens"), "source", "_h", "doc_id", name="_all")
+    base = placed.groupBy("source").agg(F.min("_all").alias("_base"))
+    return materialize(placed.join(small(base, derived=True), "source").select("doc_id", "source", "n_tokens", (F.col("_all") - F.col("_base")).cast("bigint").alias("begin")))
 
 
 def block_records(placed: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -88,6 +88,11 @@ def quotas(totals: dict[str, int], weights: dict[str, float], repeats: dict[str,
     return out
 
 
+def shard_number(quota: dict[str, tuple[int, int]]) -> int:
+    """Output shards of a mixture, by its size."""
+    return max(SHARDS, min(MOST_SHARDS, sum(n for _, n in quota.values()) // SHARD_BLOCKS))
+
+
 def draw(quota: dict[str, tuple[int, int]], shards: int = SHARDS, seed: int = SEED) -> list[tuple[int, str, int, int, int]]:
     """(shard, source, first slot, slots, blocks of the source): multinomial counts for each shard,
     conditioned on the quotas; shards times sources rows, whatever the corpus."""
@@ -145,10 +150,12 @@ _SLOTS = "shard int, slot bigint, source string, block bigint"
 
 
 def slot_table(docs: DataFrame, plan: list[tuple[int, str, int, int, int]]) -> DataFrame:
-    """One row a slot of the mixture, made in chunks spread over the tasks."""
+    """One row a slot of the mixture, made in chunks spread over the tasks; the plan has a row a shard and source."""
     spark = docs.sparkSession
-    chunks = [(shard, s, first + i, min(SLOT_CHUNK, n - i), blocks) for shard, s, first, n, blocks in plan for i in range(0, n, SLOT_CHUNK)]
-    rows = spark.createDataFrame(chunks, "shard int, source string, first bigint, n bigint, blocks bigint")
+    whole = spark.createDataFrame(plan, "shard int, source string, begin bigint, slots bigint, blocks bigint")
+    rows = whole.withColumn("first", F.explode(F.sequence("begin", F.col("begin") + F.col("slots") - 1, F.lit(SLOT_CHUNK)))).select(
+        "shard", "source", "first", F.least(F.lit(SLOT_CHUNK), F.col("begin") + F.col("slots") - F.col("first")).alias("n"), "blocks"
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh32_intdigest
@@ -168,7 +175,7 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = bpe.VOCABULARY, size: i
     # One row a listed source.
     totals = placed.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(small(goal), "source").collect()
     quota = quotas({r["source"]: r["n"] for r in totals}, {r["source"]: r["target_weight"] or 0 for r in totals}, {r["source"]: r["max_repeats"] or 0 for r in totals}, size)
-    slots = slot_table(docs, draw(quota))
+    slots = slot_table(docs, draw(quota, shard_number(quota)))
     return slots.join(block_records(placed, size), ["source", "block"]), goal
 
 

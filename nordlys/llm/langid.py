@@ -1,15 +1,21 @@
 """Problem 8: the language of every document, and of every segment of a mixed one.
 
 Method: a sentence is the average of the hashed embeddings of its words and
-their subwords; a linear softmax over that average gives the language.  Both
-are trained in numpy by stochastic gradient descent on a bounded, hashed sample
-of labelled documents.  Labels are partly wrong, so a document is used only if
-its function words don't speak against its label, and the model is fitted again
-without the sentences the first fit contradicts.  Temperature and rejection
-threshold are calibrated on held-out sentences.  A segment is a run of
-sentences of one language, found by dynamic programming with a cost for a change.
-
-Scripts that one listed language alone uses decide by themselves.
+their subwords; a linear softmax over that average gives the language, for all
+languages and scripts alike.  Both are trained in numpy by stochastic gradient
+descent on a bounded, hashed sample of labelled documents.  Labels are partly
+wrong, so it is fitted on the sentences whose labels models of other documents
+confirm.  A segment is a run of sentences of one language, found by dynamic
+programming with a cost for a change.
+
+Rejection is calibrated in two ways: temperature and a least confidence on
+held-out sentences (under it the best guess is as likely wrong as right), and a
+least familiarity on held-out words, each left out of its language's vocabulary
+in turn: the share of a new word's letters and of its groups of three and four
+letters that the other words hold.  Ukrainian is like no listed language but
+Russian, yet its letters and groups are not Russian ones: such text is ``und``.
+In scripts without spaces, whose characters are words, a text is unfamiliar
+where under STRANGE of its characters are known.
 
 Defined results
 ---------------
@@ -17,30 +23,37 @@ Defined results
 * a label in other notation (``nob``, ``en-GB``, ``NB``) is read as its language;
   null, blank, ``??`` and ``und`` are missing labels, as is anything unreadable.
 * a language counts with at least ``SEVERAL`` sentences of its own; the one with
-  most text always does.
+  most text always does.  A text in an unfamiliar language alone is ``und``.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nordlys.session import spread
+from nordlys.session import input_bytes, spread
 
 LANGUAGES = ("nb", "nn", "en", "da", "sv", "de", "fr", "es", "ru", "el", "zh", "ja", "th", "hi", "ar")
-LATIN = LANGUAGES[:8]
-#: Hash buckets, embedding size, passes, and documents a language the model is fitted on.
-BUCKETS, WIDTH, EPOCHS, SAMPLE = 1 << 16, 16, 4, 500
-SAMPLE_LENGTH, SENTENCES_A_LANGUAGE = 20_000, 3000
+#: So many of them are written in Latin script.
+LATIN = 8
+#: Hash buckets of the embeddings and of the letter groups a language is known by, embedding size, passes.
+BUCKETS, KNOWN, WIDTH, EPOCHS = 1 << 17, 1 << 20, 16, 4
+#: What the model is fitted on: documents a language, characters a document at most, sentences a language at most.
+SAMPLE, SAMPLE_LENGTH, SENTENCES_A_LANGUAGE = 500, 20_000, 3000
+#: Letter groups a segment needs to be called unfamiliar, standard deviations its groups (letters) may lie under the rate
+#: of held-out words, and the share of known characters under which a text without spaces is unfamiliar.
+GROUPS, GROUP_ROOM, LETTER_ROOM, STRANGE = 30, 2.0, 4.0, 0.1
 #: Distinct words a worker remembers the scores of before it starts afresh.
 WORDS = 300_000
-#: Letters a sentence needs to count, and letters from which its evidence counts in full.
+#: Letters a sentence needs to count, and letters from which its evidence counts in full; in other scripts than Latin a quarter.
 WHOLE, FULL = 24, 40
 #: Sentences that make a language count; cost of a change of language between sentences.
 SEVERAL, CHANGE = 2, 2.5
@@ -51,30 +64,16 @@ NOTATIONS = {
     "rus": "ru", "ell": "el", "gre": "el", "zho": "zh", "chi": "zh", "jpn": "ja", "tha": "th", "hin": "hi", "ara": "ar",
     "no": "nb", "nor": "nb", "bokmål": "nb", "nynorsk": "nn", "norsk": "nb", "english": "en", "cmn": "zh",
 }
-# Frequent function words.
-FUNCTION_WORDS = {
-    "nb": "ikke jeg hun de fra hva en et ble av å noen noe etter til hvorfor ingen som hadde var kunne selv",
-    "nn": "ikkje eg ho dei frå kva ein eit vart av å nokon noko etter til kvifor ingen som hadde var kunne sjølv nokre",
-    "da": "ikke jeg hun de fra hvad en et blev af at nogen noget efter til hvorfor ingen som havde var kunne og men nogle",
-    "sv": "inte jag hon de från vad en ett blev av att någon något efter till varför ingen som hade var kunde och men några",
-    "en": "not i she they from what a an was of to some something after the why nobody that had were could and but",
-    "de": "nicht ich sie der die das ein eine wurde von zu etwas nach warum niemand hatte war konnte und aber den",
-    "fr": "pas je elle ils de du des un une fut le la les quelque après pourquoi personne avait était et mais",
-    "es": "no yo ella ellos de del un una fue el la los las algo después por qué nadie había era y pero",
-}
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-
 _MARKS = re.compile(r"[.!?…؟]+[»”\"“’)]*\s+|[。！？।]+[」』”’）]*|(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)\s*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[^\d\s])|(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)\s*")
 _THAI = re.compile(r"[฀-๿]")
 _NUMBER = re.compile(r"\d+ ")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_SIGNS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0955-\u0957\u0962\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"
+_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_SIGNS}])*(?:['’][^\W\d_]+)?")
 _LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[^\x00-\u036f\u2000-\u2bff\ufb00-\ufb06]")
-_SCRIPTS = (
-    ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽἀ-῿]")),
-    ("ru", re.compile(r"[Ѐ-ӿ]")), ("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[㐀-鿿]")),
-)
+#: Scripts written without spaces between words, and all but Latin.
+_SPACELESS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_OTHER = re.compile(r"[^\x00-\u036f\u1e00-\u1eff\u2000-\u2bff\ufb00-\ufb06]")
 
 
 def normal_label(name: str = "lang") -> Column:
@@ -84,19 +83,6 @@ def normal_label(name: str = "lang") -> Column:
     return F.try_element_at(F.create_map(*pairs), base)
 
 
-def script_language(text: str) -> str | None:
-    """The language its script decides, for the majority of the letters; None for Latin letters or none."""
-    if text.isascii() or not _OTHER.search(text):
-        return None
-    letters = len(_LETTER.findall(text))
-    found = [(len(r.findall(text)), k) for k, r in _SCRIPTS]
-    counts = {k: n for n, k in found}
-    if counts["ja"] and counts["ja"] * 8 >= counts["zh"] and (counts["ja"] + counts["zh"]) * 2 > letters:
-        return "ja"
-    n, k = max(found)
-    return k if n * 2 > letters else None
-
-
 def ends_piece(text: str, m: re.Match) -> bool:
     """Whether a mark ends a rough sentence: after a word of three letters, before a capital or a number."""
     first = m.group()[0]
@@ -127,78 +113,135 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_CACHE: dict[str, np.ndarray] = {}
+_CACHE: dict[str, tuple[np.ndarray, int, int]] = {}
 
 
-def word_features(word: str) -> np.ndarray:
-    """Hash buckets of a word and of its subwords of two to five characters."""
+def word_features(word: str) -> tuple[np.ndarray, int, int]:
+    """Hashes of a word and of its subwords, and how many at the end are its letters and after them its letter
+    groups (of three and four; none in scripts without spaces)."""
     known = _CACHE.get(word)
     if known is None:
         from xxhash import xxh32_intdigest
 
         if len(_CACHE) > 200_000:
             _CACHE.clear()
-        w = f"<{word}>"
-        grams = [w] + [w[i : i + n] for n in (2, 3, 4, 5) for i in range(len(w) - n + 1) if n < len(w)]
-        known = _CACHE[word] = np.fromiter((xxh32_intdigest(g.encode()) % BUCKETS for g in grams), np.int32, len(grams))
+        if _SPACELESS.match(word):
+            grams, groups = [word], []
+        else:
+            w = f"<{word}>"
+            grams = [w] + [w[i : i + n] for n in (2, 5) for i in range(len(w) - n + 1) if n < len(w)]
+            groups = [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+        known = _CACHE[word] = np.fromiter((xxh32_intdigest(g.encode()) for g in (*grams, *word, *groups)), np.int64, len(grams) + len(word) + len(groups)), len(word), len(groups)
     return known
 
 
 def counted_words(text: str) -> list[str]:
-    """Folded words; those with a capital (names, mostly) only if first, or where no others are left."""
+    """Folded words; those with a capital (names, mostly) only if first, or where no others are left.
+    In scripts without spaces every two neighbouring characters are a word."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     words = _WORD.findall(text)
-    plain = [w for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or words
-    return [w[:40].casefold() for w in plain]
+    plain = [w[:40].casefold() for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or [w[:40].casefold() for w in words]
+    if text.isascii() or not _SPACELESS.search(text):
+        return plain
+    out: list[str] = []
+    for w, whole in zip(plain, words) if len(plain) == len(words) else zip(plain, plain):
+        if _SPACELESS.match(w):
+            out += [whole[i : i + 2] for i in range(max(1, len(whole) - 1))]
+        else:
+            out.append(w)
+    return out
 
 
 def features(text: str) -> np.ndarray:
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    parts = [word_features(w) for w in counted_words(text)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    parts = [word_features(w)[0] for w in counted_words(text)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+_BITS = np.arange(len(LANGUAGES))
 
 
 class Model:
-    """Embeddings and softmax of the Latin-script languages, temperature and rejection threshold."""
+    """Embeddings and softmax of the languages, temperature, least confidence, known letter groups and least familiarity."""
 
     def __init__(self, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0) -> None:
         self.e, self.w, self.b, self.t, self.threshold = embeddings, weights, bias, temperature, threshold
+        #: A bit a language of every letter and letter group; rates of new words' known letters and groups (of none: 0).
+        self.known = np.zeros(KNOWN, np.uint16)
+        self.rates = np.zeros((2, len(LANGUAGES)))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("rows", "table", "used")}
 
+    def learn_words(self, language: int, words: Iterable[str]) -> None:
+        """Letters and groups of a language's words, and at what rates a word's are found in the others."""
+        kinds = [[(f[len(f) - g - n : len(f) - g], f[len(f) - g :]) for w in words for f, n, g in (word_features(w),)], (0, 1)]
+        for kind in kinds[1]:
+            held = Counter(h for parts in kinds[0] for h in set(parts[kind].tolist()))
+            every = sum(len(parts[kind]) for parts in kinds[0])
+            again = sum(held[h] > 1 for parts in kinds[0] for h in parts[kind].tolist())
+            self.rates[kind, language] = again / every if every else 0.0
+            self.known[np.fromiter(held, np.int64, len(held)) % KNOWN] |= np.uint16(1 << language)
+
+    def familiarity(self, letters: np.ndarray, groups: np.ndarray, latin: bool) -> np.ndarray:
+        """(letters known to each language, groups known to each language, letters and groups in Latin script, in others)"""
+        bits = [((self.known[x % KNOWN][:, None] >> _BITS) & 1).sum(0) for x in (letters, groups)]
+        counts = [len(letters), len(groups)]
+        return np.concatenate([*bits, counts + [0, 0] if latin else [0, 0] + counts])
+
+    def is_familiar(self, language: int, held: np.ndarray) -> bool:
+        """Whether as many of a text's letters and groups (in the language's script) are known as of new words of the language."""
+        k = len(LANGUAGES)
+        letters, groups = held[-4:-2] if language < LATIN else held[-2:]
+        if 4 * letters < held[-4] + held[-2]:  # hardly a letter of it is in the language's script
+            return False
+        if groups < GROUPS:  # too short, or without spaces
+            return letters < GROUPS or groups > 0 or held[language] >= STRANGE * letters
+        for known, n, rate, room in ((held[language], letters, self.rates[0, language], LETTER_ROOM), (held[k + language], groups, self.rates[1, language], GROUP_ROOM)):
+            if known < n * rate - room * (n * rate * (1 - rate)) ** 0.5 - 1:
+                return False
+        return True
+
     def word_row(self, word: str) -> int:
-        """Row of ``table`` with a word's part of the scores (its embeddings' sum times the weights) and its features' number."""
+        """Row of ``table``: a word's part of the scores (its embeddings' sum times the weights), its features'
+        number, its letters and letter groups known to each language, and their numbers."""
         rows = self.__dict__.get("rows")
         if rows is None or len(rows) >= WORDS:
             rows = self.rows = {}
-            self.table, self.used = np.zeros((4096, len(LATIN) + 1)), 0
+            self.table, self.used = np.zeros((4096, 3 * len(LANGUAGES) + 5)), 0
         row = rows.get(word)
         if row is None:
             if self.used == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            f = word_features(word)
+            f, n, g = word_features(word)
             row = rows[word] = self.used
-            self.table[row, :-1], self.table[row, -1] = self.e[f].sum(0) @ self.w, len(f)
+            k = len(LANGUAGES)
+            self.table[row, :k], self.table[row, k] = self.e[f % BUCKETS].sum(0) @ self.w, len(f)
+            self.table[row, k + 1 :] = self.familiarity(f[len(f) - g - n : len(f) - g], f[len(f) - g :], not _OTHER.match(word))
             self.used += 1
         return row
 
-    def score_words(self, sentences: list[list[str]]) -> np.ndarray:
-        """Log probabilities like ``scores``, of the words of sentences."""
+    def score_words(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities, familiarity) of the words of sentences."""
         lengths = np.array([len(x) for x in sentences])
-        flat = [self.word_row(w) for x in sentences for w in x]
-        total = np.zeros((len(sentences), len(LATIN) + 1))
+        k = len(LANGUAGES)
+        total = np.zeros((len(sentences), 3 * k + 5))
         some = lengths > 0
-        if flat:
+        if lengths.any():
+            if self.__dict__.get("rows") is not None and len(self.rows) >= WORDS:
+                del self.rows  # before this batch's rows are named, so that none of them is lost
+            flat = []
+            for x in sentences:
+                flat += [self.word_row(w) for w in x]
             starts = np.concatenate(([0], np.cumsum(lengths[some])[:-1]))
             total[some] = np.add.reduceat(self.table[flat], starts, axis=0)
-        z = (total[:, :-1] / np.maximum(total[:, -1:], 1) + self.b) / self.t
+        z = (total[:, :k] / np.maximum(total[:, k : k + 1], 1) + self.b) / self.t
         z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        return z - np.log(np.exp(z).sum(1, keepdims=True)), total[:, k + 1 :]
 
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
-        """Log probabilities of the Latin-script languages, one row a bag."""
-        h = np.stack([self.e[b].mean(0) if len(b) else np.zeros(self.e.shape[1], np.float32) for b in bags])
+        """Log probabilities of the languages, one row a bag."""
+        h = np.stack([self.e[b % BUCKETS].mean(0) if len(b) else np.zeros(self.e.shape[1], np.float32) for b in bags])
         z = (h @ self.w + self.b) / self.t
         z = z - z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
@@ -207,12 +250,14 @@ class Model:
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7, rate: float = 0.25, epochs: int = EPOCHS) -> Model:
     """Averaged-embedding softmax by mini-batch stochastic gradient descent with adaptive steps."""
     rng = np.random.default_rng(seed)
-    k = len(LATIN)
+    k = len(LANGUAGES)
     e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     w, b = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
     share = np.bincount(labels, minlength=k)
     weight = np.where(share > 0, (share.max() / np.maximum(share, 1)) ** 0.5, 0).astype(np.float32)
     w += rng.normal(0, 0.1, w.shape)
+    rows_of, counts_of = zip(*(np.unique(bag % BUCKETS, return_counts=True) for bag in bags))
+    parts_of = [(c / c.sum()).astype(np.float32) for c in counts_of]
     n, size = len(bags), 32
     steps = epochs * max(1, n // size)
     step = 0
@@ -221,11 +266,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7, rate: float =
         order = rng.permutation(n)
         for i in range(0, n - n % size or n, size):
             batch = order[i : i + size]
-            chosen = [bags[j] for j in batch]
-            lengths = np.array([len(x) for x in chosen])
-            flat = np.concatenate(chosen)
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            h = np.add.reduceat(e[flat], starts, axis=0) / lengths[:, None]
+            lengths = [len(rows_of[j]) for j in batch]
+            rows, place = np.unique(np.concatenate([rows_of[j] for j in batch]), return_inverse=True)
+            share_of = np.zeros((len(batch), len(rows)), np.float32)  # of each sentence's average every feature's part
+            share_of[np.repeat(np.arange(len(batch)), lengths), place] = np.concatenate([parts_of[j] for j in batch])
+            h = share_of @ e[rows]
             z = h @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -233,9 +278,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7, rate: float =
             g[np.arange(len(batch)), labels[batch]] -= 1
             g *= weight[labels[batch]][:, None] / len(batch)
             lr = rate * max(0.05, 1 - step / steps)
-            rows, place = np.unique(flat, return_inverse=True)
-            back = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(back, place, np.repeat((g @ w.T) / lengths[:, None], lengths, axis=0).astype(np.float32))
+            back = share_of.T @ (g @ w.T).astype(np.float32)
             gw, gb = h.T @ g, g.sum(0)
             e2[rows] += (back**2).mean(1)
             w2 += gw**2
@@ -262,62 +305,98 @@ def calibrate(model: Model, bags: list[np.ndarray], labels: np.ndarray) -> None:
     model.threshold = min(0.6, float(max(low))) if low else 0.25
 
 
-def function_vote(words: list[str]) -> dict[str, int]:
-    return {k: sum(w in v for w in words) for k, v in _FUNCTION.items()}
-
-
-def training_sentences(rows: list[tuple[str, str]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bags and labels of the Latin sentences of documents whose function words agree with their label."""
-    bags, labels = [], []
-    taken = dict.fromkeys(LATIN, 0)
-    for text, label in rows:
-        if label not in LATIN or script_language(text):
-            continue
-        vote = function_vote([w.casefold() for w in _WORD.findall(text)])
-        if vote[label] < max(vote.values()) or not vote[label]:
+def training_sentences(rows: list[tuple[str, str]]) -> tuple[list[list[str]], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Words, features, labels and documents of the sentences of labelled documents, a bounded number a language."""
+    words, labels, owner = [], [], []
+    taken = dict.fromkeys(LANGUAGES, 0)
+    for n, (text, label) in enumerate(rows):
+        if label not in taken or taken[label] >= SENTENCES_A_LANGUAGE:
             continue
         for a, b in pieces(text):
-            part = text[a:b]
-            if script_language(part) or taken[label] >= SENTENCES_A_LANGUAGE:
-                continue
-            own = function_vote([w.casefold() for w in _WORD.findall(part)])
-            if own[label] + 1 < max(own.values()):
-                continue
-            bag = features(part)
-            if len(bag) >= 20:
-                bags.append(bag)
-                labels.append(LATIN.index(label))
+            own = counted_words(text[a:b])
+            if sum(map(len, own)) >= 8:
+                words.append(own)
+                labels.append(LANGUAGES.index(label))
+                owner.append(n)
                 taken[label] += 1
-    return bags, np.asarray(labels)
+    return words, [np.concatenate([word_features(w)[0] for w in x]) for x in words], np.asarray(labels), np.asarray(owner)
 
 
 def train(docs: DataFrame) -> Model:
     """Fits on about SAMPLE labelled documents a language, chosen by a hash of their id."""
-    labelled = docs.select("doc_id", "text", normal_label().alias("label")).filter(F.col("label").isin(*LATIN) & F.length("text").between(60, SAMPLE_LENGTH))
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    labelled = docs.select("doc_id", "text", normal_label().alias("label")).filter(F.col("label").isNotNull() & F.length("text").between(20, SAMPLE_LENGTH))
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # one row a language
     keep = F.lit(False)
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     for name, n in sizes.items():
         keep = keep | ((F.col("label") == name) & (place < int(1_000_000 * min(1.0, SAMPLE / n))))
-    rows = labelled.filter(keep).orderBy(place, "doc_id").select("text", "label").limit(2 * SAMPLE * len(LATIN)).collect()
+    rows = labelled.filter(keep).orderBy(place, "doc_id").select("text", "label").limit(2 * SAMPLE * len(LANGUAGES)).collect()
     return fit_rows([(r["text"], r["label"]) for r in rows])
 
 
+def sound(bags: list[np.ndarray], labels: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which sentences' labels hold: each half of the documents is judged by a model of the other half, which
+    cannot have learned its errors by heart, and both the sentence and its whole document must agree."""
+    good = np.zeros(len(bags), bool)
+    for half in (0, 1):
+        mine = np.flatnonzero(owner % 2 == half)
+        others = np.flatnonzero(owner % 2 != half)
+        if not len(mine) or not len(others):
+            good[mine] = True
+            continue
+        s = fit([bags[i] for i in others], labels[others], epochs=3).scores([bags[i] for i in mine])
+        docs, place = np.unique(owner[mine], return_inverse=True)
+        whole = np.zeros((len(docs), s.shape[1]))
+        np.add.at(whole, place, np.maximum(s, -12.0))
+        good[mine] = (s.argmax(1) == labels[mine]) & (whole.argmax(1)[place] == labels[mine])
+    return good
+
+
 def fit_rows(rows: list[tuple[str, str]]) -> Model:
-    bags, labels = training_sentences(rows)
+    """Fit on the sentences whose labels hold; calibration on those of a tenth of the documents, which it hasn't seen."""
+    words, bags, labels, owner = training_sentences(rows)
     if not len(bags):
-        return Model(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, len(LATIN)), np.float32), np.zeros(len(LATIN), np.float32))
-    held = np.arange(len(bags)) % 10 == 9
-    first = fit([b for b, h in zip(bags, held) if not h], labels[~held], epochs=2) if (~held).any() else fit(bags, labels)
-    s = first.scores(bags)
-    agree = s.argmax(1) == labels
-    use = agree & ~held
-    model = fit([bags[i] for i in np.flatnonzero(use)], labels[use], seed=8) if use.any() else first
-    check = np.flatnonzero(held & agree) if (held & agree).any() else np.arange(len(bags))
+        return Model(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32))
+    good = sound(bags, labels, owner)
+    good = good if good.any() else ~good
+    held = owner % 10 == 9
+    use = np.flatnonzero(good & ~held) if (good & ~held).any() else np.flatnonzero(good)
+    model = fit([bags[i] for i in use], labels[use], seed=8)
+    for k in range(len(LANGUAGES)):
+        seen = Counter(w for i in np.flatnonzero(good & (labels == k)) for w in words[i])
+        model.learn_words(k, [w for w, n in seen.items() if n > 1])
+    check = np.flatnonzero(held & good) if (held & good).any() else use
     calibrate(model, [bags[i] for i in check], labels[check])
     return model
 
 
+_TRAINED: dict[tuple, Model] = {}
+
+
+def trained(docs: DataFrame) -> Model:
+    """The model of a table, trained once a session (the table is known by its plan and bytes)."""
+    key = (docs.sparkSession.sparkContext.applicationId, docs.semanticHash(), input_bytes(docs))
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = train(docs)
+    return _TRAINED[key]
+
+
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Writes a model as a table of one row, on any file system Spark knows."""
+    parts = {"e": model.e, "w": model.w, "b": model.b, "known": model.known, "rates": model.rates, "more": np.array([model.t, model.threshold])}
+    buffer = io.BytesIO()
+    np.savez_compressed(buffer, **parts)
+    spark.createDataFrame([(bytearray(buffer.getvalue()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    parts = np.load(io.BytesIO(spark.read.parquet(path).first()["model"]), allow_pickle=False)
+    model = Model(parts["e"], parts["w"], parts["b"], *map(float, parts["more"]))
+    model.known, model.rates = parts["known"], parts["rates"]
+    return model
+
+
 def segment(model: Model, text: str) -> list[tuple[int, int, str, float, int, str]]:
     """(start, end, language or und, confidence, whole sentences, best guess) of the runs of one language of a text."""
     return segment_all(model, [text])[0]
@@ -325,35 +404,22 @@ def segment(model: Model, text: str) -> list[tuple[int, int, str, float, int, st
 
 def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float, int, str]]]:
     """The same for many texts, whose sentences are scored together."""
-    spans, letters, whole, fixed, owner, latin, rows = [], [], [], [], [], [], []
+    spans, letters, owner, words = [], [], [], []
     for n, text in enumerate(texts):
-        if not text.isascii():
-            composed = unicodedata.is_normalized("NFC", text)
         for a, b in pieces(text):
             part = text[a:b]
-            script = None if part.isascii() else script_language(part)
-            words = _WORD.findall(part)
-            size = sum(map(len, words))
-            if script is None:
-                rows.append(len(spans))
-                plain = [w for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or words
-                if not part.isascii() and not composed:
-                    plain = [unicodedata.normalize("NFC", w) for w in plain]
-                latin.append([w[:40].casefold() for w in plain])
+            size = sum(map(len, _WORD.findall(part)))
             spans.append((a, b))
-            letters.append(size)
-            whole.append(size >= (WHOLE if script is None else WHOLE // 4))
-            fixed.append(-1 if script is None else LANGUAGES.index(script))
+            letters.append(size if part.isascii() or len(_OTHER.findall(part)) * 2 <= size else 4 * size)
             owner.append(n)
+            words.append(counted_words(part))
     out: list[list[tuple[int, int, str, float, int, str]]] = [[] for _ in texts]
     if not spans:
         return out
-    logp = np.full((len(spans), len(LANGUAGES)), -20.0)
-    if rows:
-        logp[rows, : len(LATIN)] = np.maximum(model.score_words(latin), -12.0)
-        logp[rows] *= np.minimum(1.0, np.asarray(letters)[rows] / FULL)[:, None]
-    known = np.asarray(fixed)
-    logp[np.flatnonzero(known >= 0), known[known >= 0]] = 0.0
+    size = np.asarray(letters)
+    logp, groups = model.score_words(words)
+    logp = np.maximum(logp, -12.0) * np.minimum(1.0, size / FULL)[:, None]
+    whole = size >= WHOLE
     best = logp.argmax(1)
     bounds = np.flatnonzero(np.diff(owner, prepend=-1))
     for begin, end in zip(bounds, [*bounds[1:], len(spans)]):
@@ -366,8 +432,10 @@ def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
                 total = own[start:i].sum(0)
                 p = np.exp(np.maximum((total - total.max()) / (i - start) ** 0.5, -50))
                 confidence = float(p[k] / p.sum())
-                name = LANGUAGES[k] if k >= len(LATIN) or confidence >= model.threshold else "und"
-                out[owner[begin]].append((spans[begin + start][0], spans[begin + i - 1][1], name, confidence, sum(whole[begin + start : begin + i]), LANGUAGES[k]))
+                held = groups[begin + start : begin + i].sum(0)
+                familiar = model.is_familiar(k, held)
+                name = LANGUAGES[k] if familiar and confidence >= model.threshold else "und"
+                out[owner[begin]].append((spans[begin + start][0], spans[begin + i - 1][1], name, confidence, int(whole[begin + start : begin + i].sum()), LANGUAGES[k] if familiar else "und"))
                 start = i
     return out
 
@@ -391,7 +459,8 @@ def best_path(logp: np.ndarray) -> list[int]:
 def summary(found: list[tuple[int, int, str, float, int, str]]) -> list[tuple[str, int, int, float]]:
     """(language, sentences, characters, confidence) of the languages that count, most text first.
 
-    Rejected segments count for none, but if all are, the best guess stands with its low confidence.
+    Rejected segments count for none, but if all are, the best guess stands with its low confidence
+    (which is ``und`` for unfamiliar text).
     """
     total: dict[str, list[float]] = {}
     rejected = all(f[2] == "und" for f in found)
@@ -405,8 +474,8 @@ def summary(found: list[tuple[int, int, str, float, int, str]]) -> list[tuple[st
     return [(k, int(n), int(c), s / c) for i, (k, (n, c, s)) in enumerate(ranked) if i == 0 or (n >= SEVERAL and k != "und")]
 
 
-def _classify(docs: DataFrame, emit, schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+def _classify(docs: DataFrame, emit, schema: str, kinds: list[pa.DataType], given: Model | None) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(given or trained(docs))
     names = [c.split()[0] for c in schema.split(", ")]
     slim = spread(docs.select("doc_id", "text", normal_label().alias("label")).filter(F.col("text").rlike(r"\p{L}")), "doc_id")
 
@@ -421,7 +490,7 @@ def _classify(docs: DataFrame, emit, schema: str, kinds: list[pa.DataType]) -> D
     return slim.mapInArrow(run, schema)
 
 
-def document_languages(docs: DataFrame) -> DataFrame:
+def document_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, label, lang, sentences, characters, confidence, languages): one row per language that counts."""
 
     def emit(doc, label, found):
@@ -429,17 +498,17 @@ def document_languages(docs: DataFrame) -> DataFrame:
         return [(doc, label, k, n, c, conf, len(counted)) for k, n, c, conf in counted]
 
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-    return _classify(docs, emit, "doc_id bigint, label string, lang string, sentences int, characters int, confidence double, languages int", kinds)
+    return _classify(docs, emit, "doc_id bigint, label string, lang string, sentences int, characters int, confidence double, languages int", kinds, model)
 
 
-def document_segments(docs: DataFrame) -> DataFrame:
+def document_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, segment, start_char, end_char, lang, confidence) of every document."""
 
     def emit(doc, label, found):
         return [(doc, i, a, b, k, conf) for i, (a, b, k, conf, _, _) in enumerate(found)]
 
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
-    return _classify(docs, emit, "doc_id bigint, segment int, start_char int, end_char int, lang string, confidence double", kinds)
+    return _classify(docs, emit, "doc_id bigint, segment int, start_char int, end_char int, lang string, confidence double", kinds, model)
 
 
 def mislabelled(languages: DataFrame) -> DataFrame:

@@ -53,6 +53,8 @@ SAMPLE, SAMPLE_LENGTH, SENTENCES_A_LANGUAGE = 500, 20_000, 3000
 GROUPS, GROUP_ROOM, LETTER_ROOM, STRANGE = 30, 2.0, 4.0, 0.1
 #: Distinct words a worker remembers the scores of before it starts afresh.
 WORDS = 300_000
+#: Documents whose sentences are scored together.
+TOGETHER = 512
 #: Letters a sentence needs to count, and letters from which its evidence counts in full; in other scripts than Latin a quarter.
 WHOLE, FULL = 24, 40
 #: Sentences that make a language count; cost of a change of language between sentences.
@@ -138,19 +140,28 @@ def word_features(word: str) -> tuple[np.ndarray, int, int]:
 def counted_words(text: str) -> list[str]:
     """Folded words; those with a capital (names, mostly) only if first, or where no others are left.
     In scripts without spaces every two neighbouring characters are a word."""
-    if not text.isascii():
+    return words_and_letters(text)[0]
+
+
+def words_and_letters(text: str) -> tuple[list[str], int]:
+    """The counted words of a text, and the letters of all its words (in other scripts than Latin each counts for four)."""
+    plain_text = text.isascii()
+    if not plain_text and not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     words = _WORD.findall(text)
-    plain = [w[:40].casefold() for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or [w[:40].casefold() for w in words]
-    if text.isascii() or not _SPACELESS.search(text):
-        return plain
+    letters = sum(map(len, words))
+    counted = [w for i, w in enumerate(words) if i == 0 or not w[0].isupper()] or words
+    if plain_text or not _OTHER.search(text):
+        return [w[:40].casefold() for w in counted], letters
+    if len(_OTHER.findall(text)) * 2 > letters:
+        letters *= 4
     out: list[str] = []
-    for w, whole in zip(plain, words) if len(plain) == len(words) else zip(plain, plain):
+    for w in counted:
         if _SPACELESS.match(w):
-            out += [whole[i : i + 2] for i in range(max(1, len(whole) - 1))]
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
         else:
-            out.append(w)
-    return out
+            out.append(w[:40].casefold())
+    return out, letters
 
 
 def features(text: str) -> np.ndarray:
@@ -171,7 +182,7 @@ class Model:
         self.rates = np.zeros((2, len(LANGUAGES)))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "table", "used")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "table", "met", "used")}
 
     def learn_words(self, language: int, words: Iterable[str]) -> None:
         """Letters and groups of a language's words, and at what rates a word's are found in the others."""
@@ -203,41 +214,40 @@ class Model:
         return True
 
     def word_row(self, word: str) -> int:
-        """Row of ``table``: a word's part of the scores (its embeddings' sum times the weights), its features'
-        number, its letters and letter groups known to each language, and their numbers."""
-        rows = self.__dict__.get("rows")
-        if rows is None or len(rows) >= WORDS:
-            rows = self.rows = {}
-            self.table, self.used = np.zeros((4096, 3 * len(LANGUAGES) + 5)), 0
-        row = rows.get(word)
-        if row is None:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            f, n, g = word_features(word)
-            row = rows[word] = self.used
-            k = len(LANGUAGES)
-            self.table[row, :k], self.table[row, k] = self.e[f % BUCKETS].sum(0) @ self.w, len(f)
-            self.table[row, k + 1 :] = self.familiarity(f[len(f) - g - n : len(f) - g], f[len(f) - g :], not _OTHER.match(word))
-            self.used += 1
+        """Row of a word not met before in ``table`` (its part of the scores, that is its embeddings' sum times the
+        weights, and its features' number) and in ``met`` (its familiarity)."""
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        f, n, g = word_features(word)
+        row = self.rows[word] = self.used
+        self.table[row, :-1], self.table[row, -1] = self.e[f % BUCKETS].sum(0) @ self.w, len(f)
+        self.met[row] = self.familiarity(f[len(f) - g - n : len(f) - g], f[len(f) - g :], not _OTHER.match(word))
+        self.used += 1
         return row
 
-    def score_words(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(log probabilities, familiarity) of the words of sentences."""
-        lengths = np.array([len(x) for x in sentences])
+    def score_words(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log probabilities of the sentences, rows of all their words, where each sentence's begin)"""
         k = len(LANGUAGES)
-        total = np.zeros((len(sentences), 3 * k + 5))
+        if self.__dict__.get("rows") is None or len(self.rows) >= WORDS:
+            self.rows, self.used = {}, 0
+            self.table, self.met = np.zeros((4096, k + 1), np.float32), np.zeros((4096, 2 * k + 4), np.int16)
+        get, new = self.rows.get, self.word_row
+        flat = []
+        for x in sentences:
+            for w in x:
+                row = get(w)
+                flat.append(new(w) if row is None else row)
+        words = np.fromiter(flat, np.int32, len(flat))
+        lengths = np.array([len(x) for x in sentences])
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        total = np.zeros((len(sentences), k + 1))
         some = lengths > 0
-        if lengths.any():
-            if self.__dict__.get("rows") is not None and len(self.rows) >= WORDS:
-                del self.rows  # before this batch's rows are named, so that none of them is lost
-            flat = []
-            for x in sentences:
-                flat += [self.word_row(w) for w in x]
-            starts = np.concatenate(([0], np.cumsum(lengths[some])[:-1]))
-            total[some] = np.add.reduceat(self.table[flat], starts, axis=0)
-        z = (total[:, :k] / np.maximum(total[:, k : k + 1], 1) + self.b) / self.t
+        if len(words):
+            total[some] = np.add.reduceat(self.table[words], starts[:-1][some], axis=0)
+        z = (total[:, :k] / np.maximum(total[:, k:], 1) + self.b) / self.t
         z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True)), total[:, k + 1 :]
+        return z - np.log(np.exp(z).sum(1, keepdims=True)), words, starts
 
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
         """Log probabilities of the languages, one row a bag."""
@@ -407,17 +417,16 @@ def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
     spans, letters, owner, words = [], [], [], []
     for n, text in enumerate(texts):
         for a, b in pieces(text):
-            part = text[a:b]
-            size = sum(map(len, _WORD.findall(part)))
+            counted, size = words_and_letters(text[a:b])
             spans.append((a, b))
-            letters.append(size if part.isascii() or len(_OTHER.findall(part)) * 2 <= size else 4 * size)
+            letters.append(size)
             owner.append(n)
-            words.append(counted_words(part))
+            words.append(counted)
     out: list[list[tuple[int, int, str, float, int, str]]] = [[] for _ in texts]
     if not spans:
         return out
     size = np.asarray(letters)
-    logp, groups = model.score_words(words)
+    logp, rows, starts = model.score_words(words)
     logp = np.maximum(logp, -12.0) * np.minimum(1.0, size / FULL)[:, None]
     whole = size >= WHOLE
     best = logp.argmax(1)
@@ -432,8 +441,7 @@ def segment_all(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
                 total = own[start:i].sum(0)
                 p = np.exp(np.maximum((total - total.max()) / (i - start) ** 0.5, -50))
                 confidence = float(p[k] / p.sum())
-                held = groups[begin + start : begin + i].sum(0)
-                familiar = model.is_familiar(k, held)
+                familiar = model.is_familiar(k, model.met[rows[starts[begin + start] : starts[begin + i]]].sum(0))
                 name = LANGUAGES[k] if familiar and confidence >= model.threshold else "und"
                 out[owner[begin]].append((spans[begin + start][0], spans[begin + i - 1][1], name, confidence, int(whole[begin + start : begin + i].sum()), LANGUAGES[k] if familiar else "und"))
                 start = i
@@ -482,10 +490,11 @@ def _classify(docs: DataFrame, emit, schema: str, kinds: list[pa.DataType], give
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:
-            docs_, texts, given = (c.to_pylist() for c in batch.columns)
-            rows = [r for doc, label, found in zip(docs_, given, segment_all(fitted, texts)) for r in emit(doc, label, found)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for at in range(0, batch.num_rows, TOGETHER):
+                docs_, texts, labels = (c.to_pylist() for c in batch.slice(at, TOGETHER).columns)
+                rows = [r for doc, label, found in zip(docs_, labels, segment_all(fitted, texts)) for r in emit(doc, label, found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return slim.mapInArrow(run, schema)
 

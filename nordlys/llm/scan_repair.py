@@ -1,19 +1,25 @@
 """Problem 3: text of scanned pages becomes continuous, readable paragraphs.
 
 Method: a vocabulary trie built from the clean corpus is intersected with a
-Levenshtein automaton whose edits are the confusions of scanning, which gives
-every vocabulary word a reading may stand for; candidates are ranked by their
-frequency and their neighbours.  Words outside the vocabulary (compounds,
-names) are judged by the character n-grams of the same vocabulary.  Running
-headers are found by their recurrence on near pages of the work or by its
-title, page numbers by the page's own number; what is left is joined over line
-and page breaks and reflowed.
+Levenshtein automaton of the reading.  The automaton allows any insertions,
+deletions and substitutions up to a distance, and beside them the known
+confusions of scanning, which cost less; the intersection gives every
+vocabulary word within both bounds.  Candidates are ranked by the words on
+either side (how often the clean corpus has the candidate beside them), then by
+the cost of the edits and by frequency.  A reading whose only candidates need
+other edits than confusions is a misreading if it holds letter groups no word
+has and its context speaks for the candidate.  Words outside the vocabulary
+(compounds, names) are judged by the character n-grams of the same vocabulary.
+Running headers are found by their recurrence on near pages of the work or by
+its title, page numbers by the page's own number; what is left is joined over
+line and page breaks and reflowed.
 
 The vocabulary holds all words that occur at least twice in the clean corpus and
 those of the scans, at least five times, that are no reading of others.  It grows
-with the corpus's words and is broadcast; its trie keeps only the branchings.
-Pages are handled in blocks of a work's page numbers with a margin, so no task
-holds a whole work.
+with the corpus's words and is broadcast, like the counts of the word pairs that
+a reading and its candidates make with their neighbours; its trie keeps only the
+branchings.  Pages are handled in blocks of a work's page numbers with a margin
+(a page without a number by itself), so no task holds a whole work.
 
 Defined results
 ---------------
@@ -29,6 +35,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,13 +43,20 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from nordlys.session import materialize
+from nordlys.session import input_bytes, materialize, small
 
 #: Occurrences a word of the clean corpus (of the scans) needs to be in the vocabulary.
 LEAST, LEAST_SCANNED = 2, 5
 #: Page numbers a block, pages of margin on either side.
 BLOCK, MARGIN = 32, 6
+#: Confusions a candidate may be away; what another edit costs in confusions; letters from which a reading may be one (two) other edits away.
+MOST, EDIT_COST, ONE_EDIT, TWO_EDITS = 4, 3, 4, 10
+#: Times a true word is as frequent as its misreading at least, both counted in the scans.
+OFTENER = 20
+#: Bytes of the scans behind a task.
+TASK_BYTES = 16 << 20
 
 # Readings of scanning and what they stand for.
 CONFUSIONS = (
@@ -80,8 +94,8 @@ class Vocabulary:
     In the trie a word stands by itself (a string for a node) from where no other shares its letters.
     """
 
-    def __init__(self, counts: dict[str, int], n: int = 4) -> None:
-        self.counts, self.n = counts, n
+    def __init__(self, counts: dict[str, int], n: int = 4, pairs: dict[int, int] | None = None) -> None:
+        self.counts, self.n, self.pairs = counts, n, pairs or {}
         self.trie: dict = {}
         self.grams: Counter[str] = Counter()
         for w, c in list(counts.items()):
@@ -107,29 +121,45 @@ class Vocabulary:
         for i in range(len(padded) - self.n + 1):
             self.grams[padded[i : i + self.n]] += count
 
-    def candidates(self, word: str, most: int = 4) -> list[tuple[int, int, str]]:
-        """(edits, -count, word): all vocabulary words the reading may stand for, by intersecting
-        the confusion automaton of the word with the trie."""
-        out: list[tuple[int, int, str]] = []
-        stack: list[tuple[int, dict | str, int, str]] = [(0, self.trie, 0, "")]
+    def candidates(self, word: str, most: int = MOST, distance: int = 0) -> list[tuple[int, int, str]]:
+        """(cost, -count, word): all vocabulary words the reading may stand for, by intersecting its automaton
+        with the trie: those up to ``most`` confusions and up to ``distance`` other edits away."""
+        out: dict[str, int] = {}
+        # A state is a place in the word and a node; the letters that lead to the node name it.
+        stack: list[tuple[int, dict | str, int, int, str]] = [(0, self.trie, 0, 0, "")]
+        seen: dict[tuple[int, str, int], int] = {}
         size = len(word)
         while stack:
-            i, node, edits, sofar = stack.pop()
+            i, node, edits, others, sofar = stack.pop()
+            if distance:
+                best = seen.get((i, sofar, others))
+                if best is not None and best <= edits:
+                    continue
+                seen[i, sofar, others] = edits
             if isinstance(node, str):  # what may follow is the one word's next letter
                 at = len(sofar)
                 node = {node[at : at + 1]: node}
             if i == size:
-                if "" in node and edits:
-                    out.append((edits, -self.counts[sofar], sofar))
-                continue
-            ch = word[i]
-            if ch in node:
-                stack.append((i + 1, node[ch], edits, sofar + ch))
-            if edits < most:
-                for reading, truth in self.by_reading.get(ch, ()):
-                    if truth in node and word.startswith(reading, i):
-                        stack.append((i + len(reading), node[truth], edits + 1, sofar + truth))
-        return sorted(out)
+                cost = edits + EDIT_COST * others
+                if "" in node and cost and cost < out.get(sofar, 1 << 30):
+                    out[sofar] = cost
+            else:
+                ch = word[i]
+                if ch in node:
+                    stack.append((i + 1, node[ch], edits, others, sofar + ch))
+                if edits < most:
+                    for reading, truth in self.by_reading.get(ch, ()):
+                        if truth in node and word.startswith(reading, i):
+                            stack.append((i + len(reading), node[truth], edits + 1, others, sofar + truth))
+            if others < distance:
+                if i < size:
+                    stack.append((i + 1, node, edits, others + 1, sofar))
+                for letter, following in node.items():
+                    if letter:
+                        stack.append((i, following, edits, others + 1, sofar + letter))
+                        if i < size and letter != word[i]:
+                            stack.append((i + 1, following, edits, others + 1, sofar + letter))
+        return sorted((cost, -self.counts[w], w) for w, cost in out.items() if w != word)
 
     def weakest(self, word: str) -> int:
         padded, n, grams = f"^^{word}$$", self.n, self.grams
@@ -170,31 +200,56 @@ class Vocabulary:
                 return i - 2 - slack, i - 2 + n + slack
         return 0, len(word)
 
-    def _judge(self, word: str) -> str | None:
-        """The word a reading stands for, or None where it is no misreading."""
+    def _judge(self, word: str) -> tuple[str | None, tuple[tuple[int, int, str], ...]]:
+        """(the word a reading stands for whatever its context, candidates among which the context decides)."""
         w = word.casefold()
         if len(w) < 2 or w in self.counts or not _LETTER.search(w):
-            return None
+            return None, ()
         if w.endswith("'s") and w[:-2] in self.counts:
-            return None
+            return None, ()
         found = self.candidates(w)
         if found:
             best = found[0][2]
             if len(w) >= 9 and best.translate(_BARE) == w:  # a compound that may be the other written standard's form, if it is as well-formed
                 own = self.weakest(w)
                 if own >= 5 and own >= self.counts[best] and own * 20 >= self.weakest(best):
-                    return None
-            return best
+                    return None, ()
+            return best, tuple(found) if len(found) > 1 else ()
         odd = any(c in "!0156789" for c in w)
         letters = sum(c.isalpha() for c in w)
         if odd and letters <= len(w) // 2:
             digits = w.translate(str.maketrans("lio", "110"))
-            return digits if digits.isdigit() and w[0] in "l1io0" and len(w) > 1 and not w.isdigit() else None
+            return digits if digits.isdigit() and w[0] in "l1io0" and len(w) > 1 and not w.isdigit() else None, ()
         own = self.weakest(w)
         best, name = self._mended(w, 1 if odd else 12 * (own + 1))
         if name and (best >= 12 * (own + 1) or odd and best > own):
-            return name
-        return name if odd and name and letters >= 3 else None
+            return name, ()
+        if odd and name and letters >= 3:
+            return name, ()
+        if own or len(w) < ONE_EDIT or not w.isalpha():
+            return None, ()
+        near = self.candidates(w, distance=1) or (self.candidates(w, distance=2) if len(w) >= TWO_EDITS else [])
+        return None, tuple(c for c in near if self.weakest(c[2]) >= LEAST_SCANNED)
+
+    def options(self, word: str) -> tuple[tuple[int, int, str], ...]:
+        """The candidates of a reading that its context decides among."""
+        return self.judge(word)[1]
+
+    def truth(self, word: str, left: str = "", right: str = "") -> str | None:
+        """The word a reading stands for between two others, or None where it is no misreading."""
+        plain, options = self.judge(word)
+        if not options or not self.pairs:
+            return plain
+        left, right = left.casefold(), right.casefold()
+        support = lambda w: self.pairs.get(pair_key(left, w), 0) + self.pairs.get(pair_key(w, right), 0)
+        ranked = min((-support(w), cost, n, w) for cost, n, w in options)
+        if plain is None:  # other edits than confusions need the context's word for it
+            return ranked[3] if -ranked[0] >= LEAST and support(word.casefold()) == 0 else None
+        return ranked[3] if ranked[0] else plain
+
+
+def pair_key(left: str, right: str) -> int:
+    return xxh64_intdigest(f"{left}\0{right}") >> 1
 
 
 def vocabulary_counts(texts: DataFrame) -> DataFrame:
@@ -203,17 +258,73 @@ def vocabulary_counts(texts: DataFrame) -> DataFrame:
     return texts.select(words).filter("word rlike '\\\\p{L}'").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def load_vocabulary(texts: DataFrame, scanned: DataFrame) -> dict[str, int]:
-    """All of the clean corpus's words, and the scanned pages' own words that are no reading of others."""
+def load_vocabulary(texts: DataFrame, scanned: DataFrame) -> Vocabulary:
+    """All of the clean corpus's words, the scanned pages' own words that are no reading of others, and the counts of
+    the pairs their candidates make; the judging is done on the cluster."""
+    spark = scanned.sparkSession
     out: Counter[str] = Counter()
     for w, n in _frequent(texts, LEAST):
         out[unicodedata.normalize("NFC", w).casefold()] += n
-    known = Vocabulary(out)
-    for w, n in sorted(_frequent(scanned, LEAST_SCANNED), key=lambda x: (-x[1], x[0])):
-        w = trim(w).casefold()
-        if len(w) > 1 and w not in known.counts and w[-1] not in HYPHENS and not any(c in "!0156789" for c in w) and known._judge(w) is None:
-            known.add(w, n)
-    return dict(known.counts)
+    counted = materialize(vocabulary_counts(scanned).filter(F.col("n") >= LEAST_SCANNED))
+    # First against the clean words alone, then those left against one another: a reading is rarer than its word.
+    in_scans = spark.sparkContext.broadcast({r["word"]: r["n"] for r in counted.collect()})
+    first = _own_words(counted, share(spark, out), in_scans)
+    second = _own_words(counted, share(spark, out | first), in_scans)
+    out.update({w: n for w, n in first.items() if w in second})
+    return Vocabulary(dict(out), pairs=context_pairs(texts, scanned, share(spark, out)))
+
+
+def _own_words(counted: DataFrame, known, in_scans) -> dict[str, int]:
+    """Words of the scans that are no reading of known ones oftener in the scans, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared_vocabulary(known)
+        for batch in batches:
+            rows = []
+            for w, n in zip(*(c.to_pylist() for c in batch.columns)):
+                w = trim(w).casefold()
+                if len(w) < 2 or w[-1] in HYPHENS or any(c in "!0156789" for c in w):
+                    continue
+                mine = v.counts.get(w)
+                if mine is None:
+                    plain, options = v.judge(w)
+                    if plain is None and not any(in_scans.value.get(c, 0) >= OFTENER * n for _, _, c in options):
+                        rows.append((w, n))
+                elif mine == n and not any(-c > n for _, c, _ in v.candidates(w)):  # taken in the pass before
+                    rows.append((w, n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["w", "n"])
+
+    return {r["w"]: r["n"] for r in counted.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+
+
+_SPLIT = r"[\s.,;:?()«»\"–—…„“”‚‘’\[\]/*<>]+"
+
+
+def context_pairs(texts: DataFrame, scanned: DataFrame, known) -> dict[int, int]:
+    """How often the clean corpus has the pairs that readings with several candidates, or with none but by other
+    edits, make with their neighbours: {pair_key: count}.
+
+    Only those pairs are counted, so the clean corpus's own pairs are never shuffled.
+    """
+    words = F.filter(F.split(F.lower("text"), _SPLIT), lambda w: w != "")
+    around = F.transform("_w", lambda w, i: F.struct(F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), w.alias("w"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
+    triples = scanned.select(words.alias("_w")).select(F.inline(around)).filter("w rlike '\\\\p{L}'").distinct()
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared_vocabulary(known)
+        for batch in batches:
+            rows = []
+            for left, word, right in zip(*(c.to_pylist() for c in batch.columns)):
+                options = v.options(word)
+                for w in (*(o[2] for o in options), word) if options else ():
+                    rows += [(left, w), (w, right)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    pairs = small(triples.mapInArrow(wanted, "a string, b string").filter("a <> '' and b <> ''").distinct(), derived=True)
+    said = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(F.get("_w", i - 1).alias("a"), F.get("_w", i).alias("b")))
+    clean = texts.select(words.alias("_w")).filter("size(_w) > 1").select(F.inline(said))
+    counted = clean.join(pairs, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return {pair_key(r["a"], r["b"]): r["n"] for r in counted.collect()}
 
 
 def _frequent(texts: DataFrame, least: int) -> Iterator[tuple[str, int]]:
@@ -339,6 +450,10 @@ def mark_headers(pages: list[Page], title: str | None) -> None:
         pages[k].kind[pages[k].top] = "header"
 
 
+def neighbour(tokens: list[str], at: int) -> str:
+    return trim(tokens[at]) if 0 <= at < len(tokens) else ""
+
+
 class Repairer:
     """Marks and mends the pages of one block of a work."""
 
@@ -360,12 +475,12 @@ class Repairer:
             counts = self.v.counts
             if f"{head}-{tail}" in counts and head + tail not in counts:
                 return False
-            mended = self.v.judge(tail) or tail
+            mended = self.v.truth(tail) or tail
             if mended in CONJUNCTIONS and head + tail not in counts:
                 return False
             if f"{head}-{mended}" in counts and head + tail not in counts:
                 return False
-            for known in (self.v.judge(head) or head,):
+            for known in (self.v.truth(head) or head,):
                 if f"{known}-{mended}" in counts and known + mended not in counts:
                     return False
         return True
@@ -389,7 +504,7 @@ class Repairer:
     def marks(self, page: Page) -> list[tuple[int, str]]:
         out = [(i + 1, k) for i, k in enumerate(page.kind) if k]
         body = page.body()
-        judge = self.v.judge
+        judge = self.v.truth
         # The end of a word broken before this page.
         before = self.previous.get(page.number) if page.number is not None else None
         carried = trim(before.split()[-1][:-1]) if before and body and self.is_broken(before, page.lines[body[0]]) else ""
@@ -412,12 +527,13 @@ class Repairer:
                     wrong |= bool(judge(trim(token[:-1])))
                 else:
                     w = self.word(token)
+                    sides = neighbour(tokens, t - 1), neighbour(tokens, t + 1)
                     if "-" in w.strip("-") or "‐" in w:
                         wrong |= w.casefold() not in self.v.counts and any(judge(x) for x in re.split("[-‐]", w) if x)
                     elif "/" in token or "=" in token:
                         wrong |= any(judge(trim(x)) for x in token.split("/"))
                     else:
-                        wrong |= bool(judge(w))
+                        wrong |= bool(judge(w, *sides))
                 if wrong:
                     break
             if wrong:
@@ -427,7 +543,7 @@ class Repairer:
 
     def _part_wrong(self, head: str, tail: str, first: bool) -> bool:
         """Whether the misreading of a broken word lies in its first (or second) part."""
-        whole = self.v.judge(head + tail)
+        whole = self.v.truth(head + tail)
         if not whole:
             return False
         low = (head + tail).casefold()
@@ -448,10 +564,10 @@ class Repairer:
                 return w + "!"
         return w
 
-    def mend(self, word: str) -> str:
+    def mend(self, word: str, left: str = "", right: str = "") -> str:
         """A token with its misreading undone, punctuation and case kept."""
         core = self.word(word)
-        true = self.v.judge(core) if core else None
+        true = self.v.truth(core, left, right) if core else None
         if not true:
             return word
         if core.isupper() and len(core) > 1:
@@ -476,7 +592,8 @@ class Repairer:
             if parts:
                 text = "".join(parts)
                 out.append((p.number, order, text, order > 0 or p.lines[body[0]].startswith("  "), not text.rstrip().endswith((".", "!", "?", "»", "”", '"', ":"))))
-        return [(n, o, " ".join(self.mend(w) for w in t.split()) + ("" if not t.endswith(" ") and run else " " if run else ""), f, run) for n, o, t, f, run in out]
+        mended = lambda words: " ".join(self.mend(w, neighbour(words, i - 1), neighbour(words, i + 1)) for i, w in enumerate(words))
+        return [(n, o, mended(t.split()) + ("" if not t.endswith(" ") and run else " " if run else ""), f, run) for n, o, t, f, run in out]
 
 
 def page_blocks(pages: DataFrame, works: DataFrame) -> DataFrame:
@@ -487,7 +604,7 @@ def page_blocks(pages: DataFrame, works: DataFrame) -> DataFrame:
         .select("page_id", "p.document_id", F.expr("try_cast(trim(p.page) as int)").alias("number"), "p.text")
     )
     titles = works.filter("document_id is not null").groupBy("document_id").agg(F.max("title").alias("title"))
-    home = F.when(F.col("number").isNull() | F.col("document_id").isNull(), -1 - F.pmod(F.xxhash64("page_id"), F.lit(1024))).otherwise(F.floor(F.col("number") / BLOCK))
+    home = F.when(F.col("number").isNull() | F.col("document_id").isNull(), -1 - F.shiftrightunsigned(F.xxhash64("page_id"), 1)).otherwise(F.floor(F.col("number") / BLOCK))
     place = F.pmod(F.col("number"), F.lit(BLOCK))
     known = F.col("number").isNotNull() & F.col("document_id").isNotNull()
     blocks = F.when(known & (place < MARGIN), F.array(F.col("home"), F.col("home") - 1)).when(known & (place >= BLOCK - MARGIN), F.array(F.col("home"), F.col("home") + 1)).otherwise(F.array("home"))
@@ -501,8 +618,10 @@ def page_blocks(pages: DataFrame, works: DataFrame) -> DataFrame:
 def _run(pages: DataFrame, works: DataFrame, texts: DataFrame, emit, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
     blocks = page_blocks(pages, works)
     spark = blocks.sparkSession
-    words = spark.sparkContext.broadcast(load_vocabulary(texts, pages))
-    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vocabulary = load_vocabulary(texts, pages)
+    words = share(spark, vocabulary.counts, vocabulary.pairs)
+    del vocabulary
+    tasks = int(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(pages) // TASK_BYTES))
     arranged = blocks.repartition(tasks, "document_id", "block").sortWithinPartitions("document_id", "block", "number", "page_id")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None, list[Page]]]:
@@ -533,16 +652,21 @@ def _run(pages: DataFrame, works: DataFrame, texts: DataFrame, emit, names: list
     return arranged.mapInArrow(run, schema)
 
 
-_SHARED: dict[int, Vocabulary] = {}
+_SHARED: dict[str, Vocabulary] = {}
+
+
+def share(spark, counts: dict[str, int], pairs: dict[int, int] | None = None):
+    """A broadcast of a vocabulary's counts under a name of its own."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, dict(counts), pairs))
 
 
 def shared_vocabulary(words) -> Vocabulary:
     """Built once in each Python worker for each broadcast."""
-    key = id(words.value)
-    if key not in _SHARED:
+    name, counts, pairs = words.value
+    if name not in _SHARED:
         _SHARED.clear()
-        _SHARED[key] = Vocabulary(words.value)
-    return _SHARED[key]
+        _SHARED[name] = Vocabulary(counts, pairs=pairs)
+    return _SHARED[name]
 
 
 def find_noise(pages: DataFrame, works: DataFrame, texts: DataFrame) -> DataFrame:

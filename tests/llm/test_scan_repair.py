@@ -38,7 +38,7 @@ def test_candidates_are_complete():
     assert {w for _, _, w in v.candidates("lcjøklcen")} == {"kjøkken"}
     assert {w for _, _, w in v.candidates("clern")} == {"dem"}
     assert {w for _, _, w in v.candidates("fiin")} == {"tun"}
-    assert v.judge("kjøkken") is None and v.judge("1852") is None
+    assert v.truth("kjøkken") is None and v.truth("1852") is None
 
 
 def test_own_numbers():
@@ -83,15 +83,15 @@ def test_no_word_is_left_out_whatever_the_size(spark):
     letters = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abdeghkmpr")
     words = spark.range(125_000).select(F.concat(F.lit("sild"), letters).alias("w"))
     texts = words.select(F.concat_ws(" ", "w", "w").alias("text")).union(words.filter("id < 500").select(F.repeat(F.concat("w", F.lit(" ")), 3).alias("text")))
-    got = S.load_vocabulary(texts, texts.limit(0))
+    got = S.load_vocabulary(texts, texts.limit(0)).counts
     assert len(got) == 125_000 and got["sildaaaaaa"] == 5 and got["sildadgmpr"] == 2
 
 
 def test_variants_are_searched_completely():
     """Three readings that only together mend a word, beside thirteen single ones that look better."""
     v = S.Vocabulary({"pam" + "cpdg" * 14: 20, "kcpdgcpdg": 20, "kepdgepdg": 10_000})
-    assert v.judge("pafu" + "cpdg" * 13) == "pam" + "cpdg" * 13  # fu, fn, rn, m
-    assert v.judge("pam" + "cpdg" * 13) is None
+    assert v.truth("pafu" + "cpdg" * 13) == "pam" + "cpdg" * 13  # fu, fn, rn, m
+    assert v.truth("pam" + "cpdg" * 13) is None
 
 
 def long_paragraph(spark, pages):
@@ -127,3 +127,41 @@ def test_pages_without_a_number_are_paragraphs_of_their_own(spark):
     assert sorted((r["page"] or -1, r["paragraph"], r["last_page"] or -1, r["text"]) for r in got) == [
         (-1, 0, -1, "Han ventet på den gamle losen ved fyret."), (-1, 0, -1, "neste år"), (-1, 1, -1, "Kommunestyret godkjente."), (4, 0, 4, "Det var en dør."),
     ]
+
+
+def test_the_automaton_retrieves_every_word_within_its_distance():
+    """Against a plain edit distance over the whole vocabulary: no word within one or two edits is left out, none beyond comes."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    v = S.Vocabulary({"huset": 9, "brann": 8, "skole": 7, "havn": 3})
+    for reading, word in (("hnset", "huset"), ("bramn", "brann"), ("skoie", "skole"), ("husot", "huset"), ("huet", "huset"), ("huseet", "huset")):
+        assert word in {w for _, _, w in v.candidates(reading, distance=1)}, reading
+    rng = random.Random(5)
+    counts = {"".join(rng.choice("aeks") for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for _ in range(500)}
+    v = S.Vocabulary(dict(counts))
+    for _ in range(60):
+        word = "".join(rng.choice("aeks") for _ in range(rng.randint(2, 7)))
+        for k in (1, 2):
+            want = {w for w in counts if w != word and distance(word, w) <= k}
+            assert {w for _, _, w in v.candidates(word, most=0, distance=k)} == want
+            assert {w for _, _, w in v.candidates(word, distance=k)} >= want
+
+
+def test_context_ranks_candidates(spark):
+    """The same reading between different words is another word; other edits than confusions need the context's word."""
+    clean = "den gamle hunden sov . en stor handen veide mye . han så brannen på loftet . skolen lå ved havnen . " * 8
+    texts = spark.createDataFrame([(clean.replace("en stor handen", "en stor hånden"),)], "text string")
+    scanned = spark.createDataFrame([("den gamle bunden sov\nhan så brxnnen på loftet\nhun ga brxnnen til ham",)], "text string")
+    v = S.load_vocabulary(texts, scanned)
+    assert v.truth("bunden", "gamle", "sov") == "hunden"
+    assert v.truth("brxnnen", "så", "på") == "brannen" and v.truth("brxnnen", "ga", "til") is None
+    two = S.Vocabulary({"tun": 50, "run": 5}, pairs={S.pair_key("et", "tun"): 9, S.pair_key("a", "run"): 3})
+    assert two.truth("fun", "a", "") == "run" and two.truth("fun", "et", "") == "tun" and two.truth("fun") == "tun"

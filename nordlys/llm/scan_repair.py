@@ -304,26 +304,26 @@ def context_pairs(texts: DataFrame, scanned: DataFrame, known) -> dict[int, int]
     """How often the clean corpus has the pairs that readings with several candidates, or with none but by other
     edits, make with their neighbours: {pair_key: count}.
 
-    Only those pairs are counted, so the clean corpus's own pairs are never shuffled.
+    Each distinct word of the scans is judged once; only pairs around the few whose context decides are
+    looked for, so neither the scans' nor the clean corpus's own pairs are shuffled.
     """
     words = F.filter(F.split(F.lower("text"), _SPLIT), lambda w: w != "")
-    around = F.transform("_w", lambda w, i: F.struct(F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), w.alias("w"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
-    triples = scanned.select(words.alias("_w")).select(F.inline(around)).filter("w rlike '\\\\p{L}'").distinct()
+    arrays = scanned.select(words.alias("_w"))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared_vocabulary(known)
         for batch in batches:
-            rows = []
-            for left, word, right in zip(*(c.to_pylist() for c in batch.columns)):
-                options = v.options(word)
-                for w in (*(o[2] for o in options), word) if options else ():
-                    rows += [(left, w), (w, right)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["a", "b"])
-
-    pairs = small(triples.mapInArrow(wanted, "a string, b string").filter("a <> '' and b <> ''").distinct(), derived=True)
-    said = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(F.get("_w", i - 1).alias("a"), F.get("_w", i).alias("b")))
-    clean = texts.select(words.alias("_w")).filter("size(_w) > 1").select(F.inline(said))
-    counted = clean.join(pairs, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+            rows = [(word, [*(o[2] for o in options), word]) for word in batch.column(0).to_pylist() if (options := v.options(word))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["w", "options"])
+
+    distinct = arrays.select(F.explode("_w").alias("w")).filter("w rlike '\\\\p{L}'").distinct()
+    open_ = small(distinct.mapInArrow(decided, "w string, options array<string>"), derived=True)
+    around = F.transform("_w", lambda w, i: F.struct(F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), w.alias("w"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
+    found = arrays.select(F.inline(around)).join(open_, "w").select("l", "r", F.explode("options").alias("o"))
+    pairs = found.select(F.inline(F.array(F.struct(F.col("l").alias("a"), F.col("o").alias("b")), F.struct(F.col("o").alias("a"), F.col("r").alias("b"))))).filter("a <> '' and b <> ''").distinct()
+    wanted = small(pairs.withColumn("k", F.xxhash64("a", "b")), derived=True)
+    said = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i)))
+    counted = texts.select(words.alias("_w")).filter("size(_w) > 1").select(F.explode(said).alias("k")).join(wanted, "k").groupBy("a", "b").agg(F.count("*").alias("n"))
     return {pair_key(r["a"], r["b"]): r["n"] for r in counted.collect()}
 
 

@@ -28,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
+#: Documents whose ids are held together.
+TOGETHER = 1024
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -201,9 +203,9 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(items.value)
-        for batch in batches:
-            ids = [automaton.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part in (batch.slice(at, TOGETHER) for batch in batches for at in range(0, batch.num_rows, TOGETHER)):
+            ids = [automaton.encode(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, ids array<int>")
 

@@ -307,7 +307,7 @@ def context_pairs(texts: DataFrame, scanned: DataFrame, known) -> dict[int, int]
     Each distinct word of the scans is judged once; only pairs around the few whose context decides are
     looked for, so neither the scans' nor the clean corpus's own pairs are shuffled.
     """
-    words = F.filter(F.split(F.lower("text"), _SPLIT), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower("text"), _SPLIT), "")
     arrays = scanned.select(words.alias("_w"))
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +322,10 @@ def context_pairs(texts: DataFrame, scanned: DataFrame, known) -> dict[int, int]
     found = arrays.select(F.inline(around)).join(open_, "w").select("l", "r", F.explode("options").alias("o"))
     pairs = found.select(F.inline(F.array(F.struct(F.col("l").alias("a"), F.col("o").alias("b")), F.struct(F.col("o").alias("a"), F.col("r").alias("b"))))).filter("a <> '' and b <> ''").distinct()
     wanted = small(pairs.withColumn("k", F.xxhash64("a", "b")), derived=True)
-    said = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i)))
-    counted = texts.select(words.alias("_w")).filter("size(_w) > 1").select(F.explode(said).alias("k")).join(wanted, "k").groupBy("a", "b").agg(F.count("*").alias("n"))
+    n = F.size("_w") - 1
+    said = F.inline(F.arrays_zip(F.slice("_w", F.lit(1), n).alias("l"), F.slice("_w", F.lit(2), n).alias("r"))).alias("l", "r")
+    beside = texts.select(words.alias("_w")).filter("size(_w) > 1").select(said).select(F.xxhash64("l", "r").alias("k"))
+    counted = beside.join(wanted, "k").groupBy("a", "b").agg(F.count("*").alias("n"))
     return {pair_key(r["a"], r["b"]): r["n"] for r in counted.collect()}
 
 

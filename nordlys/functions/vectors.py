@@ -73,9 +73,12 @@ def tagged_values(p: Column, values: Column, multi: bool) -> Column:
 
 
 def silver_choice(p: Column, multi: bool) -> Column:
-    """(active labels, confidence) of silver data: from one half on, with the least sure of all labels."""
+    """(active labels, confidence) of silver data: from one half on, with the least sure of all labels.
+
+    Several values have the label for none before them, active iff no other is.
+    """
     if multi:
-        on = F.transform(p, lambda x: x >= 0.5)
+        on = let(F.transform(p, lambda x: x >= 0.5), lambda some: F.concat(F.array(~F.exists(some, lambda b: b)), some))
         sure = F.array_min(F.transform(p, lambda x: F.when(x >= 0.5, x).otherwise(1 - x)))
     else:
         on = let(argmax(p), lambda k: F.transform(p, lambda _, i: i == k))
@@ -132,11 +135,6 @@ def sparse_soft_cross_entropy(z: Column, ids: Column, p: Column, floor: float =
     return let(log_softmax(z), lambda q: let(F.greatest(total(p), F.lit(floor)), lambda s: -total(F.zip_with(ids, p, lambda i, x: x.cast("double") / s * F.get(q, i)))))
 
 
-def candidate_evidence(upos_log: Column, feature_logs: Column) -> Column:
-    """log p(upos) plus the sum of the features' log probabilities of a candidate bundle."""
-    return upos_log + total(feature_logs)
-
-
 def gated_refinement(z: Column, marginal: Column, gate: float, multi: bool, eps: float = 1e-6) -> Column:
     """``z + sigmoid(gate) * log(p)`` (logit for independent labels) with clamped marginals."""
     clamped = F.transform(marginal, lambda p: F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps)))

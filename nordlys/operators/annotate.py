@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nordlys.functions import vectors as V
@@ -61,6 +61,35 @@ def score_sentences(sentences: DataFrame, keys: list[str], factory: Callable[[],
     return slim.mapInArrow(run, schema)
 
 
+def top_rules(score: Column, k: int) -> Column:
+    """The likeliest lemma rules of a token's score: (id, p), likeliest first."""
+    return V.top_k(score["li"], score["lp"], k)
+
+
+def by_feature(scores: Column) -> Column:
+    """Of a sentence's scores the features' probabilities: {feature: one array a token}."""
+    names = F.array_sort(F.map_keys(F.get(scores, 0)["m"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(scores, lambda s: F.element_at(s["m"], n).cast("array<float>"))))
+
+
+def choices(scores: Column) -> list[Column]:
+    """What a second teacher would choose: UPOS ids and lemma rules of the tokens."""
+    return [
+        F.transform(scores, lambda s: V.argmax(s["u"])).alias("agreement_upos_ids"),
+        F.transform(scores, lambda s: F.get(s["li"], V.argmax(s["lp"]))).alias("agreement_lemma_rule_ids"),
+    ]
+
+
+def label_tables(spark: SparkSession, labels: Labels) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The labels as dimension tables: (upos_id, upos), (feature, value_id, value, multi), (rule_id, pr, sr, pa, sa)."""
+    values = [(f, i, v, multi) for f, (names, multi) in sorted(labels.features.items()) for i, v in enumerate(names)]
+    return (
+        spark.createDataFrame(list(enumerate(labels.upos)), "upos_id int, upos string"),
+        spark.createDataFrame(values, "feature string, value_id int, value string, multi boolean"),
+        spark.createDataFrame([(i, *r) for i, r in enumerate(labels.rules)], "rule_id int, pr int, sr int, pa string, sa string"),
+    )
+
+
 def decode_tokens(scored: DataFrame, keys: list[str], labels: Labels) -> DataFrame:
     """One row a token: UPOS with its distribution, features and lemma with confidences.
 

@@ -79,3 +79,46 @@ def compare_systems(triples: DataFrame, systems: tuple[str, str], features: tupl
         F.count("*").alias("tokens"), F.count_if(right).alias("correct"), F.count_if(F.col("gold") != "<NONE>").alias("annotated"), F.count_if((F.col("gold") != "<NONE>") & right).alias("annotated_correct"),
         F.count_if(~right & ~F.col("bundle_right")).alias("wrong_bundle_and_feature"), F.count_if(right & ~F.col("bundle_right")).alias("wrong_bundle_only"),
     )
+
+
+def score_candidates(tokens: DataFrame, candidates: DataFrame, upos: DataFrame, labels: dict[str, tuple[str, ...]], most: int = 4096) -> DataFrame:
+    """Adds ``candidates``: of every token the evidence of every candidate bundle, log p(upos) plus the sum of log p(label).
+
+    ``tokens`` has u (probabilities by UPOS id) and m (by feature, over its labels, the first of which is none).
+    The candidates are a label schema (some UPOS times a few bundles, at most ``most``, or an error), so they come
+    as one broadcast array and no pairs of rows are made.
+    """
+    pairs = F.expr("transform(filter(split(bundle, '[|]'), x -> x <> '_'), x -> struct(substring_index(x, '=', 1) as key, substring(x, instr(x, '=') + 1) as value))")
+    parsed = candidates.join(small(upos, derived=True), "upos").select("candidate_id", "upos_id", F.map_from_entries(pairs).alias("f"))
+    places = [F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.try_element_at("f", F.lit(name))) - 1, F.lit(0)).cast("int").alias(name) for name, values in labels.items()]
+    one = parsed.select(F.struct("candidate_id", "upos_id", *places).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("_c"))
+    one = one.select(F.when(F.size("_c") <= most, F.col("_c")).otherwise(F.raise_error(F.lit("more candidates than a label schema has")).cast(one.schema["_c"].dataType)).alias("_c"))
+    logs = F.transform_values("m", lambda _, p: F.transform(p, lambda x: F.log(x)))
+    staged = tokens.crossJoin(F.broadcast(one)).withColumns({"_u": F.transform("u", lambda x: F.log(x)), "_m": logs})  # one row
+
+    def score(c: Column) -> Column:
+        total = F.get("_u", c["upos_id"])
+        for name in labels:
+            total = total + F.get(F.element_at("_m", name), c[name])
+        return F.struct(c["candidate_id"].alias("candidate_id"), total.alias("score"), *[c[name].alias(name) for name in labels])
+
+    return staged.withColumn("candidates", F.transform("_c", score)).drop("_c", "_u", "_m")
+
+
+def best_candidate(candidates: str) -> Column:
+    """The candidate of most evidence, the first of equals."""
+    return F.reduce(candidates, F.get(candidates, 0), lambda best, c: F.when(c["score"] > best["score"], c).otherwise(best))
+
+
+def label_marginals(candidates: str, feature: str, labels: tuple[str, ...]) -> Column:
+    """Map of each label some candidate has to its probability: the softmax of the candidates summed by label."""
+    top = F.array_max(F.transform(candidates, lambda c: c["score"]))
+    weight = lambda c: F.exp(c["score"] - top)
+    total = F.aggregate(candidates, F.lit(0.0), lambda s, c: s + weight(c))
+
+    def share(k: int, label: str) -> Column:
+        own = F.filter(candidates, lambda c: c[feature] == k)
+        return F.struct(F.lit(label).alias("key"), (F.aggregate(own, F.lit(0.0), lambda s, c: s + weight(c)) / total).alias("value"), (F.size(own) > 0).alias("held"))
+
+    each = [share(k, label) for k, label in enumerate(labels)]
+    return F.map_from_entries(F.transform(F.filter(F.array(*each), lambda e: e["held"]), lambda e: F.struct(e["key"], e["value"])))

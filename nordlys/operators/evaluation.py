@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nordlys.functions.text import feature_bundle, nfc_key, universal_subset
+from nordlys.functions.text import apply_rule, feature_bundle, nfc_key, restore_marker, universal_subset
 from nordlys.session import small
 
 KEYS = ("sent_id", "tok_idx")
@@ -39,10 +39,31 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def ud_metrics(pairs: DataFrame, *by: str) -> DataFrame:
+#: The lemma of a rule that takes more than the token has.
+INVALID = "<INVALID>"
+
+
+def decode_lemmas(pairs: DataFrame, rule: Column) -> DataFrame:
+    """Pairs whose system lemma is what its rule makes of the form; a rule that can't be applied gives ``INVALID``."""
+    fits = (rule["pr"] >= 0) & (rule["sr"] >= 0)
+    return pairs.withColumn("s", F.col("s").withField("lemma", F.coalesce(F.when(fits, apply_rule(F.col("s.form"), rule)), F.lit(INVALID))))
+
+
+def marker_forms(training: DataFrame) -> DataFrame:
+    """(form): the forms that carried a ``$`` lemma in training."""
+    return training.filter(F.col("lemma").startswith("$")).select("form").distinct()
+
+
+def restore_markers(tokens: DataFrame, forms: DataFrame) -> DataFrame:
+    """Tokens whose lemmas have their ``$`` again where the form is one of the marked (a broadcast semi join, if they are few)."""
+    marked = small(forms.select(F.col("form").alias("_form"), F.lit(True).alias("_marked")), derived=True)
+    return tokens.join(marked, F.col("form") == F.col("_form"), "left").withColumn("lemma", restore_marker(F.col("lemma"), F.col("_marked"))).drop("_form", "_marked")
+
+
+def ud_metrics(pairs: DataFrame, *by: str, invalid: bool = False) -> DataFrame:
     """Correct UPOS, universal features and lemmas and their F1 (equal to the accuracy of aligned tokens).
 
-    A gold lemma of ``_`` always counts as right.
+    A gold lemma of ``_`` always counts as right.  With ``invalid`` also how many rules could not be applied.
     """
     upos = F.col("g.upos") == F.col("s.upos")
     feats = feature_bundle(universal_subset(F.col("g.features"))) == feature_bundle(universal_subset(F.col("s.features")))
@@ -51,6 +72,7 @@ def ud_metrics(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(
         n.alias("tokens"), F.count_if(upos).alias("upos_correct"), F.count_if(feats).alias("ufeats_correct"), F.count_if(lemma).alias("lemma_correct"),
         ratio(F.count_if(upos), n).alias("upos_f1"), ratio(F.count_if(feats), n).alias("ufeats_f1"), ratio(F.count_if(lemma), n).alias("lemma_f1"),
+        *([F.count_if(F.col("s.lemma") == INVALID).alias("invalid_rules")] if invalid else []),
     )
 
 
@@ -138,8 +160,14 @@ def weighted_means(batches: DataFrame, losses: dict[str, str]) -> DataFrame:
 
 
 def latency(rows: DataFrame, seconds: str, tokens: str, *by: str) -> DataFrame:
-    """Mean, median and 95th percentile of the time, and tokens a second."""
-    return rows.groupBy(*by).agg(F.avg(seconds).alias("mean"), F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), ratio(F.sum(tokens), F.sum(seconds)).alias("tokens_per_second"))
+    """Mean, median and 95th percentile of the time, and tokens a second.
+
+    Percentiles are exact: equal times are counted before they meet, so a hot group is as many rows as it has
+    distinct times (of a clock's resolution).
+    """
+    rows = rows.groupBy(*by, seconds).agg(F.sum(tokens).alias("_t"), F.count("*").alias("_n"))
+    n = F.sum("_n")
+    return rows.groupBy(*by).agg(ratio(F.sum(F.col(seconds) * F.col("_n")), n).alias("mean"), F.percentile(seconds, F.lit(0.5), F.col("_n")).alias("p50"), F.percentile(seconds, F.lit(0.95), F.col("_n")).alias("p95"), ratio(F.sum("_t"), F.sum(F.col(seconds) * F.col("_n"))).alias("tokens_per_second"))
 
 
 def max_difference(a: Column, b: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nordlys.functions.text import FIRST_LITERAL, nfc
@@ -79,3 +81,29 @@ def decode_feature(active: Column, values: list[str]) -> Column:
     labels = F.array(*[F.lit(v) for v in values])
     chosen = F.filter(labels, lambda v: F.get(active, F.array_position(labels, v).cast("int")))
     return F.when(~F.get(active, 0), F.array_join(chosen, ","))
+
+
+def schema_json(upos: DataFrame, morphology: DataFrame, rules: DataFrame, characters: DataFrame | None = None) -> str:
+    """The label schemas as one JSON text (they are dimension tables; what is collected is one row a label)."""
+    features: dict[str, dict] = {}
+    for r in morphology.orderBy("feature", "value_id").collect():
+        features.setdefault(r["feature"], {"values": [], "allows_multiple_values": r["multi"]})["values"].append(r["value"])
+    out = {
+        "format_version": 1, "upos": [r["upos"] for r in upos.orderBy("upos_id").collect()], "morphology": features,
+        "lemma_rules": [[r["pr"], r["sr"], r["pa"], r["sa"]] for r in rules.orderBy("rule_id").collect()],
+    }
+    if characters is not None:
+        out["characters"] = [r["char"] for r in characters.orderBy("char_id").collect()]
+    return json.dumps(out, ensure_ascii=False, sort_keys=True)
+
+
+def schema_of_json(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(upos, morphology, lemma rule) schemas of such a text; another format version is an error."""
+    read = json.loads(text)
+    if read.get("format_version") != 1:
+        raise ValueError(f"unknown format of a label schema: {read.get('format_version')}")
+    upos = spark.createDataFrame(list(enumerate(read["upos"])), "upos_id int, upos string")
+    values = [(f, i, v, x["allows_multiple_values"]) for f, x in sorted(read["morphology"].items()) for i, v in enumerate(x["values"])]
+    morphology = spark.createDataFrame(values, "feature string, value_id int, value string, multi boolean")
+    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(read["lemma_rules"])], "rule_id int, pr int, sr int, pa string, sa string")
+    return upos, morphology, rules

@@ -56,3 +56,10 @@ def word_spans(word_ids: Column, words: Column) -> Column:
     )
     fine = F.forall(spans, lambda s: (s["end"] > s["start"]) & (F.size(F.array_distinct(F.slice(word_ids, s["start"] + 1, s["end"] - s["start"]))) == 1))
     return F.when((words > 0) & fine, spans)
+
+
+def parity_fixture(sentences: DataFrame, key: str, path: str, policy: str = "") -> DataFrame:
+    """(key, json) of sentences with ``words``: ids, sub-words of each word and the policy's version, to compare tokenizers by."""
+    encoded = encode_words(sentences.withColumn("_n", F.size("words")), [key, "_n"], path)
+    counts = F.transform(word_spans(F.col("word_ids"), F.col("_n")), lambda s: s["end"] - s["start"])
+    return encoded.select(key, F.to_json(F.struct(F.col(key), F.lit(policy).alias("policy"), "ids", counts.alias("counts")), {"ignoreNullFields": "false"}).alias("json"))

@@ -1,6 +1,7 @@
 """All queries of the core and their SQL twins."""
 
-from nordlys.plans import label_queries, text_queries
+from nordlys.plans import check_queries, label_queries, source_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **label_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **label_queries.ORACLES}
+MODULES = (text_queries, label_queries, source_queries, check_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

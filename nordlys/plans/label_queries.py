@@ -12,7 +12,6 @@ from nordlys.operators import segmentation as seg
 from nordlys.plans import inputs
 from nordlys.plans.inputs import SQL_BUNDLE, SQL_FOLD, SQL_ITEMS, SQL_TOKENS
 from nordlys.session import enough_tasks, table
-from nordlys.sources import markup
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,11 +68,11 @@ def morph_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
     return flat.groupBy("encoded", "decoded").agg(F.count("*").alias("n"))
 
 
-@query(_T + " SELECT upos, count(*) AS n FROM gold GROUP BY 1")
+@query(f"WITH {SQL_ITEMS} SELECT upos, count(*) AS n FROM igold GROUP BY 1")
 def known_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts behind the known-label assertion, which passes on data of its own schema."""
-    g = inputs.gold(spark, sf)
-    return schema.assert_known(g.select("upos"), schema.upos_schema(g), "upos").groupBy("upos").agg(F.count("*").alias("n"))
+    """The evaluation items' labels counted behind the assertion that the silver corpus's schema knows them."""
+    known = schema.upos_schema(inputs.gold(spark, sf))
+    return schema.assert_known(inputs.item_gold(spark, sf).select("upos"), known, "upos").groupBy("upos").agg(F.count("*").alias("n"))
 
 
 # --- evaluation
@@ -88,14 +87,14 @@ def ud_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("slice", "tokens", "upos_correct", "ufeats_correct", "lemma_correct", *[r6(F.col(c)).alias(c) for c in ("upos_f1", "ufeats_f1", "lemma_f1")])
 
 
-@query(_PAIRS + """, st AS (SELECT gb, sb AS b0, regexp_replace(sb, 'Gender=Fem,Masc', 'Gender=Com') AS b1, regexp_replace(regexp_replace(sb, 'Gender=Fem,Masc', 'Gender=Com'), '(\\|Number=Sing|Number=Sing)$', '') AS b2x FROM pr),
+@query(_PAIRS + """, st0 AS (SELECT gb, sb, CASE WHEN su = 'NOUN' THEN regexp_replace(sb, 'Gender=Fem,Masc', 'Gender=Com') ELSE sb END AS b1 FROM pr), st AS (SELECT gb, sb AS b0, b1, regexp_replace(b1, '(\\|Number=Sing|Number=Sing)$', '') AS b2x FROM st0),
 s2 AS (SELECT gb, b0, b1, CASE WHEN b2x = '' THEN '_' ELSE b2x END AS b2 FROM st), l AS (SELECT 0 AS step_no, 'common gender' AS step, gb, b0 AS a, b1 AS b FROM s2 UNION ALL SELECT 1, 'no singular', gb, b1, b2 FROM s2)
 SELECT step_no::INT AS step_no, step, count(*) FILTER (a <> b) AS changed, count(*) FILTER (a <> gb AND b = gb) AS improved, count(*) FILTER (a = gb AND b <> gb) AS regressed FROM l GROUP BY 1, 2""")
 def ud_policy_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Two policy steps on the system's features: common gender, then singular dropped."""
     p = inputs.pairs(spark, sf)
     gold, start = X.feature_bundle(F.col("g.features")), F.col("s.features")
-    first = F.transform_values(start, lambda k, v: F.when((k == "Gender") & (v == "Fem,Masc"), F.lit("Com")).otherwise(v))
+    first = X.common_gender(F.when(F.col("s.upos") == "NOUN", "ADJ").otherwise(F.col("s.upos")), start)  # nouns, which have gender here, stand for adjectives
     second = X.drop_value(first, "Number", "Sing")
     staged = p.select(gold.alias("gb"), X.feature_bundle(start).alias("b0"), X.feature_bundle(first).alias("b1"), X.feature_bundle(second).alias("b2"))
     return evaluation.policy_audit(staged, F.col("gb"), F.col("b0"), [("common gender", F.col("b1")), ("no singular", F.col("b2"))])
@@ -135,13 +134,13 @@ def task_counts(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(*[c for c in m.columns if c not in ratios], *[r6(F.col(c)).alias(c) for c in ratios])
 
 
-_DECODED = """lt AS (SELECT document_id, sentence_index, unnest(u) AS u, unnest(li) AS li, unnest(lp) AS lp, unnest(au) AS au, unnest(al) AS al, unnest(range(0, len(u))) AS tok_idx FROM
-  (SELECT document_id, sentence_index, upos_probabilities AS u, list_resize(coalesce(lemma_rule_ids, []), n) AS li, list_resize(coalesce(lemma_rule_probabilities, []), n) AS lp, list_resize(coalesce(agreement_upos_ids, []), n) AS au, list_resize(coalesce(agreement_lemma_rule_ids, []), n) AS al
-   FROM (SELECT document_id, sentence_index, list_resize(coalesce(upos_probabilities, []), n) AS upos_probabilities, lemma_rule_ids, lemma_rule_probabilities, agreement_upos_ids, agreement_lemma_rule_ids, n FROM lab) x)),
-ok AS (SELECT *, coalesce(len(u) > 0 AND len(list_filter(u, lambda x: x IS NULL OR isnan(x))) = 0, false) AS us, coalesce(len(lp) > 0 AND len(list_filter(lp, lambda x: x IS NULL OR isnan(x))) = 0, false) AS ls FROM lt),
-tl AS (SELECT document_id, sentence_index, tok_idx, CASE WHEN us THEN list_position(u, list_max(u)) - 1 END AS upos_id, CASE WHEN us THEN list_max(u)::DOUBLE END AS uc, CASE WHEN ls THEN li[list_position(lp, list_max(lp))] END AS rule_id, CASE WHEN ls THEN list_max(lp)::DOUBLE END AS lc, au, al FROM ok)"""
+_DECODED = """lt AS (SELECT document_id, sentence_index, unnest(u) AS u, unnest(li) AS li, unnest(lp) AS lp, unnest(au) AS au, unnest(al) AS al, unnest(nu) AS nu, unnest(range(0, len(u))) AS tok_idx FROM
+  (SELECT document_id, sentence_index, upos_probabilities AS u, list_resize(coalesce(lemma_rule_ids, []), n) AS li, list_resize(coalesce(lemma_rule_probabilities, []), n) AS lp, list_resize(coalesce(agreement_upos_ids, []), n) AS au, list_resize(coalesce(agreement_lemma_rule_ids, []), n) AS al, list_resize(coalesce(number, []), n) AS nu
+   FROM (SELECT document_id, sentence_index, list_resize(coalesce(upos_probabilities, []), n) AS upos_probabilities, lemma_rule_ids, lemma_rule_probabilities, agreement_upos_ids, agreement_lemma_rule_ids, number, n FROM lab) x)),
+ok AS (SELECT *, coalesce(len(u) > 0 AND len(list_filter(u, lambda x: x IS NULL OR isnan(x))) = 0, false) AS us, coalesce(len(lp) > 0 AND len(list_filter(lp, lambda x: x IS NULL OR isnan(x))) = 0, false) AS ls, coalesce(len(nu) > 0 AND len(list_filter(nu, lambda x: x IS NULL OR isnan(x))) = 0, false) AS ns FROM lt),
+tl AS (SELECT document_id, sentence_index, tok_idx, CASE WHEN us THEN list_position(u, list_max(u)) - 1 END AS upos_id, CASE WHEN us THEN list_max(u)::DOUBLE END AS uc, CASE WHEN ls THEN li[list_position(lp, list_max(lp))] END AS rule_id, CASE WHEN ls THEN list_max(lp)::DOUBLE END AS lc, CASE WHEN ns THEN list_position(nu, list_max(nu)) - 1 END AS number_id, CASE WHEN ns THEN list_max(nu)::DOUBLE END AS mc, au, al FROM ok)"""
 _LAB = """WITH lab0 AS (SELECT *, row_number() OVER (PARTITION BY document_id, sentence_index ORDER BY labeled_at DESC NULLS LAST) AS rn FROM silver_label),
-lab AS (SELECT *, greatest(coalesce(len(upos_probabilities), 0), coalesce(len(lemma_rule_ids), 0), coalesce(len(lemma_rule_probabilities), 0), coalesce(len(agreement_upos_ids), 0), coalesce(len(agreement_lemma_rule_ids), 0)) AS n FROM lab0 WHERE rn = 1), """ + _DECODED
+lab AS (SELECT *, greatest(coalesce(len(upos_probabilities), 0), coalesce(len(lemma_rule_ids), 0), coalesce(len(lemma_rule_probabilities), 0), coalesce(len(agreement_upos_ids), 0), coalesce(len(agreement_lemma_rule_ids), 0), coalesce(len(number), 0)) AS n FROM (SELECT *, morphology_probabilities['Number'] AS number FROM lab0) WHERE rn = 1), """ + _DECODED
 
 
 def _token_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,14 +318,6 @@ def temperature_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(t, 6), round(nll, 6))], "temperature double, nll double")
 
 
-@query(_Z + ", c AS (SELECT vec_id, label, z[1] AS a, list_transform(range(1, 5), lambda i: ln(p[i]) + ln(q[i])) AS s FROM p) SELECT vec_id, (list_position(s, list_max(s)) - 1)::INT AS best, round(list_max(s), 6) AS evidence FROM c")
-def candidate_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Four candidate bundles, each the sum of two log probabilities; the best one."""
-    p = _logits(spark, sf).select("vec_id", V.log_softmax(F.col("z")).alias("p"), V.log_softmax(F.col("t")).alias("q"))
-    s = p.select("vec_id", F.array(*[V.candidate_evidence(F.get("p", F.lit(i)), F.array(F.get("q", F.lit(i)))) for i in range(4)]).alias("s"))
-    return s.select("vec_id", V.argmax(F.col("s")).alias("best"), r6(F.array_max("s")).alias("evidence"))
-
-
 @query(_Z + " SELECT vec_id, unnest(range(0, 8))::INT AS label_no, round(unnest(list_transform(z, lambda x, i: x + 1 / (1 + exp(-0.5)) * ln(least(greatest(q[i], 1e-6), 1 - 1e-6)))), 6) AS refined FROM p")
 def bundle_refinement(spark: SparkSession, sf: str) -> DataFrame:
     return _logits(spark, sf).select("vec_id", F.posexplode(_text6(V.gated_refinement(F.col("z"), V.softmax(F.col("t")), 0.5, False))).alias("label_no", "refined"))
@@ -345,27 +336,40 @@ def learning_rates(spark: SparkSession, sf: str) -> DataFrame:
 # --- silver labels
 
 
-@query(_LAB + " SELECT document_id, sentence_index, tok_idx::INT AS tok_idx, upos_id::INT AS upos_id, round(uc, 6) AS upos_confidence, rule_id, round(lc, 6) AS lemma_confidence FROM tl")
+@query(_LAB + " SELECT document_id, sentence_index, tok_idx::INT AS tok_idx, upos_id::INT AS upos_id, round(uc, 6) AS upos_confidence, rule_id, round(lc, 6) AS lemma_confidence, number_id::INT AS number_id, round(mc, 6) AS morphology_confidence FROM tl")
 def silver_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Choices and confidences of every labelled token."""
-    return _token_labels(spark, sf).select("document_id", "sentence_index", "tok_idx", "upos_id", r6(F.col("upos_confidence")).alias("upos_confidence"), "rule_id", r6(F.col("lemma_confidence")).alias("lemma_confidence"))
+    return _token_labels(spark, sf).select("document_id", "sentence_index", "tok_idx", "upos_id", r6(F.col("upos_confidence")).alias("upos_confidence"), "rule_id", r6(F.col("lemma_confidence")).alias("lemma_confidence"),
+        (F.array_position(F.element_at("morphology", "Number"), True) - 1).cast("int").alias("number_id"), r6(F.col("morphology_confidence")).alias("morphology_confidence"))
 
 
-_FILTER = _LAB + """, k AS (SELECT *, coalesce((au IS NULL OR upos_id = au) AND uc >= 0.9, false) AS uk, coalesce((al IS NULL OR rule_id = al) AND lc >= 0.9, false) AS lk FROM tl),
-s AS (SELECT document_id, sentence_index, count(*) AS tokens, count(*) FILTER (uk) AS upos_kept, count(*) FILTER (lk) AS lemma_kept, count(*) FILTER (NOT uk OR NOT lk) AS masked FROM k GROUP BY 1, 2)"""
+_FILTER = _LAB + """, k AS (SELECT *, coalesce((au IS NULL OR upos_id = au) AND uc >= 0.9, false) AS uk, coalesce((al IS NULL OR rule_id = al) AND lc >= 0.9, false) AS lk, coalesce(mc >= 0.9, false) AS mk FROM tl),
+s AS (SELECT document_id, sentence_index, count(*) AS tokens, count(*) FILTER (uk) AS upos_kept, count(*) FILTER (lk) AS lemma_kept, count(*) FILTER (mk) AS morphology_kept, count(*) FILTER (NOT uk OR NOT lk OR NOT mk) AS masked FROM k GROUP BY 1, 2)"""
 
 
-@query(_FILTER + " SELECT document_id, sentence_index, tokens, upos_kept, lemma_kept, masked, round(masked / tokens, 6) AS masked_ratio, masked / tokens <= 0.3 AS keep FROM s")
+@query(_FILTER + " SELECT document_id, sentence_index, tokens, upos_kept, morphology_kept, lemma_kept, masked, round(masked / tokens, 6) AS masked_ratio, masked / tokens <= 0.3 AS keep FROM s")
 def silver_filter(spark: SparkSession, sf: str) -> DataFrame:
     f = probability.silver_filter(_token_labels(spark, sf))
-    return f.select("document_id", "sentence_index", "tokens", "upos_kept", "lemma_kept", "masked", r6(F.col("masked_ratio")).alias("masked_ratio"), "keep")
+    return f.select("document_id", "sentence_index", "tokens", "upos_kept", "morphology_kept", "lemma_kept", "masked", r6(F.col("masked_ratio")).alias("masked_ratio"), "keep")
 
 
 @query(_FILTER + """ SELECT count(*) AS sentences, count(*) FILTER (masked / tokens <= 0.3) AS kept_sentences, (sum(tokens) FILTER (masked / tokens <= 0.3))::BIGINT AS kept_tokens,
-  round((sum(upos_kept) FILTER (masked / tokens <= 0.3)) / (sum(tokens) FILTER (masked / tokens <= 0.3)), 6) AS upos_ratio, round((sum(lemma_kept) FILTER (masked / tokens <= 0.3)) / (sum(tokens) FILTER (masked / tokens <= 0.3)), 6) AS lemma_ratio FROM s""")
+  round(1 - (sum(upos_kept) FILTER (masked / tokens <= 0.3)) / (sum(tokens) FILTER (masked / tokens <= 0.3)), 6) AS upos_masked_ratio, round(1 - (sum(morphology_kept) FILTER (masked / tokens <= 0.3)) / (sum(tokens) FILTER (masked / tokens <= 0.3)), 6) AS morphology_masked_ratio,
+  round(1 - (sum(lemma_kept) FILTER (masked / tokens <= 0.3)) / (sum(tokens) FILTER (masked / tokens <= 0.3)), 6) AS lemma_masked_ratio FROM s""")
 def silver_report(spark: SparkSession, sf: str) -> DataFrame:
     r = probability.silver_report(probability.silver_filter(_token_labels(spark, sf)))
-    return r.select("sentences", "kept_sentences", "kept_tokens", r6(F.col("upos_ratio")).alias("upos_ratio"), r6(F.col("lemma_ratio")).alias("lemma_ratio"))
+    return r.select("sentences", "kept_sentences", "kept_tokens", *[r6(F.col(f"{t}_masked_ratio")).alias(f"{t}_masked_ratio") for t in probability.TASKS])
+
+
+@query("""WITH l0 AS (SELECT *, row_number() OVER (PARTITION BY document_id, sentence_index ORDER BY labeled_at DESC NULLS LAST) AS rn FROM silver_label),
+l AS (SELECT document_id, sentence_index, greatest(coalesce(len(upos_probabilities), 0), coalesce(len(lemma_rule_ids), 0)) AS n FROM l0 WHERE rn = 1),
+s AS (SELECT document_id, sentence_index, max(len(tokens)) AS t FROM silver_sentence WHERE tokens IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT document_id, min(s.sentence_index) AS gap FROM s ANTI JOIN l USING (document_id, sentence_index) GROUP BY 1)
+SELECT CASE WHEN t IS NULL THEN 'missing' WHEN n <> t THEN 'misaligned' WHEN gap < sentence_index THEN 'gap' ELSE 'aligned' END AS status, count(*) AS n FROM l LEFT JOIN s USING (document_id, sentence_index) LEFT JOIN g USING (document_id) GROUP BY 1""")
+def silver_align(spark: SparkSession, sf: str) -> DataFrame:
+    """How the labels lie beside the sentences they were made for."""
+    s = table(spark, sf, "silver_sentence").filter("tokens is not null").groupBy("document_id", "sentence_index").agg(F.max_by("tokens", F.size("tokens")).alias("tokens"))
+    return probability.align_labels(s, inputs.labels(spark, sf), strict=False).groupBy("status").agg(F.count("*").alias("n"))
 
 
 _BINS = _LAB + ", c AS (SELECT uc, (upos_id = au) AS ok FROM tl WHERE uc IS NOT NULL AND au IS NOT NULL), b AS (SELECT CASE " + " ".join(f"WHEN uc > {k}::DOUBLE / 15 THEN {k}" for k in range(14, -1, -1)) + " END AS bin, uc, ok FROM c)"
@@ -411,14 +415,6 @@ def annotate_documents(spark: SparkSession, sf: str) -> DataFrame:
     return annotate.annotate(table(spark, sf, "documents"), inputs.policy(spark, sf), annotate.SHAPE_LABELS, annotate.shape_scorer)
 
 
-@query()
-def wikitext_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents dressed as wiki text and stripped again."""
-    d = enough_tasks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    dressed = F.concat(F.lit("{{Info|x={{y}}}}\n== Head ==\n'''"), F.regexp_replace("text", r"[{}\[\]|<>]", ""), F.lit("'''<ref>a</ref> [[Side|lenke]]\n"))
-    return d.filter("text is not null").select("doc_id", F.posexplode(markup.wikitext_paragraphs(dressed)).alias("paragraph", "text"))
-
-
 @query()
 def subword_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Sub-word spans of all silver sentences' words by a public byte-level tokenizer."""

@@ -3,19 +3,23 @@
 ``spark.read.format("tartext").load(path)`` reads the text members of archives,
 ``spark.read.format("pagesjson").load(path)`` the pages of objects of documents.
 
-One partition a file (a compressed archive can't be split); members come in
-sorted order and are read one at a time.  ``suffix`` and ``contains`` filter on
-the member's name before its bytes are read.
+Paths are local or on any file system pyarrow knows by its scheme (hdfs, s3, gs,
+abfs).  One partition a file, since neither can be split; an archive's members
+are read one at a time in the archive's order (the name is a column), and
+``suffix`` and ``contains`` filter on it before the bytes are read.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import io
 import json
+import re
 import tarfile
 from collections.abc import Iterator
 from typing import IO
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -32,17 +36,37 @@ class TarText(DataSource):
         return TarReader(self.options)
 
 
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def matching(path: str) -> list[str]:
+    """Files a path names: itself, those a pattern in its last part matches, or those below a folder; sorted."""
+    files, place = located(path)
+    folder, _, last = place.rpartition("/")
+    pattern = any(c in last for c in "*?[")
+    info = None if pattern else files.get_file_info(place)
+    if info is not None and info.type == pafs.FileType.File:
+        return [path]
+    found = files.get_file_info(pafs.FileSelector(folder if pattern else place))
+    names = [f.path for f in found if f.type == pafs.FileType.File and (not pattern or fnmatch.fnmatch(f.base_name, last))]
+    head = path[: len(path) - len(place)]
+    return sorted(head + n for n in names)
+
+
 class TarReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.paths = sorted(glob.glob(options["path"].removeprefix("file://")))
+        self.paths = matching(options["path"])
         self.suffix, self.contains = options.get("suffix", ""), options.get("contains", "")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with tarfile.open(partition.value) as archive:
-            for member in sorted(archive.getmembers(), key=lambda m: m.name):
+        files, place = located(partition.value)
+        with files.open_input_stream(place, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
+            for member in archive:
                 if member.isfile() and member.name.endswith(self.suffix) and self.contains in member.name:
                     data = archive.extractfile(member).read()
                     try:
@@ -71,7 +95,8 @@ class PagesJson(DataSource):
 
 class PagesReader(TarReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as file:
+        files, place = located(partition.value)
+        with io.TextIOWrapper(files.open_input_stream(place), encoding="utf-8") as file:
             for document, entries in object_items(file, int(self.chunk)):
                 for e in entries:
                     if not (isinstance(e, list) and len(e) == 3 and all(isinstance(x, str) for x in e)):
@@ -108,20 +133,31 @@ class _Window:
         self.text = self.text[1:]
 
     def value(self):
-        """The next JSON string, array or object; read on until it is whole."""
+        """The next JSON string, array or object; read on until its brackets are closed, each character looked at once."""
         if self.sign() not in '"[{':
             raise ValueError("expected a string, array or object")
+        at, depth, quoted = 0, 0, False
         while True:
-            try:
-                found, end = _DECODER.raw_decode(self.text)
-            except json.JSONDecodeError:
-                self.more()
+            for m in _MARK.finditer(self.text, at):
+                sign = m.group()
+                if sign == '"':
+                    quoted = not quoted
+                elif sign[0] == "\\":
+                    if len(sign) == 1:  # its other half is not read yet
+                        break
+                elif not quoted:
+                    depth += 1 if sign in "[{" else -1
+                at = m.end()
+                if not depth and not quoted:
+                    found, self.text = json.loads(self.text[:at]), self.text[at:]
+                    return found
             else:
-                self.text = self.text[end:]
-                return found
+                at = len(self.text)
+            self.more()
 
 
-_DECODER = json.JSONDecoder()
+#: What opens, closes or quotes; an escaped character is one mark.
+_MARK = re.compile(r'\\.?|["\[\]{}]', re.S)
 
 
 def object_items(file: IO[str], size: int = 1 << 20) -> Iterator[tuple[str, list]]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nordlys.functions.text import NO_SPACE_BEFORE
+from nordlys.operators.corpus import reindexed
 
 TOKEN_SCHEMA = "file string, sent_id bigint, tok_idx int, form string, lemma string, upos string, features map<string,string>, space_after boolean"
 SILVER_SCHEMA = "document_id string, sentence_index int, tokens array<string>, has_space_before array<boolean>"
@@ -42,12 +43,15 @@ def parse_blocks(blocks: DataFrame, *keys: str, drop_multiword: bool = False) ->
 def read_conllu(spark: SparkSession, path: str, drop_multiword: bool = False) -> DataFrame:
     """Tokens of CoNLL-U files keyed (file, sent_id, tok_idx); a missing last blank line is fine.
 
-    Blocks are cut by the reader at blank lines; ``sent_id`` is the block's
-    place in the file order of its split.
+    Blocks are cut by the reader at blank lines (a file with CRLF line ends is
+    read whole and cut then); ``sent_id`` is the sentence's ordinal in its file,
+    from 0, made over the splits' order without holding a file in one task.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).filter(F.col("value").rlike(r"(?m)^[^#\s]"))
-    numbered = blocks.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("sent_id"), "value")
-    return parse_blocks(numbered, "file", "sent_id", drop_multiword=drop_multiword)
+    raw = spark.read.option("lineSep", "\n\n").text(path)
+    at = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    cut = at.select("file", "_start", "_row", F.posexplode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("_part", "value"))
+    numbered = reindexed(cut.filter(F.col("value").rlike(r"(?m)^[^#\s]")), "file", "_start", "_row", "_part", name="sent_id")
+    return parse_blocks(numbered.withColumn("sent_id", F.col("sent_id").cast("bigint")), "file", "sent_id", drop_multiword=drop_multiword)
 
 
 def first_sentence(tokens: DataFrame) -> DataFrame:
@@ -146,7 +150,11 @@ def ordered_pages(pages: DataFrame, language: str | None = None) -> DataFrame:
 
 def read_plain_library(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, text) of plain text files: the id is the stem, UTF-8 with or without a mark, else Latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return library_texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path))
+
+
+def library_texts(files: DataFrame) -> DataFrame:
+    """(document_id, text) of files given as path and content."""
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("document_id"), F.regexp_replace(text, "^﻿", "").alias("text"))
 
@@ -160,14 +168,32 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return spark.read.option("multiLine", True).json(path).first().asDict(recursive=True)
 
 
-def read_label_shards(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame:
-    """Label shards; with a manifest the record count must agree."""
+def files_sha256(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, sha256) of files, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def read_label_shards(spark: SparkSession, path: str, manifest: dict | None = None, check_hashes: bool = False) -> DataFrame:
+    """Label shards in manifest order (column shard); with a manifest the shards and their record counts must
+    agree, and with ``check_hashes`` the files' contents too."""
     rows = spark.read.parquet(path)
-    if manifest and rows.count() != manifest["record_count"]:
-        raise ValueError("label shards and manifest differ in their records")
+    if manifest:
+        found = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
+        if found != {x["shard"]: x["record_count"] for x in manifest["shards"]}:
+            raise ValueError("label shards and manifest differ in their records")
+        if check_hashes and shard_hashes(spark, path) != {x["shard"]: x["sha256"] for x in manifest["shards"]}:
+            raise ValueError("label shards and manifest differ in their contents")
     return rows
 
 
+def shard_hashes(spark: SparkSession, path: str) -> dict[int, str]:
+    """Of each shard the hash of its files' hashes, in the files' order."""
+    files = files_sha256(spark, path, "*.parquet").withColumn("shard", F.regexp_extract("path", "shard=([0-9]+)", 1).cast("bigint"))
+    whole = files.groupBy("shard").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"]), ""), 256).alias("sha256"))
+    return {r["shard"]: r["sha256"] for r in whole.collect()}
+
+
 def read_catalog(spark: SparkSession, path: str, kind: str = "Text", language: str = "en") -> DataFrame:
     """Ids of a book catalogue's texts of one language, sorted."""
     rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)

@@ -116,7 +116,7 @@ def test_temperature_recovers_the_scale(spark):
 
 def test_silver_filter(spark):
     rows = [("d", s, i, 1, 0.95, 1, 0.99, 1 if ok else 2, 1) for s, oks in ((0, [1, 1, 1, 1]), (1, [1, 0]), (2, [1, 1, 1, 0])) for i, ok in enumerate(oks)]
-    t = spark.createDataFrame(rows, "document_id string, sentence_index int, tok_idx int, upos_id int, upos_confidence double, rule_id int, lemma_confidence double, agreed_upos_id int, agreed_rule_id int")
+    t = spark.createDataFrame(rows, "document_id string, sentence_index int, tok_idx int, upos_id int, upos_confidence double, rule_id int, lemma_confidence double, agreed_upos_id int, agreed_rule_id int").selectExpr("*", "0.99D as morphology_confidence", "cast(null as boolean) as morphology_agrees")
     assert {r["sentence_index"]: r["keep"] for r in probability.silver_filter(t).collect()} == {0: True, 1: False, 2: True}
     assert probability.silver_report(probability.silver_filter(t.limit(0))).first()["sentences"] == 0
 

@@ -84,10 +84,25 @@ def test_offsets(spark):
     assert [ranges.utf8_offset(text, u) for u in (0, 1, 3, 4)] == [0, 1, 5, 7]
     with pytest.raises(ValueError):
         ranges.utf8_offset(text, 2)
-    d = spark.createDataFrame([(text, b) for b in (0, 1, 2, 5, 7, 9)], "t string, b int")
-    assert [r[0] for r in d.select(X.utf8_to_utf16(F.col("t"), F.col("b"))).collect()] == [0, 1, None, 3, 4, None]
-    d = spark.createDataFrame([(text, u) for u in (0, 1, 2, 3, 4)], "t string, u int")
-    assert [r[0] for r in d.select(X.utf16_to_utf8(F.col("t"), F.col("u"))).collect()] == [0, 1, None, 5, 7]
+    d = spark.createDataFrame([(text, b) for b in (0, 1, 5, 7)] + [(None, 1), (text, None)], "t string, b int")
+    assert [r[0] for r in d.select(X.utf8_to_utf16(F.col("t"), F.col("b"))).collect()] == [0, 1, 3, 4, None, None]
+    d = spark.createDataFrame([(text, u) for u in (0, 1, 3, 4)] + [(None, 1), (text, None)], "t string, u int")
+    assert [r[0] for r in d.select(X.utf16_to_utf8(F.col("t"), F.col("u"))).collect()] == [0, 1, 5, 7, None, None]
+    for change, at in ((X.utf8_to_utf16, 2), (X.utf8_to_utf16, 9), (X.utf8_to_utf16, -1), (X.utf16_to_utf8, 2), (X.utf16_to_utf8, 5)):
+        with pytest.raises(Exception, match="no character boundary"):
+            spark.createDataFrame([(text, at)], "t string, a int").select(change(F.col("t"), F.col("a"))).collect()
+
+
+@pytest.mark.parametrize("name, profile, sentences, tokens", [("bokmaal", "norwegian", 55, 905), ("nynorsk", "norwegian", 41, 803), ("english", "english", 51, 788)])
+def test_whole_texts(spark, name, profile, sentences, tokens):
+    from pathlib import Path
+
+    from nordlys.profiles import PROFILES
+
+    text = (Path(__file__).parent / "data" / f"{name}.txt").read_text(encoding="utf-8")
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for rows in (seg.segment(docs, PROFILES[profile].policy(), "doc_id"), ranges.segment_with_ranges(docs, PROFILES[profile].policy())):
+        assert rows.agg(F.count("*"), F.sum(F.size("tokens"))).first()[:] == (sentences, tokens)
 
 
 def test_range_checks(spark):

@@ -97,10 +97,14 @@ def test_silver_files(spark, tmp_path):
     assert readers.read_manifest(spark, str(tmp_path / "c/manifest"))["corpus_id"] == "x"
     with pytest.raises(ValueError):
         sinks.write_corpus(s.limit(0), str(tmp_path / "e"), {})
-    m = sinks.write_label_shards(s, str(tmp_path / "l"), 1)
-    assert m["shard_count"] == 2 and readers.read_label_shards(spark, str(tmp_path / "l"), m).count() == 2
-    with pytest.raises(ValueError):
-        readers.read_label_shards(spark, str(tmp_path / "l"), {"record_count": 5})
+    with pytest.raises(FileExistsError):
+        sinks.write_corpus(s, str(tmp_path / "c"), {"corpus_id": "y"}, "json")
+    m = sinks.write_label_shards(s, str(tmp_path / "l"), 1, {"teacher": "t"})
+    assert m["shard_count"] == 2 and m["teacher"] == "t" and readers.read_label_shards(spark, str(tmp_path / "l/data"), m, check_hashes=True).count() == 2
+    changed = {**m, "shards": [{**x, "sha256": "0" * 64} for x in m["shards"]]}
+    for wrong, hashes in (({**m, "shards": m["shards"][:1]}, False), (changed, True)):
+        with pytest.raises(ValueError):
+            readers.read_label_shards(spark, str(tmp_path / "l/data"), wrong, hashes)
     (tmp_path / "bad.json").write_text('{"document_id": 3, "tokens": "x"}\n')
     with pytest.raises(Exception):
         readers.read_silver(spark, str(tmp_path / "bad.json")).collect()

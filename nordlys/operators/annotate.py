@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
@@ -34,6 +35,9 @@ class Labels:
     rules: tuple[tuple[int, int, str, str], ...]
 
 
+#: Sentences whose scores are held together.
+TOGETHER = 2048
+
 SCORED = "array<struct<u:array<double>,m:map<string,array<double>>,li:array<int>,lp:array<double>>>"
 
 
@@ -41,12 +45,11 @@ def score_sentences(sentences: DataFrame, keys: list[str], factory: Callable[[],
     """Adds ``scores`` (one struct a token) to rows of ``keys`` and tokens."""
     slim = sentences.select(*keys, "tokens", "has_space_before")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields) + f", scores {SCORED}"
-    kind = pa.list_(pa.struct([("u", pa.list_(pa.float64())), ("m", pa.map_(pa.string(), pa.list_(pa.float64()))), ("li", pa.list_(pa.int32())), ("lp", pa.list_(pa.float64()))]))
     place = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = factory()
-        for b in batches:
+        for b in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)):
             tokens = b.column(place).to_pylist()
             order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
             out: list = [None] * len(tokens)
@@ -55,12 +58,27 @@ def score_sentences(sentences: DataFrame, keys: list[str], factory: Callable[[],
                 for i, scored in zip(some, scorer([tokens[i] for i in some]), strict=True):
                     if len(scored) != len(tokens[i]):
                         raise ValueError("a scorer must give one score a token")
-                    out[i] = [{"u": u, "m": list(m.items()), "li": li, "lp": lp} for u, m, li, lp in scored]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, "scores"])
+                    out[i] = scored
+            yield pa.RecordBatch.from_arrays([*b.columns, _score_array(out)], [*b.schema.names, "scores"])
 
     return slim.mapInArrow(run, schema)
 
 
+def _lists(lengths: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(lengths)], pa.int32()), values)
+
+
+def _score_array(scored: list[list[tuple]]) -> pa.ListArray:
+    """The scores of sentences as one nested array, put together from flat columns."""
+    flat = [t for sentence in scored for t in sentence]
+    floats = lambda parts: _lists([len(p) for p in parts], pa.array([x for p in parts for x in p], pa.float64()))
+    names = [n for _, m, _, _ in flat for n in m]
+    features = pa.MapArray.from_arrays(pa.array([0, *accumulate(len(m) for _, m, _, _ in flat)], pa.int32()), pa.array(names, pa.string()), floats([p for _, m, _, _ in flat for p in m.values()]))
+    rules = _lists([len(li) for _, _, li, _ in flat], pa.array([x for _, _, li, _ in flat for x in li], pa.int32()))
+    fields = [floats([u for u, _, _, _ in flat]), features, rules, floats([lp for _, _, _, lp in flat])]
+    return _lists([len(s) for s in scored], pa.StructArray.from_arrays(fields, ["u", "m", "li", "lp"]))
+
+
 def top_rules(score: Column, k: int) -> Column:
     """The likeliest lemma rules of a token's score: (id, p), likeliest first."""
     return V.top_k(score["li"], score["lp"], k)

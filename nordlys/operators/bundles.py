@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nordlys.functions.text import feature_bundle
+from nordlys.operators.corpus import reindexed
 from nordlys.session import materialize, small
 
 
@@ -66,19 +69,40 @@ def error_audit(errors: DataFrame) -> DataFrame:
     return errors.select(F.inline(rows)).groupBy("dimension", "key").agg(F.count("*").alias("n"))
 
 
+def ranked_counts(audit: DataFrame) -> DataFrame:
+    """The audit's counts with their place in their dimension: most first, then by key (no dimension is one task)."""
+    placed = reindexed(audit.withColumn("_fewest", -F.col("n")), "dimension", "_fewest", "key", name="rank")
+    return placed.withColumn("rank", F.col("rank") + 1).drop("_fewest")
+
+
 def compare_systems(triples: DataFrame, systems: tuple[str, str], features: tuple[str, ...]) -> DataFrame:
     """(system, feature, slice): annotated and correct tokens of two systems against gold, overall and by frequency class.
 
     ``triples`` has gold ``g``, the systems' annotation structs and ``freq_class``.
     """
     value = lambda side, f: F.coalesce(F.try_element_at(F.col(f"{side}.features"), F.lit(f)), F.lit("<NONE>"))
-    rows = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(f).alias("feature"), value("g", f).alias("gold"), value(s, f).alias("found"), (feature_bundle(F.col("g.features")) == feature_bundle(F.col(f"{s}.features"))).alias("bundle_right")) for s in systems for f in features])
-    long = triples.select(F.array(F.lit("all"), F.col("freq_class")).alias("slices"), F.explode(rows).alias("r")).select(F.explode("slices").alias("slice"), "r.*")
-    right = F.col("gold") == F.col("found")
-    return long.groupBy("system", "feature", "slice").agg(
-        F.count("*").alias("tokens"), F.count_if(right).alias("correct"), F.count_if(F.col("gold") != "<NONE>").alias("annotated"), F.count_if((F.col("gold") != "<NONE>") & right).alias("annotated_correct"),
-        F.count_if(~right & ~F.col("bundle_right")).alias("wrong_bundle_and_feature"), F.count_if(right & ~F.col("bundle_right")).alias("wrong_bundle_only"),
-    )
+    # What each token says of every system and feature, so that a slice is counted in one pass without a row for each.
+    gold = feature_bundle(F.col("g.features"))
+    facts = [value("g", f).alias(f"g_{f}") for f in features] + [(gold == feature_bundle(F.col(f"{s}.features"))).alias(f"b_{s}") for s in systems]
+    facts += [(value("g", f) == value(s, f)).alias(f"r_{s}_{f}") for s in systems for f in features]
+    long = triples.select(F.explode(F.array(F.lit("all"), F.col("freq_class"))).alias("slice"), *facts)
+    counts = []
+    for s in systems:
+        for f in features:
+            right, annotated, bundle = F.col(f"r_{s}_{f}"), F.col(f"g_{f}") != "<NONE>", F.col(f"b_{s}")
+            counts.append(F.struct(
+                F.lit(s).alias("system"), F.lit(f).alias("feature"), F.count("*").alias("tokens"), F.count_if(right).alias("correct"), F.count_if(annotated).alias("annotated"),
+                F.count_if(annotated & right).alias("annotated_correct"), F.count_if(~right & ~bundle).alias("wrong_bundle_and_feature"), F.count_if(right & ~bundle).alias("wrong_bundle_only"),
+            ))
+    return long.groupBy("slice").agg(F.array(*counts).alias("_c")).select("slice", F.inline("_c"))
+
+
+def compare_values(triples: DataFrame, systems: tuple[str, ...]) -> DataFrame:
+    """(system, feature, value, tp, fp, fn): each system's values of every feature against gold."""
+    from nordlys.operators.evaluation import feature_counts
+
+    each = [feature_counts(triples.select("g", F.col(s).alias("s"))).withColumn("system", F.lit(s)) for s in systems]
+    return reduce(DataFrame.unionByName, each)
 
 
 def score_candidates(tokens: DataFrame, candidates: DataFrame, upos: DataFrame, labels: dict[str, tuple[str, ...]], most: int = 4096) -> DataFrame:

@@ -222,10 +222,10 @@ def _classed(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.with_frequency_class(p.withColumn("form", F.col("g.form")), profile)
 
 
-@query(_ERR + """ SELECT dimension, key, count(*) AS n FROM (SELECT unnest(['gold_upos', 'predicted_upos', 'form', 'confusion', 'context', 'freq_class']) AS dimension, unnest([gu, su, form, gv || ' > ' || sv, pu || ' ' || gu || ' ' || nu, fc]) AS key FROM er) GROUP BY 1, 2""")
+@query(_ERR + """ SELECT dimension, key, count(*) AS n, row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, key)::INT AS rank FROM (SELECT unnest(['gold_upos', 'predicted_upos', 'form', 'confusion', 'context', 'freq_class']) AS dimension, unnest([gu, su, form, gv || ' > ' || sv, pu || ' ' || gu || ' ' || nu, fc]) AS key FROM er) GROUP BY 1, 2""")
 def error_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of one feature (Number) by every dimension, in one pass."""
-    return bundles.error_audit(bundles.feature_errors(_classed(spark, sf), "Number"))
+    return bundles.ranked_counts(bundles.error_audit(bundles.feature_errors(_classed(spark, sf), "Number")))
 
 
 @query(_ERR + """, t AS (SELECT gv || ' > ' || sv AS name, count(*) AS errors FROM er GROUP BY 1) SELECT name, errors, round(errors / sum(errors) OVER (), 6) AS share FROM t""")
@@ -244,6 +244,14 @@ def feature_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.compare_systems(t, ("system", "plain"), ("Number", "Gender"))
 
 
+@query(_FC + """, pk AS (SELECT feature, unnest(g) AS value FROM ls), pl AS (SELECT feature, value, 0 AS tp, 0 AS fp, count(*) AS fn FROM pk GROUP BY 1, 2)
+SELECT 'system' AS system, feature, value, tp, fp, fn FROM fc UNION ALL SELECT 'plain', feature, value, tp, fp, fn FROM pl""")
+def feature_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Both systems' true and false positives and false negatives by value."""
+    t = inputs.pairs(spark, sf).withColumn("system", F.col("s")).withColumn("plain", F.col("s").withField("features", F.create_map().cast("map<string,string>")))
+    return bundles.compare_values(t, ("system", "plain")).select("system", "feature", "value", "tp", "fp", "fn")
+
+
 # --- scores (embeddings as logits)
 
 _Z = "WITH z AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE * 10) AS z, list_transform(embedding[9:16], lambda x: x::DOUBLE * 10) AS t, (vec_id % 8)::INT AS label FROM embeddings), e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS ez, list_transform(t, lambda x: exp(x - list_max(t))) AS et FROM z), p AS (SELECT *, list_transform(ez, lambda x: x / list_sum(ez)) AS p, list_transform(et, lambda x: x / list_sum(et)) AS q FROM e)"

@@ -218,9 +218,9 @@ def gold_union(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.gold_fingerprints(*splits).agg(F.count("*").alias("gold"))
 
 
-@query(_seg(True) + r""", w AS (SELECT unnest(list_transform(toks, lambda x: x.token)) AS w FROM mk WHERE len(toks) > 0)
+@query(_seg(True) + r""", wd AS (SELECT unnest(list_transform(toks, lambda x: x.token)) AS w FROM mk WHERE len(toks) > 0)
 SELECT CASE WHEN regexp_matches(w, '^\p{Nd}') THEN 'NUM' WHEN regexp_matches(w, '^\p{Lu}') THEN 'PROPN' WHEN regexp_matches(w, '[\p{L}\p{N}]') THEN 'NOUN' ELSE 'PUNCT' END AS upos,
-  CASE WHEN regexp_matches(w, '(er|ene)$') THEN 'Plur' ELSE 'Sing' END AS number, (length(w) - length(CASE WHEN regexp_matches(w, '(er|ene)$') THEN left(w, length(w) - 2) ELSE w END))::INT AS shorter, count(*) AS n FROM w GROUP BY 1, 2, 3""")
+  CASE WHEN regexp_matches(w, '(er|ene)$') THEN 'Plur' ELSE 'Sing' END AS number, (length(w) - length(CASE WHEN regexp_matches(w, '(er|ene)$') THEN left(w, length(w) - 2) ELSE w END))::INT AS shorter, count(*) AS n FROM wd GROUP BY 1, 2, 3""")
 def annotate_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The whole tagging path with the model-free scorer, counted by what it decodes."""
     a = label_queries.annotate_documents(spark, sf)

@@ -176,7 +176,8 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = bpe.VOCABULARY, size: i
     totals = placed.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(small(goal), "source").collect()
     quota = quotas({r["source"]: r["n"] for r in totals}, {r["source"]: r["target_weight"] or 0 for r in totals}, {r["source"]: r["max_repeats"] or 0 for r in totals}, size)
     slots = slot_table(docs, draw(quota, shard_number(quota)))
-    return slots.join(block_records(placed, size), ["source", "block"]), goal
+    # Spark takes the slots for as small as the rows they are made from, and would send them all to the driver as a broadcast.
+    return slots.hint("merge").join(block_records(placed, size), ["source", "block"]), goal
 
 
 def shares(spans: DataFrame, goal: DataFrame) -> DataFrame:

@@ -36,3 +36,12 @@ def test_shares_and_caps(spark):
     assert sum(r["used_tokens"] for r in chosen) == sum(r["tokens"] for r in report.values())
     assert all(r["used_tokens"] <= r["n_tokens"] * report[r["source"]]["max_repeats"] for r in chosen)
     assert mixing.mix(docs.limit(0), goal)[0].count() == 0
+
+
+def test_slots_are_not_broadcast(spark):
+    """They grow with the corpus, though the rows they are made from don't."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('ord og tall ', 50) AS text", "'stor' AS source")
+    spans, _ = mixing.mix(docs, spark.createDataFrame([("stor", 1.0, 2)], "source string, target_weight double, max_repeats int"), size=1)
+    rows = spans.collect()
+    assert len(rows) == 2 * spans.select("source", "block").distinct().count() > 100_000
+    assert "Broadcast" not in spans._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 Repairs (restored spaces, joined lines, dropped hyphens) break the one-to-one
 relation of text and bytes, so the text is carried as code points with their
-bytes.  That is sequential by nature and runs in Arrow batches.
+places.  That is sequential by nature and runs in Arrow batches.
 
 Ranges are half-open UTF-8 byte ranges into the exact input.
 """
@@ -10,9 +10,12 @@ Ranges are half-open UTF-8 byte ranges into the exact input.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,70 +26,78 @@ from nordlys.session import enough_tasks
 
 RANGE = "array<struct<start:bigint,end:bigint>>"
 SCHEMA = f"sentence_index int, tokens array<string>, has_space_before array<boolean>, token_ranges array<{RANGE}>, sentence_ranges {RANGE}"
+#: Tokens whose rows a task holds before they are handed on.
+TOGETHER = 1 << 15
 
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|[^\s@]+@[^\s@]+\.\w+|\d+(?:[.,:/\-]\d+)*|\w+(?:\.\w+)+\.?|\w+(?:[-'’]\w+)*|\S")
 _MISSING = re.compile(r"(?<=[a-zæøå])[.!?…](?=[A-ZÆØÅ" + re.escape(OPENING) + "])")
 
 
 class Tracked:
-    """A string whose characters know their bytes; a made-up space has an empty range."""
+    """A string whose characters know their place in the input; a blank that was made has any place, since no token holds one."""
 
-    __slots__ = ("text", "spans")
+    __slots__ = ("text", "places", "offsets")
 
-    def __init__(self, text: str, spans: list[tuple[int, int]]) -> None:
-        self.text, self.spans = text, spans
+    def __init__(self, text: str, places: array, offsets: Sequence[int]) -> None:
+        self.text, self.places, self.offsets = text, places, offsets
 
     @classmethod
     def of(cls, text: str) -> Tracked:
-        spans, at = [], 0
-        for ch in text:
-            n = len(ch.encode("utf-8", "surrogatepass"))
-            spans.append((at, at + n))
-            at += n
-        return cls(text, spans)
+        offsets: Sequence[int] = range(len(text) + 1)
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            sizes = 1 + (codes > 0x7F).astype("int64") + (codes > 0x7FF) + (codes > 0xFFFF)
+            offsets = array("q", np.concatenate([[0], np.cumsum(sizes)]).astype("int64").tobytes())
+        return cls(text, array("q", np.arange(len(text), dtype="int64").tobytes()), offsets)
 
     def cut(self, a: int, b: int) -> Tracked:
-        return Tracked(self.text[a:b], self.spans[a:b])
+        return Tracked(self.text[a:b], self.places[a:b], self.offsets)
 
     def with_missing_spaces(self) -> Tracked:
-        out, spans, at = [], [], 0
+        out, places, at = [], array("q"), 0
         for m in _MISSING.finditer(self.text):
             out += [self.text[at : m.end()], " "]
-            spans += [*self.spans[at : m.end()], (self.spans[m.end() - 1][1],) * 2]
+            places += self.places[at : m.end()]
+            places.append(-1)
             at = m.end()
-        return Tracked("".join([*out, self.text[at:]]), [*spans, *self.spans[at:]])
+        return Tracked("".join([*out, self.text[at:]]), places + self.places[at:], self.offsets) if at else self
 
 
 def paragraphs(whole: Tracked) -> Iterator[Tracked]:
-    """Wrapped lines joined; each run of space is one tracked blank."""
-    text, spans = "", []
+    """Wrapped lines joined; each run of space is one blank."""
+    parts, places = [], array("q")
     at = 0
     for line in whole.text.split("\n"):
-        words = [(m.start() + at, m.end() + at) for m in re.finditer(r"\S+", line)]
-        at += len(line) + 1
-        if not words:
-            if text:
-                yield Tracked(text, spans)
-            text, spans = "", []
+        begin, at = at, at + len(line) + 1
+        tidy = " ".join(line.split())
+        if not tidy:
+            if parts:
+                yield Tracked("".join(parts), places, whole.offsets)
+            parts, places = [], array("q")
             continue
-        tidy, own = "", []
-        for k, (a, b) in enumerate(words):
-            if k:
-                tidy += " "
-                own.append((whole.spans[words[k - 1][1]][0], whole.spans[a - 1][1]))
-            tidy += whole.text[a:b]
-            own += whole.spans[a:b]
-        if text and text[-1] not in TERMINAL + ":" and tidy[0].islower():
-            if text.endswith("-"):
-                text, spans = text[:-1] + tidy, spans[:-1] + own
+        if tidy == line:
+            own = whole.places[begin : begin + len(line)]
+        else:
+            own = array("q")
+            for m in re.finditer(r"\S+", line):
+                if own:
+                    own.append(-1)
+                own += whole.places[begin + m.start() : begin + m.end()]
+        if parts and parts[-1][-1] not in TERMINAL + ":" and tidy[0].islower():
+            if parts[-1].endswith("-"):
+                parts[-1] = parts[-1][:-1]
+                places.pop()
             else:
-                text, spans = f"{text} {tidy}", [*spans, (spans[-1][1], own[0][0]), *own]
+                parts.append(" ")
+                places.append(-1)
+            parts.append(tidy)
+            places += own
         else:
-            if text:
-                yield Tracked(text, spans)
-            text, spans = tidy, own
-    if text:
-        yield Tracked(text, spans)
+            if parts:
+                yield Tracked("".join(parts), places, whole.offsets)
+            parts, places = [tidy], own
+    if parts:
+        yield Tracked("".join(parts), places, whole.offsets)
 
 
 def sentences(p: Tracked, policy: Policy) -> Iterator[Tracked]:
@@ -104,20 +115,25 @@ def sentences(p: Tracked, policy: Policy) -> Iterator[Tracked]:
         yield p.cut(begin, len(p.text))
 
 
-def tokens(s: Tracked, policy: Policy) -> list[tuple[str, bool, list[tuple[int, int]]]]:
-    raw = [m.span() for m in _TOKEN.finditer(s.text)]
-    out, i, last = [], 0, None
-    while i < len(raw):
-        a, b = raw[i]
-        word = s.text[a:b]
-        touching = i + 1 < len(raw) and s.text[slice(*raw[i + 1])] == "." and raw[i + 1][0] == b
-        if touching and (word.lower() + "." in policy.abbreviations or word.isdigit() and len(word) <= 3 and i + 2 < len(raw)):
-            b = raw[i + 1][1]
-            i += 1
-        out.append((s.text[a:b], last is not None and last < a, coalesce(s.spans[a:b])))
+def tokens(s: Tracked, policy: Policy) -> tuple[list[str], list[bool], list[list[tuple[int, int]]]]:
+    """The tokens, whether space is before them, and their ranges; no token holds a made-up blank."""
+    text, places, offsets = s.text, s.places, s.offsets
+    raw = [m.span() for m in _TOKEN.finditer(text)]
+    words, spaces, ranges, last, taken = [], [], [], -1, False
+    for i, (a, b) in enumerate(raw):
+        if taken:
+            taken = False
+            continue
+        if i + 1 < len(raw) and text[b] == "." and raw[i + 1] == (b, b + 1):
+            word = text[a:b]
+            if word.lower() + "." in policy.abbreviations or word.isdigit() and len(word) <= 3 and i + 2 < len(raw):
+                b, taken = b + 1, True
+        begin, end = places[a], places[b - 1] + 1
+        words.append(text[a:b])
+        spaces.append(-1 < last < a)
+        ranges.append([(offsets[begin], offsets[end])] if end - begin == b - a else coalesce([(offsets[c], offsets[c + 1]) for c in places[a:b]]))
         last = b
-        i += 1
-    return out
+    return words, spaces, ranges
 
 
 def coalesce(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,6 +152,8 @@ def coalesce(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def bridge(fragments: list[tuple[int, int]], raw: bytes) -> list[tuple[int, int]]:
     """Fragments with nothing but white space between them become one range."""
     out: list[tuple[int, int]] = []
+    if fragments and len(b"".join(raw[fragments[0][0] : fragments[-1][1]].split())) == sum([b - a for a, b in fragments]):
+        return [(fragments[0][0], fragments[-1][1])]
     for a, b in fragments:
         if out and not raw[out[-1][1] : a].decode("utf-8", "replace").strip():
             out[-1] = (out[-1][0], b)
@@ -144,36 +162,74 @@ def bridge(fragments: list[tuple[int, int]], raw: bytes) -> list[tuple[int, int]
     return out
 
 
-def map_text(text: str | None, policy: Policy) -> list[tuple]:
-    """(tokens, spaces, token ranges, sentence ranges) of each sentence or chunk."""
-    out, raw = [], (text or "").encode("utf-8", "surrogatepass")
+def mapped(text: str | None, policy: Policy) -> Iterator[tuple]:
+    """(tokens, spaces, token ranges, sentence ranges) of each sentence or chunk, one after the other."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
     for p in paragraphs(Tracked.of(text or "").with_missing_spaces()):
         for s in sentences(p, policy):
-            found = tokens(s, policy)
-            for k in range(0, len(found), policy.maximum_tokens):
-                part = found[k : k + policy.maximum_tokens]
-                own = [r for _, _, ranges in part for r in ranges]
-                out.append(([t for t, _, _ in part], [i > 0 and sp for i, (_, sp, _) in enumerate(part)], [r for _, _, r in part], bridge(own, raw)))
-    return out
+            words, spaces, ranges = tokens(s, policy)
+            for k in range(0, len(words), policy.maximum_tokens):
+                end = k + policy.maximum_tokens
+                yield words[k:end], [False, *spaces[k + 1 : end]], ranges[k:end], bridge(list(chain.from_iterable(ranges[k:end])), raw)
 
 
-def segment_with_ranges(docs: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runtime segmentation with byte ranges of tokens and sentences; null texts give no rows."""
+def map_text(text: str | None, policy: Policy) -> list[tuple]:
+    """All that ``mapped`` gives."""
+    return list(mapped(text, policy))
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype="int64")]), pa.int32()), values)
+
+
+def _pairs(ranges: list[tuple[int, int]]) -> pa.Array:
+    both = np.fromiter(chain.from_iterable(ranges), "int64", 2 * len(ranges)).reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"])
+
+
+def _batch(keys: pa.Array, rows: list[tuple], key: str, raw: bool) -> pa.RecordBatch:
+    """Arrow columns of rows (place of the key, sentence_index, tokens, spaces, token ranges, sentence ranges, bytes), without an object a range."""
+    at, index, toks, spaces, token_ranges, sentence_ranges, bytes_ = zip(*rows)
+    words = list(map(len, toks))
+    of_tokens = list(chain.from_iterable(token_ranges))
+    columns = {
+        key: keys.take(pa.array(at, pa.int64())),
+        "sentence_index": pa.array(index, pa.int32()),
+        "tokens": _lists(words, pa.array(list(chain.from_iterable(toks)), pa.string())),
+        "has_space_before": _lists(words, pa.array(list(chain.from_iterable(spaces)), pa.bool_())),
+        "token_ranges": _lists(words, _lists(list(map(len, of_tokens)), _pairs(list(chain.from_iterable(of_tokens))))),
+        "sentence_ranges": _lists(list(map(len, sentence_ranges)), _pairs(list(chain.from_iterable(sentence_ranges)))),
+    }
+    return pa.RecordBatch.from_pydict(columns | ({"raw": pa.array(bytes_, pa.binary())} if raw else {}))
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], policy: Policy, key: str, raw: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of batches of keys and texts, those of about ``TOGETHER`` tokens at a time however many texts a batch holds."""
+    for batch in batches:
+        keys, texts = batch.columns
+        rows, n = [], 0
+        for at in range(batch.num_rows):
+            text = texts[at].as_py()
+            whole = text.encode("utf-8") if raw and text else b""
+            for i, row in enumerate(mapped(text, policy)):
+                own = row[2]
+                rows.append((at, i, *row, whole[own[0][0][0] : own[-1][-1][1]]))
+                n += len(own)
+                if n >= TOGETHER:
+                    yield _batch(keys, rows, key, raw)
+                    rows, n = [], 0
+        if rows:
+            yield _batch(keys, rows, key, raw)
+
+
+def segment_with_ranges(docs: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text", raw: bool = False) -> DataFrame:
+    """Runtime segmentation with byte ranges of tokens and sentences; null texts give no rows.
+
+    With ``raw`` each row has the input's bytes from its first token to its last.
+    """
     slim = enough_tasks(docs.select(key, text), key)
     kind = slim.schema[key].dataType.simpleString()
-    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def struct(ranges: list[tuple[int, int]]) -> list[dict]:
-        return [{"start": a, "end": b} for a, b in ranges]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(doc, i, t, sp, [struct(r) for r in tr], struct(sr)) for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, (t, sp, tr, sr) in enumerate(map_text(x, policy))]
-            if rows:
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pair), pair]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [key, "sentence_index", "tokens", "has_space_before", "token_ranges", "sentence_ranges"])
-
-    return slim.mapInArrow(run, f"{key} {kind}, {SCHEMA}")
+    return slim.mapInArrow(lambda batches: in_parts(batches, policy, key, raw), f"{key} {kind}, {SCHEMA}" + ", raw binary" * raw)
 
 
 def clip(ranges: Column, start: Column, end: Column) -> Column:
@@ -184,7 +240,9 @@ def clip(ranges: Column, start: Column, end: Column) -> Column:
 def ranges_valid(tokens_: Column, token_ranges: Column) -> Column:
     """One list a token; every range non-empty, ordered, and none overlapping another of the sentence."""
     flat = F.flatten(token_ranges)
-    ordered = F.forall(F.sequence(F.lit(1), F.greatest(F.size(flat) - 1, F.lit(1))), lambda i: (F.size(flat) < 2) | (F.get(flat, i - 1)["end"] <= F.get(flat, i)["start"]))
+    # Neighbours as two arrays: within a lambda the flat array would be made anew for every range.
+    rest = F.greatest(F.size(flat) - 1, F.lit(0))
+    ordered = F.forall(F.zip_with(F.slice(flat, 1, rest), F.slice(flat, 2, rest), lambda x, y: x["end"] <= y["start"]), lambda x: x)
     return (F.size(tokens_) == F.size(token_ranges)) & F.forall(flat, lambda r: r["start"] < r["end"]) & ordered
 
 

@@ -32,12 +32,12 @@ def query(sql: str | None = None):
 SELECT doc_id, sum(k)::BIGINT AS sentences, sum(len(toks))::BIGINT AS tokens, true AS spelled, true AS valid FROM ch GROUP BY 1""")
 def ranges_check(spark: SparkSession, sf: str) -> DataFrame:
     """Byte ranges: sentences and tokens of each document, whether every token is spelled by its bytes and all ranges are in order."""
-    docs = table(spark, sf, "documents")
-    found = ranges.segment_with_ranges(docs, inputs.policy(spark, sf))
-    raw = docs.filter("text is not null").select(F.col("doc_id").alias("_doc"), F.encode("text", "UTF-8").alias("_raw"))
-    piece = lambda r: F.decode(F.substring("_raw", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")), "UTF-8")
-    spelled = F.forall(F.arrays_zip(F.col("tokens").alias("t"), F.col("token_ranges").alias("r")), lambda x: F.array_join(F.transform(x["r"], piece), "") == x["t"])
-    rows = found.join(raw, F.col("doc_id") == F.col("_doc")).select("doc_id", F.size("tokens").alias("n"), spelled.alias("s"), ranges.ranges_valid(F.col("tokens"), F.col("token_ranges")).alias("v"))
+    found = ranges.segment_with_ranges(table(spark, sf, "documents"), inputs.policy(spark, sf), raw=True)
+    base = F.col("token_ranges")[0][0]["start"]
+    piece = lambda r: F.substring("raw", (r["start"] - base + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
+    # A sentence's bytes come with it: joined with the documents, every sentence would carry a whole text.
+    spelled = F.forall(F.zip_with("tokens", "token_ranges", lambda t, r: F.array_join(F.transform(r, lambda x: F.decode(piece(x), "UTF-8")), "") == t), lambda x: x)
+    rows = found.select("doc_id", F.size("tokens").alias("n"), spelled.alias("s"), ranges.ranges_valid(F.col("tokens"), F.col("token_ranges")).alias("v"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("n").cast("bigint").alias("tokens"), F.bool_and("s").alias("spelled"), F.bool_and("v").alias("valid"))
 
 

@@ -120,3 +120,30 @@ def test_profiles():
     assert (len(profile_of("nn").abbreviations), len(profile_of("en").abbreviations)) == (42, 71)
     with pytest.raises(ValueError):
         profile_of("nb", "en")
+
+
+def test_ranges_come_in_parts():
+    """However many texts an Arrow batch holds, a task keeps the rows of a bounded number of tokens."""
+    import pyarrow as pa
+
+    text = "Blåbær smaker godt, sa hun. Dette er språk-\nmodellen til laget."
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, 12_000)], pa.int64()), "text": [None if i == 5 else text for i in range(12_000)]})
+    parts = list(ranges.in_parts(iter([batch]), RUNTIME, "doc_id", True))
+    assert max(sum(len(t) for t in p.column("tokens")) for p in parts) < ranges.TOGETHER + RUNTIME.maximum_tokens
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in rows[::2]] == [None, *(i for i in range(1, 12_000) if i != 5)] and len(rows) == 2 * 11_999
+    for r in rows[:4] + rows[-2:]:
+        base = r["token_ranges"][0][0]["start"]
+        assert r["tokens"] == [b"".join(r["raw"][x["start"] - base : x["end"] - base] for x in t).decode() for t in r["token_ranges"]]
+        assert (r["tokens"], r["has_space_before"], [[(x["start"], x["end"]) for x in t] for t in r["token_ranges"]]) == ranges.map_text(text, RUNTIME)[r["sentence_index"]][:3]
+
+
+def test_ranges_check_joins_nothing(spark, tmp_path):
+    """No text goes with each of its sentences, or through the driver; a document without a key counts, as in SQL."""
+    from nordlys.plans import check_queries
+
+    spark.createDataFrame([(1, "Katten sov. Hunden sov."), (None, "Hun kom.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(["f.eks."],)], "abbreviation_tokens array<string>").write.parquet(str(tmp_path / "segmentation_policy.parquet"))
+    found = check_queries.ranges_check(spark, str(tmp_path))
+    assert sorted(found.collect(), key=str) == [(1, 2, 6, True, True), (None, 1, 3, True, True)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

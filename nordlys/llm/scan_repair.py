@@ -17,9 +17,10 @@ line and page breaks and reflowed.
 The vocabulary holds all words that occur at least twice in the clean corpus and
 those of the scans, at least five times, that are no reading of others.  It grows
 with the corpus's words and is broadcast, like the counts of the word pairs that
-a reading and its candidates make with their neighbours; its trie keeps only the
-branchings.  Pages are handled in blocks of a work's page numbers with a margin
-(a page without a number by itself), so no task holds a whole work.
+a reading and its candidates make with their neighbours (8 bytes for each pair
+looked for); its trie keeps only the branchings.  Pages are handled in blocks of a
+work's page numbers with a margin (a page without a number by itself), so no task
+holds a whole work.
 
 Defined results
 ---------------
@@ -40,7 +41,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -55,8 +58,8 @@ BLOCK, MARGIN = 32, 6
 MOST, EDIT_COST, ONE_EDIT, TWO_EDITS = 4, 3, 4, 10
 #: Times a true word is as frequent as its misreading at least, both counted in the scans.
 OFTENER = 20
-#: Bytes of the scans behind a task.
-TASK_BYTES = 16 << 20
+#: Bytes of the scans behind a task, and of the texts parted at once.
+TASK_BYTES, PIECE_BYTES = 16 << 20, 8 << 20
 
 # Readings of scanning and what they stand for.
 CONFUSIONS = (
@@ -252,10 +255,53 @@ def pair_key(left: str, right: str) -> int:
     return xxh64_intdigest(f"{left}\0{right}") >> 1
 
 
+#: What parts words in the texts and scans; in the vocabulary a ``!`` does too.
+_PARTING = " \t\n\x0b\f\r.,;:?()«»\"–—…„“”‚‘’[]/*<>"
+
+
+def parted(texts: pa.Array, parting: str) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
+    """(words, places of the texts' first words) of pieces of a column.  A text that begins or ends with what parts
+    words has an empty one there."""
+    blank = np.arange(256, dtype=np.uint8)
+    wide = defaultdict(list)
+    for ch in parting:
+        first, *rest = ch.encode()
+        if rest:
+            wide[first].append(rest)
+        else:
+            blank[first] = 32
+    texts = texts.drop_null()
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE_BYTES, prepend=0))
+    for low, high in zip([0, *bounds], [*bounds, len(texts)]):
+        if low == high:
+            continue
+        piece = texts.slice(low, high - low).cast(pa.string())
+        _, ends, data = piece.buffers()
+        ends = np.frombuffer(ends, np.int32)[piece.offset : piece.offset + len(piece) + 1]
+        # Blanks take the place of each byte, so the texts' offsets stay.
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+        plain = blank[raw]
+        for first, others in wide.items():
+            at = np.flatnonzero(raw == first)
+            for rest in others:
+                hit = at[np.logical_and.reduce([raw[at + i] == x for i, x in enumerate(rest, 1)])]
+                for i in range(len(rest) + 1):
+                    plain[hit + i] = 32
+        words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(piece), pa.py_buffer(ends - ends[0]), pa.py_buffer(plain)))
+        yield words.values, words.offsets.to_numpy()[:-1]
+
+
 def vocabulary_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of the clean corpus, counted on the JVM side."""
-    words = F.explode(F.split(F.lower("text"), r"[\s.,;:?()«»\"–—…„“”‚‘’\[\]/!*<>]+")).alias("word")
-    return texts.select(words).filter("word rlike '\\\\p{L}'").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) of the clean corpus, parted and counted as Arrow columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, _ in parted(batch.column(0), _PARTING + "!"):
+                yield pa.RecordBatch.from_arrays(words.value_counts().flatten(), ["word", "n"])
+
+    counted = texts.select(F.lower("text")).mapInArrow(run, "word string, n bigint")
+    return counted.filter("word rlike '\\\\p{L}'").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def load_vocabulary(texts: DataFrame, scanned: DataFrame) -> Vocabulary:
@@ -321,14 +367,40 @@ def context_pairs(texts: DataFrame, scanned: DataFrame, known) -> dict[int, int]
     around = F.transform("_w", lambda w, i: F.struct(F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), w.alias("w"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
     found = arrays.select(F.inline(around)).join(open_, "w").select("l", "r", F.explode("options").alias("o"))
     pairs = found.select(F.inline(F.array(F.struct(F.col("l").alias("a"), F.col("o").alias("b")), F.struct(F.col("o").alias("a"), F.col("r").alias("b"))))).filter("a <> '' and b <> ''").distinct()
-    wanted = small(pairs.withColumn("k", F.xxhash64("a", "b")), derived=True)
-    n = F.size("_w") - 1
-    said = F.inline(F.arrays_zip(F.slice("_w", F.lit(1), n).alias("l"), F.slice("_w", F.lit(2), n).alias("r"))).alias("l", "r")
-    beside = texts.select(words.alias("_w")).filter("size(_w) > 1").select(said).select(F.xxhash64("l", "r").alias("k"))
-    counted = beside.join(wanted, "k").groupBy("a", "b").agg(F.count("*").alias("n"))
+    wanted = small(pairs.withColumn("k", F.xxhash64("a").bitwiseXOR(F.shiftleft(F.xxhash64("b"), 1))), derived=True)
+    counted = _said(texts, wanted.select("k")).join(wanted.select("a", "b"), ["a", "b"]).groupBy("a", "b").agg(F.sum("n").alias("n"))
     return {pair_key(r["a"], r["b"]): r["n"] for r in counted.collect()}
 
 
+def _said(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b, n): counts of the texts' neighbouring words whose key is among those wanted (8 bytes each are broadcast).
+
+    The key, made of the words' hashes, only spares rows: what comes is to be joined with the wanted words themselves.
+    """
+    known = np.sort(keys.toArrow()["k"].to_numpy().view(np.uint64))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        marks = np.zeros(1 << max(20, (4 * len(known)).bit_length()), bool)
+        last = np.uint64(len(marks) - 1)
+        marks[known & last] = True
+        for batch in batches:
+            for words, firsts in parted(batch.column(0), _PARTING):
+                coded = words.dictionary_encode()
+                codes, names = coded.indices.to_numpy(), coded.dictionary
+                hashes = np.array([xxh64_intdigest(w, seed=42) for w in names.to_pylist()], np.uint64)
+                key = hashes[codes[:-1]] ^ (hashes << np.uint64(1))[codes[1:]]
+                near = marks[key & last]
+                near[firsts[1:] - 1] = False  # the words beside one another are of two texts
+                at = np.flatnonzero(near)
+                at = at[known[np.minimum(np.searchsorted(known, key[at]), len(known) - 1)] == key[at]]
+                pairs, n = np.unique(codes[at].astype(np.int64) * len(names) + codes[at + 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(pairs // len(names))), names.take(pa.array(pairs % len(names))), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    return (texts if len(known) else texts.limit(0)).select(F.lower("text")).mapInArrow(run, "a string, b string, n bigint")
+
+
 def _frequent(texts: DataFrame, least: int) -> Iterator[tuple[str, int]]:
     """(word, n) of all words that occur so often."""
     found = vocabulary_counts(texts).filter(F.col("n") >= least).toArrow()

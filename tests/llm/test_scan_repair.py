@@ -165,3 +165,64 @@ def test_context_ranks_candidates(spark):
     assert v.truth("brxnnen", "så", "på") == "brannen" and v.truth("brxnnen", "ga", "til") is None
     two = S.Vocabulary({"tun": 50, "run": 5}, pairs={S.pair_key("et", "tun"): 9, S.pair_key("a", "run"): 3})
     assert two.truth("fun", "a", "") == "run" and two.truth("fun", "et", "") == "tun" and two.truth("fun") == "tun"
+
+
+ODD = [
+    None, "", " ", ".,»", "«Den»  gamle…losen–ved—fyret", "\x0bden\x0cgamle\tlosen\r\nved !fyret! ", "hei\x1cdu\x1f \x85 \xa0a\xa0b c\x00d", "¬«ø»å‚„“”‘’…", "İ ΑΣ ΑΣ.Α ÆØÅ",
+    "1852 !! 3,5 [a/b] <c>*d*", "\U0001f600«\U0001f600", "en", "â€“ Â«  ‐‑x", "den gamle den gamle " * 40,
+]
+
+
+def test_words_are_parted_as_by_the_expression(spark, monkeypatch):
+    """Whatever the pieces: all kinds of separators, bytes like theirs in other characters, nulls, empty texts."""
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    space = r"[ \t\n\x0b\f\r" + re.escape(S._PARTING.replace(" ", "").strip() + "!") + "]+"
+    texts = spark.createDataFrame([(t,) for t in ODD], "text string").coalesce(1)
+    sql = r"select w, count(*) n from (select explode(split(lower(text), r'[\s.,;:?()«»\"–—…„“”‚‘’\[\]/!*<>]+')) w from odd) where w rlike r'\p{L}' group by w"
+    texts.createOrReplaceTempView("odd")
+    want = {r["w"]: r["n"] for r in spark.sql(sql).collect()}
+    assert {r["word"]: r["n"] for r in S.vocabulary_counts(texts).collect()} == want and want["gamle"] == 82
+    for size in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(S, "PIECE_BYTES", size)
+        for column in (pa.array(ODD), pa.array(["x", *ODD, "y"]).slice(1, len(ODD)), pa.array(ODD, pa.large_string()), pa.array([None, None], pa.string()), pa.array([""])):
+            got = [w for words, _ in S.parted(column, S._PARTING + "!") for w in words.to_pylist()]
+            assert Counter(got) == Counter(w for t in column.to_pylist() if t is not None for w in re.split(space, t))
+            starts = sum(len(firsts) for _, firsts in S.parted(column, S._PARTING))
+            assert starts == len(column) - column.null_count
+
+
+def test_neighbours_are_counted_within_each_text(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(t,) for t in [*ODD, "losen ved", "Fyret", "ved", "fyret"]], "text string").coalesce(1)
+    pairs = [("den", "gamle"), ("gamle", "den"), ("gamle", "losen"), ("ved", "fyret"), ("ved", "!fyret!"), ("fyret", "ved"), ("ø", "å"), ("en", "den"), ("d", "e"), ("hei\x1cdu\x1f", "\x85"), ("c", "d")]
+    wanted = spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a").bitwiseXOR(F.shiftleft(F.xxhash64("b"), 1)).alias("k"))
+    got = Counter()
+    for a, b, n in S._said(texts, wanted).collect():
+        got[a, b] += n
+    texts.createOrReplaceTempView("odd")
+    sql = r"select array_remove(split(lower(text), r'[\s.,;:?()«»\"–—…„“”‚‘’\[\]/*<>]+'), '') w from odd"
+    want = Counter(p for r in spark.sql(sql).collect() for p in zip(r["w"] or [], (r["w"] or [])[1:]) if p in pairs)
+    assert got == want and want["den", "gamle"] == 82 and want["ved", "fyret"] == 1 and len(want) == 8
+    assert S._said(texts, wanted.limit(0)).count() == 0
+
+
+def test_no_word_of_the_texts_becomes_a_row(spark, tmp_path, monkeypatch):
+    """The passes over the clean corpus count words and pairs as columns: a row a word and pair was over half of the CPU."""
+    clean = "den gamle hunden sov . han så brannen på loftet . " * 8
+    spark.createDataFrame([(clean,)], "text string").write.parquet(f"{tmp_path}/clean_texts")
+    texts = spark.read.parquet(f"{tmp_path}/clean_texts")
+    plans = []
+    for name in ("collect", "toArrow"):
+        was = getattr(type(texts), name)
+        monkeypatch.setattr(type(texts), name, lambda df, was=was: plans.append((str(df.inputFiles()), df._jdf.queryExecution().toString())) or was(df))
+    v = S.load_vocabulary(texts, spark.createDataFrame([("han så brxnnen på loftet",)], "text string"))
+    assert v.truth("brxnnen", "så", "på") == "brannen" and v.pairs[S.pair_key("så", "brannen")] == 8
+    over = [p for files, p in plans if "clean_texts" in files]
+    assert len(over) == 2 and not any("Generate" in p for p in over)
